@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing
+from . import fingerprint, license_scan, line_dedup, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_fingerprint": fingerprint.op2_fingerprint,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
         "op9_source_mix": mixing.op9_source_mix,
         "op10_license_scan": license_scan.op10_license_scan,
     }
@@ -18,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_line_dedup": line_dedup.oracle_sql(),
         "op9_source_mix": mixing.oracle_sql(),
         "op10_license_scan": license_scan.oracle_sql(),
     }
