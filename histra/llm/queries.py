@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, license_scan, line_dedup, mixing
+from . import fingerprint, jaccard_join, license_scan, line_dedup, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_fingerprint": fingerprint.op2_fingerprint,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_source_mix": mixing.op9_source_mix,
         "op10_license_scan": license_scan.op10_license_scan,
     }
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_dedup": line_dedup.oracle_sql(),
+        "op8_jaccard_join": jaccard_join.oracle_sql(),
         "op9_source_mix": mixing.oracle_sql(),
         "op10_license_scan": license_scan.oracle_sql(),
     }
