@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, jaccard_join, license_scan, line_dedup, mixing
+from . import fingerprint, jaccard_join, license_scan, line_dedup, mixing, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_fingerprint": fingerprint.op2_fingerprint,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_source_mix": mixing.op9_source_mix,
