@@ -92,21 +92,20 @@ def light_boundary(sizes: dict[int, int]) -> int:
 
 
 def prefix_keys(own: np.ndarray, levels: np.ndarray, boundary: int) -> np.ndarray:
-    """32-bit keys of a set (sorted hashes). Keys that collide cost a comparison, nothing else."""
+    """64-bit keys of a set (sorted hashes). Keys that collide cost a comparison, nothing else."""
     n = len(own)
     if n < PART:  # a set of fewer shingles links with its equals only
-        return np.zeros(0, np.int32)
+        return np.zeros(0, np.int64)
     level = levels[_cells(own)]
     if level.any():
         own = own[np.lexsort((own, level))]
-    k, out = n - _needed(n) + 1, np.zeros(0, np.int32)
+    k, out = n - _needed(n) + 1, np.zeros(0, np.int64)
     if n <= boundary:
         first = textnum.mix(np.sort(own[: k + 1]))
         i, j = np.triu_indices(len(first), 1)
-        out = ((first[i] * np.uint64(3) + first[j] * np.uint64(5)) & np.uint64(0x7FFFFFFF)).astype(np.int32)
+        out = textnum.signed(textnum.mix(first[i] * np.uint64(3) + first[j] * np.uint64(5)))
     if n > boundary or PART * boundary < WHOLE * n:
-        listed = (textnum.mix(own[:k] + np.uint64(7)) >> np.uint64(32)).astype(np.uint32).view(np.int32) | np.int32(-(2**31))
-        out = np.concatenate((out, listed))
+        out = np.concatenate((out, textnum.signed(own[:k])))
     return out
 
 
@@ -179,7 +178,7 @@ def components(docs: DataFrame) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _keys(shared_levels.value, boundary)(batches)
 
-    listed = docs.mapInArrow(keys, "key int, doc long, n int")
+    listed = docs.mapInArrow(keys, "key long, doc long, n int")
     by_key = Window.partitionBy("key")
     listed = listed.withColumn("low", F.min("doc").over(by_key)).withColumn("high", F.max("doc").over(by_key)).filter("low <> high").select("key", "doc", "n")
     # Members of lists by the id of their class.
