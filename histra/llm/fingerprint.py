@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, no_text_as_empty, table
+from .common import no_text_as_empty, table
 
 SEEDS = (11, 23, 47, 97)
 N_IDENTITY = 2 * len(SEEDS)
@@ -37,7 +37,7 @@ ONES = 1 | 1 << 21 | 1 << 42
 LANE = (1 << 21) - 1
 IDENTITY_MOD = 1 << 32
 #: Documents that one window may hold, about.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 512
 
 
 def units(text: Column) -> Column:
@@ -63,23 +63,33 @@ def units(text: Column) -> Column:
     return F.concat(F.array(*lanes), pairs)
 
 
-def fingerprints(texts: DataFrame, key: list[str]) -> DataFrame:
-    """texts: key columns and text; one row for each row, with struct `fp` (identity array, n_pairs, sketch array).
+def fingerprints(texts: DataFrame, key: list[str], columns: tuple[str, ...] = ("text",)) -> DataFrame:
+    """One row for each value of key, with a struct (identity array, n_pairs, sketch array) named fp_<column> for each of the
+    text columns. Rows of one key must have equal texts; the key is the group of the sums.
 
-    Rows of one key must have equal texts; the key is the group of the sum.
+    All columns are summed in one aggregate. The units of a text lie in one task, so the map side leaves one row for each
+    text, whatever its length.
     """
-    spread = texts.select(*key, F.posexplode(units(F.col("text"))).alias("i", "v"))
-    spread = spread.select(*key, "i", "v", F.when(F.col("i") >= N_IDENTITY, F.col("v")).otherwise(0).alias("h"))
-    # A lane sum stays below 2^21 for texts of up to 2 million pairs; beyond that, lanes carry into their neighbour, which
-    # is still a sum modulo 2^63 and only blurs the estimate. The top bit is cut so that sums stay positive.
-    sums = [F.try_sum(F.shiftrightunsigned("h", j).bitwiseAND(ONES)).alias(f"s{j}") for j in range(LONGS)]
-    ids = [F.max(F.when(F.col("i") == j, F.col("v"))).alias(f"i{j}") for j in range(N_IDENTITY)]
-    total = spread.groupBy(*key).agg(*ids, (F.count("*") - N_IDENTITY).alias("n_pairs"), *sums)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("text")) for k, c in enumerate(columns)]))
+    spread = texts.select(*key, each.alias("x")).select(*key, "x.kind", F.posexplode(units(F.col("x.text"))).alias("i", "v"))
+    spread = spread.select(*key, "kind", "i", "v", F.when(F.col("i") >= N_IDENTITY, F.col("v")).otherwise(0).alias("h"))
+    sums = []
+    for k in range(len(columns)):
+        own = F.col("kind") == k
+        sums += [F.max(F.when(own & (F.col("i") == j), F.col("v"))).alias(f"i{k}_{j}") for j in range(N_IDENTITY)]
+        sums.append(F.sum(F.when(own & (F.col("i") >= N_IDENTITY), 1).otherwise(0)).alias(f"n{k}"))
+        # A lane stays below 2^21 for texts of up to 2 million pairs; beyond that it carries into its neighbour, which is
+        # still a sum modulo a power of two and only blurs the estimate.
+        sums += [F.try_sum(F.when(own, F.shiftrightunsigned("h", j).bitwiseAND(ONES)).otherwise(0)).alias(f"s{k}_{j}") for j in range(LONGS)]
+    total = spread.groupBy(*key).agg(*sums)
     return total.select(
         *key,
-        F.struct(
-            F.array(*[f"i{j}" for j in range(N_IDENTITY)]).alias("identity"), F.col("n_pairs"), F.array(*[f"s{j}" for j in range(LONGS)]).alias("sketch")
-        ).alias("fp"),
+        *[
+            F.struct(
+                F.array(*[f"i{k}_{j}" for j in range(N_IDENTITY)]).alias("identity"), F.col(f"n{k}").alias("n_pairs"), F.array(*[f"s{k}_{j}" for j in range(LONGS)]).alias("sketch")
+            ).alias(f"fp_{c}")
+            for k, c in enumerate(columns)
+        ],
     )
 
 
@@ -161,17 +171,10 @@ def edited(text: Column, next_text: Column) -> Column:
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = with_next(table(spark, sf_dir, "documents")).withColumn("changed", edited(F.col("text"), F.col("next_text")))
-    head = F.struct(
-        F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("changed", "UTF-8"), 256).alias("edited_sha256"), F.col("next_id"), F.col("next_hash")
-    )
-    both = pairs.select(
-        "doc_id",
-        "row_hash",
-        F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text"), head.alias("head")), F.struct(F.lit(1).alias("kind"), F.col("changed").alias("text"), head.alias("head")))).alias("x"),
-    ).select("doc_id", "row_hash", "x.kind", "x.text", "x.head.*")
-    kept = ["doc_id", "row_hash", "n_chars", "edited_sha256", "next_id", "next_hash"]
-    found = fingerprints(both, [*kept, "kind"])
-    rows = materialise(found.groupBy(*kept).agg(F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("a"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("e")))
+    digest = F.unhex(F.sha2(F.encode("changed", "UTF-8"), 256))
+    texts = pairs.select("doc_id", "row_hash", F.char_length("text").cast("long").alias("n_chars"), digest.alias("digest"), "next_id", "next_hash", "text", "changed")
+    rows = fingerprints(texts, ["doc_id", "row_hash", "n_chars", "digest", "next_id", "next_hash"], ("text", "changed"))
+    rows = rows.withColumnsRenamed({"fp_text": "a", "fp_changed": "e"}).withColumn("edited_sha256", F.lower(F.hex("digest")))
     after = rows.select(F.col("doc_id").alias("d"), F.col("row_hash").alias("h"), F.col("a").alias("n")).dropDuplicates(["d", "h"])
     return rows.join(after, F.col("next_id").eqNullSafe(F.col("d")) & (F.col("next_hash") == F.col("h")), "left").select(
         "doc_id",
