@@ -15,7 +15,9 @@ can link), which is linear in the members; links join to components; then only p
 differ and that were not compared yet are compared. Every pair that shares a key is in the end either in one component
 or was compared, so no link between different texts is lost to the components.
 
-Comparison is exact on the sets of 64-bit shingle hashes.
+Pairs are first held against an upper bound that is never below the truth: hashes are counted in about n / 4 cells, and two
+sets have at most the sum of the smaller counts in common. Cells take a thirtieth of a set's bytes and drop the pairs that
+have a passage, but not 80 %, in common. What remains is compared exactly, on the sets of 64-bit shingle hashes.
 
 Defined results: null and empty texts and texts without words have no shingles and link with nothing (component_id is
 their own doc_id); texts of one to four words have one shingle, the whole sequence; rows without doc_id link with nothing;
@@ -45,6 +47,8 @@ FREQUENT = 4
 #: Cost of scanning a posting, in rows.
 SCAN_COST = 2.0
 MOST_LIGHT = 64
+#: The filter for fetching sets: 4 MB.
+BLOOM_BITS, BLOOM_HASHES = 1 << 25, 3
 
 
 def _needed(n: int) -> int:
@@ -56,8 +60,42 @@ def _cells(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
+def counted_cells(own: np.ndarray) -> bytes:
+    """Counts of a set's hashes in 2^k cells, a byte each; nothing if a count doesn't fit."""
+    k = max(0, (len(own) // 4).bit_length())
+    counts = np.bincount((own >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k) if k else np.array([len(own)])
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def may_link(x: bytes, y: bytes) -> bool:
+    """False only if two sets with these cells can't link."""
+    if not x or not y:
+        return True
+    a, b = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
+    while len(a) > len(b):
+        a = a[0::2] + a[1::2]
+    while len(b) > len(a):
+        b = b[0::2] + b[1::2]
+    most = int(np.minimum(a, b).sum())
+    return WHOLE * most >= PART * (int(a.sum() + b.sum()) - most)
+
+
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = pa.array([may_link(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
+
+
+def plausible(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """pairs: a, b; cells: id, cells. The pairs that the bound leaves."""
+    left = cells.select(F.col("id").alias("a"), F.col("cells").alias("x"))
+    right = cells.select(F.col("id").alias("b"), F.col("cells").alias("y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_may_link, "a long, b long")
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (0, doc_id, size, hash) for each text, and rows (1, cell, count, 0) for the task's frequent cells."""
+    """A row (0, doc_id, size, hash, cells) for each text, and rows (1, cell, count) for the task's frequent cells."""
+    names = ["kind", "a", "b", "c", "cells"]
     counts, total = np.zeros(1 << CELL_BITS, np.int64), 0
     for batch in batches:
         for lo, hi, data, offsets in textnum.text_slices(batch.column(1)):
@@ -67,12 +105,19 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts += np.bincount(_cells(every), minlength=1 << CELL_BITS)
             n = np.array([len(x) for x in sets], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n), pa.array([textnum.set_hash(x) for x in sets], pa.int64())],
-                names=["kind", "a", "b", "c"],
+                [
+                    pa.array(np.zeros(hi - lo, np.int32)),
+                    batch.column(0).slice(lo, hi - lo).cast(pa.int64()),
+                    pa.array(n),
+                    pa.array([textnum.set_hash(x) for x in sets], pa.int64()),
+                    pa.array([counted_cells(x) for x in sets], pa.binary()),
+                ],
+                names=names,
             )
     often = np.flatnonzero(counts >= 16 + FREQUENT * total / len(counts))
     if len(often):
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(often), np.int32)), pa.array(often), pa.array(counts[often]), pa.array(np.zeros(len(often), np.int64))], names=["kind", "a", "b", "c"])
+        m = len(often)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(often), pa.array(counts[often]), pa.array(np.zeros(m, np.int64)), pa.nulls(m, pa.binary())], names=names)
 
 
 def light_boundary(sizes: dict[int, int]) -> int:
@@ -128,11 +173,52 @@ def _keys(levels: np.ndarray, boundary: int):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """Places of ids in the filter: BLOOM_HASHES for each."""
+    h = ids.astype(np.int64).view(np.uint64)
+    return np.concatenate([textnum.mix(h + np.uint64(0x632BE59BD9B4E019 * (j + 1) & 0xFFFFFFFFFFFFFFFF)) % np.uint64(BLOOM_BITS) for j in range(BLOOM_HASHES)])
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, data, offsets in textnum.text_slices(batch.column(1)):
-            sets = [x.tobytes() for x in textnum.shingle_sets(data, offsets, WIDTH)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["id", "shingles"])
+        bits = np.unique(_bits(np.asarray(batch.column(0))))
+        masks = textnum.signed(np.uint64(1) << (bits & np.uint64(63)))
+        yield pa.RecordBatch.from_arrays([pa.array((bits >> np.uint64(6)).astype(np.int64)), pa.array(masks)], names=["word", "mask"])
+
+
+def _sets(words: np.ndarray | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if words is not None:
+                ids = np.asarray(batch.column(0).fill_null(-1))
+                bits = _bits(ids)
+                hit = (words[bits >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1)
+                batch = batch.filter(pa.array(hit.reshape(BLOOM_HASHES, len(ids)).all(axis=0)))
+            for lo, hi, data, offsets in textnum.text_slices(batch.column(1)):
+                sets = [x.tobytes() for x in textnum.shingle_sets(data, offsets, WIDTH)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    return run
+
+
+def fetch_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, shingles of the documents in ids (column need, distinct), maybe of some others.
+
+    A Bloom filter of fixed size goes to the scan, which then emits wanted sets only, and no text is shuffled. When ids are
+    too many for the filter, texts are joined with them instead; either way all wanted sets come.
+    """
+    if ids.count() > BLOOM_BITS // 16:
+        kept = docs.join(ids, F.col("doc_id") == F.col("need"), "left_semi")
+        return kept.mapInArrow(_sets(None), "id long, shingles binary")
+    words = np.zeros(BLOOM_BITS // 64, np.uint64)
+    for word, mask in ids.mapInArrow(_words, "word long, mask long").groupBy("word").agg(F.bit_or("mask")).collect():
+        words[word] = np.uint64(mask & 0xFFFFFFFFFFFFFFFF)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _sets(shared.value)(batches)
+
+    return docs.mapInArrow(scan, "id long, shingles binary")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +232,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
-def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs: a, b. Adds linked."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs: a, b (materialised, distinct). Adds linked."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
+    sets = fetch_sets(docs, need)
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, linked boolean")
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, linked boolean")
 
 
 def sizes_can_link(n: Column, m: Column) -> Column:
@@ -161,8 +249,8 @@ def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = materialise(docs.mapInArrow(_profile, "kind int, a long, b long, c long"))
-    rows = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("h"))
+    seen = materialise(docs.mapInArrow(_profile, "kind int, a long, b long, c long, cells binary"))
+    rows = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("h"), "cells")
     # At most 2^CELL_BITS rows, most often a few thousand.
     frequent = seen.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).collect()
     levels = np.zeros(1 << CELL_BITS, np.uint8)
@@ -171,8 +259,9 @@ def components(docs: DataFrame) -> DataFrame:
     histogram = {r.n: r.sets for r in rows.filter(f"n between {PART} and {MOST_LIGHT}").groupBy("n").agg(F.count("*").alias("sets")).collect()}
     shared_levels = spark.sparkContext.broadcast(levels)
 
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy("h", "n").agg(F.min("doc_id").alias("id"))
+    classes = rows.filter("n > 0 and doc_id is not null").groupBy("h", "n").agg(F.min("doc_id").alias("id"), F.max("cells").alias("cells"))
     classes = materialise(classes)
+    cells = classes.select("id", "cells")
     boundary = light_boundary(histogram)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,23 +271,21 @@ def components(docs: DataFrame) -> DataFrame:
     by_key = Window.partitionBy("key")
     listed = listed.withColumn("low", F.min("doc").over(by_key)).withColumn("high", F.max("doc").over(by_key)).filter("low <> high").select("key", "doc", "n")
     # Members of lists by the id of their class.
-    names = rows.join(classes, ["h", "n"]).select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "id").distinct()
+    names = rows.drop("cells").join(classes.drop("cells"), ["h", "n"]).select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "id").distinct()
     lists = listed.join(names, ["doc", "n"]).select("key", "id", "n").distinct()
     several = Window.partitionBy("key")
     lists = lists.withColumn("low", F.min("id").over(several)).withColumn("high", F.max("id").over(several)).filter("low <> high").select("key", "id", "n")
     lists = materialise(lists)
 
-    needed = lists.select(F.col("id").alias("need")).distinct()
-    sets = materialise(docs.join(needed, F.col("doc_id") == F.col("need"), "left_semi").mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"]))
-
     # First round: each member against one pivot. A list has a pivot for each band of sizes; members look at their own band
     # and the one below, which between them hold all sizes that can link from below.
     band = F.floor(F.log(F.col("n") / 1.0) / F.log(F.lit(WHOLE / PART))).cast("int")
     pivots = lists.groupBy("key", band.alias("band")).agg(F.min(F.struct("id", "n")).alias("p"))
     looks = lists.select("key", "id", "n", F.explode(F.array(band, band - 1)).alias("band"))
     first = looks.join(pivots, ["key", "band"]).filter((F.col("p.id") < F.col("id")) & sizes_can_link(F.col("n"), F.col("p.n")))
-    first = materialise(first.groupBy(F.col("id").alias("b")).agg(F.min("p.id").alias("a")))
-    held = materialise(compare(first, sets))
+    first = plausible(first.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct(), cells)
+    first = materialise(first.groupBy("b").agg(F.min("a").alias("a")))
+    held = materialise(compare(first, docs))
     links = held.filter("linked").select("a", "b")
     labels = materialise(connected_components(links))
 
@@ -209,11 +296,12 @@ def components(docs: DataFrame) -> DataFrame:
     other = open_lists.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
     rest = open_lists.join(other, "key").filter((F.col("id") < F.col("b")) & (F.col("c") != F.col("d")) & sizes_can_link(F.col("n"), F.col("m")))
     rest = rest.select(F.col("id").alias("a"), "b").distinct().join(held.select("a", "b"), ["a", "b"], "left_anti")
-    more = materialise(compare(rest, sets)).filter("linked").select("a", "b")
+    rest = materialise(plausible(rest, cells))
+    more = materialise(compare(rest, docs)).filter("linked").select("a", "b")
     labels = connected_components(links.union(more))
 
-    found = classes.join(labels, classes.id == labels.node, "left").select("h", "n", F.coalesce("component", "id").alias("component"))
-    return rows.join(found, ["h", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = classes.drop("cells").join(labels, classes.id == labels.node, "left").select("h", "n", F.coalesce("component", "id").alias("component"))
+    return rows.drop("cells").join(found, ["h", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
