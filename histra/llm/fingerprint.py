@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import no_text_as_empty, table
+from .common import materialise, no_text_as_empty, table
 
 SEEDS = (11, 23, 47, 97)
 N_IDENTITY = 2 * len(SEEDS)
@@ -70,17 +70,22 @@ def fingerprints(texts: DataFrame, key: list[str], columns: tuple[str, ...] = ("
     All columns are summed in one aggregate. The units of a text lie in one task, so the map side leaves one row for each
     text, whatever its length.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("text")) for k, c in enumerate(columns)]))
-    spread = texts.select(*key, each.alias("x")).select(*key, "x.kind", F.posexplode(units(F.col("x.text"))).alias("i", "v"))
-    spread = spread.select(*key, "kind", "i", "v", F.when(F.col("i") >= N_IDENTITY, F.col("v")).otherwise(0).alias("h"))
+    # Texts of one row are laid side by side, so there is one line for the longest of them and no condition in the sums.
+    names = [f"u{k}" for k in range(len(columns))]
+    wide = texts.select(*key, *[units(F.col(c)).alias(u) for u, c in zip(names, columns, strict=True)])
+    spread = wide.select(*key, F.posexplode(F.arrays_zip(*names)).alias("i", "v"))
+    zero = F.lit(0).cast("long")
+    values = [F.coalesce(F.col("v")[u], zero).alias(u) for u in names]
+    hashes = [F.when((F.col("i") >= N_IDENTITY) & F.col("v")[u].isNotNull(), F.col("v")[u]).otherwise(zero).alias(f"h{k}") for k, u in enumerate(names)]
+    counts = [F.when((F.col("i") >= N_IDENTITY) & F.col("v")[u].isNotNull(), 1).otherwise(0).alias(f"c{k}") for k, u in enumerate(names)]
+    spread = spread.select(*key, "i", *values, *hashes, *counts)
     sums = []
-    for k in range(len(columns)):
-        own = F.col("kind") == k
-        sums += [F.max(F.when(own & (F.col("i") == j), F.col("v"))).alias(f"i{k}_{j}") for j in range(N_IDENTITY)]
-        sums.append(F.sum(F.when(own & (F.col("i") >= N_IDENTITY), 1).otherwise(0)).alias(f"n{k}"))
+    for k, u in enumerate(names):
+        sums += [F.max(F.when(F.col("i") == j, F.col(u))).alias(f"i{k}_{j}") for j in range(N_IDENTITY)]
+        sums.append(F.sum(f"c{k}").alias(f"n{k}"))
         # A lane stays below 2^21 for texts of up to 2 million pairs; beyond that it carries into its neighbour, which is
         # still a sum modulo a power of two and only blurs the estimate.
-        sums += [F.try_sum(F.when(own, F.shiftrightunsigned("h", j).bitwiseAND(ONES)).otherwise(0)).alias(f"s{k}_{j}") for j in range(LONGS)]
+        sums += [F.try_sum(F.shiftrightunsigned(f"h{k}", j).bitwiseAND(ONES)).alias(f"s{k}_{j}") for j in range(LONGS)]
     total = spread.groupBy(*key).agg(*sums)
     return total.select(
         *key,
@@ -174,7 +179,7 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.unhex(F.sha2(F.encode("changed", "UTF-8"), 256))
     texts = pairs.select("doc_id", "row_hash", F.char_length("text").cast("long").alias("n_chars"), digest.alias("digest"), "next_id", "next_hash", "text", "changed")
     rows = fingerprints(texts, ["doc_id", "row_hash", "n_chars", "digest", "next_id", "next_hash"], ("text", "changed"))
-    rows = rows.withColumnsRenamed({"fp_text": "a", "fp_changed": "e"}).withColumn("edited_sha256", F.lower(F.hex("digest")))
+    rows = materialise(rows).withColumnsRenamed({"fp_text": "a", "fp_changed": "e"}).withColumn("edited_sha256", F.lower(F.hex("digest")))
     after = rows.select(F.col("doc_id").alias("d"), F.col("row_hash").alias("h"), F.col("a").alias("n")).dropDuplicates(["d", "h"])
     return rows.join(after, F.col("next_id").eqNullSafe(F.col("d")) & (F.col("next_hash") == F.col("h")), "left").select(
         "doc_id",
