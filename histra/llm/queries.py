@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, jaccard_join, license_scan, line_dedup, mixing, packing, suffix_dedup
+from . import fingerprint, jaccard_join, license_scan, line_dedup, mixing, packing, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_fingerprint": fingerprint.op2_fingerprint,
         "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_retrieval_packing": packing.op6_retrieval_packing,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_source_mix": mixing.op9_source_mix,
