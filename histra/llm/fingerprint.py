@@ -38,6 +38,8 @@ LANE = (1 << 21) - 1
 IDENTITY_MOD = 1 << 32
 #: Documents that one window may hold, about.
 BLOCK_ROWS = 512
+#: Rows of three longs that may be broadcast: a few MB.
+BROADCAST_ROWS = 200_000
 
 
 def units(text: Column) -> Column:
@@ -156,8 +158,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     tops = rows.groupBy("block").agg(F.max("doc_id").alias("top"))
     order = Window.orderBy("block")
     before = F.coalesce(F.lag("block").over(order), F.max("block").over(Window.partitionBy()))
-    tops = tops.select("block", "top", before.alias("halo"))
-    flagged = rows.join(tops, ["block"], "left")
+    tops = materialise(tops.select("block", "top", before.alias("halo")))
+    # Sent to all tasks only if it is small; else the texts are shuffled once more for it.
+    flagged = rows.join(F.broadcast(tops) if tops.count() <= BROADCAST_ROWS else tops, ["block"], "left")
     halo = F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array("block", "halo")).otherwise(F.array("block"))
     dealt = flagged.select("doc_id", "text", F.xxhash64("text").alias("row_hash"), F.col("block").alias("own"), F.posexplode(halo).alias("is_halo", "block"))
     inside = Window.partitionBy("block").orderBy("is_halo", F.col("doc_id").desc_nulls_last(), "text")
