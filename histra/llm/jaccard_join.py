@@ -304,6 +304,12 @@ def components(docs: DataFrame) -> DataFrame:
     return rows.drop("cells").join(found, ["h", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The document of smallest id of each component; rows without id stay."""
+    copies = components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
 

@@ -78,6 +78,12 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs with their kept lines; texts of which no line is left go."""
+    found = dedup(docs, window)
+    return found.filter(~((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines")))).select(*docs.columns)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup(docs).select("doc_id", "n_lines", "n_removed", "n_runs", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kept_md5"))

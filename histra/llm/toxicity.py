@@ -235,20 +235,27 @@ def _features(terms: list[str]):
     return run
 
 
+class Scorer:
+    """Scores of texts; one for each task."""
+
+    def __init__(self, model: Model):
+        self.reader, self.weights, self.memo = Reader(list(model.terms)), model.weights, {}
+
+    def score(self, text: str) -> float:
+        f = tuple(self.reader.features(text))
+        if f not in self.memo:
+            if len(self.memo) > 100_000:
+                self.memo.clear()
+            z = sum(a * b for a, b in zip(f, self.weights, strict=False)) + self.weights[-1]
+            self.memo[f] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        return self.memo[f]
+
+
 def _scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(list(model.terms))
-        weights, memo = model.weights, {}
+        scorer = Scorer(model)
         for batch in batches:
-            out = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                f = tuple(reader.features(text))
-                if f not in memo:
-                    z = sum(a * b for a, b in zip(f, weights, strict=False)) + weights[-1]
-                    memo[f] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-                out.append(memo[f])
-            if len(memo) > 100_000:
-                memo.clear()
+            out = [scorer.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
     return run
@@ -261,6 +268,21 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(_scores(model), schema)
 
 
+def _clean(model: Model, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            keep = [scorer.score(t or "") < 0.5 for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def reject(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the rows whose text scores 0.5 or more."""
+    return docs.mapInArrow(_clean(model, docs.columns.index("text")), docs.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(docs, train(docs, labels), ["doc_id"])
