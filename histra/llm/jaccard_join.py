@@ -10,8 +10,7 @@ ones), then by hash. Linked sets of n and m shingles share at least l shingles a
   histogram of the sizes of all sets, is least. Light sets within 0.8 of it go into the lists too, so they meet heavy ones.
 
 Sets that are equal are one class before anything else, so copies are never expanded. A list is not expanded to all its
-pairs either: first every member is held against one pivot (the member of smallest id of all its lists, of a size that
-can link), which is linear in the members; links join to components; then only pairs of a list whose components still
+pairs either: first every member is held against one pivot of its lists, which is linear in the members; links join to components; then only pairs of a list whose components still
 differ and that were not compared yet are compared. Every pair that shares a key is in the end either in one component
 or was compared, so no link between different texts is lost to the components.
 
@@ -41,12 +40,16 @@ from .components import connected_components
 WIDTH = 5
 #: Links need PART / WHOLE of the union in common.
 PART, WHOLE = 4, 5
-#: Cells of the frequency sketch, and how far above the mean a task's cell counts as frequent.
+#: Cells of the frequency sketch; a shingle enters it with its count when so many sets of one task's stretch have it.
 CELL_BITS = 20
 FREQUENT = 4
+HELD_SHINGLES = 4_000_000
 #: Cost of scanning a posting, in rows.
 SCAN_COST = 2.0
 MOST_LIGHT = 64
+PIVOT_ROUNDS, NEIGHBOUR_ROUNDS = 1, 1
+#: Lists up to this length make their open pairs by a join, others in blocks of so many members.
+SHORT_LIST, BLOCK = 128, 2048
 #: The filter for fetching sets: 4 MB.
 BLOOM_BITS, BLOOM_HASHES = 1 << 25, 3
 
@@ -93,28 +96,110 @@ def plausible(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_may_link, "a long, b long")
 
 
+def _frequent(sets: list[np.ndarray]) -> np.ndarray:
+    """Summed counts by cell of the shingles that several of these sets have."""
+    values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    often = counts >= FREQUENT
+    return np.bincount(_cells(values[often]), weights=counts[often], minlength=1 << CELL_BITS).astype(np.int64)
+
+
+def _within_bound(left: list[tuple], right: list[tuple], same: bool) -> Iterator[tuple[int, int]]:
+    """Pairs (smaller id, larger id) of two blocks of one list that may link and lie in different components. Members are
+    (id, component, cells)."""
+
+    def by_depth(rows: list[tuple]) -> dict[int, tuple]:
+        out: dict[int, list[tuple]] = {}
+        for row in rows:
+            out.setdefault(len(row[2]), []).append(row)
+        return {d: (np.array([r[0] for r in x]), np.array([r[1] for r in x]), np.stack([np.frombuffer(r[2], np.uint8) for r in x]).astype(np.int16) if d else None) for d, x in out.items()}
+
+    ls, rs = by_depth(left), by_depth(right)
+    for d, (ids, comps, x) in ls.items():
+        for e, (others, other_comps, y) in rs.items():
+            if not d or not e:  # a set without cells may link with any
+                ask = [(i, others[(other_comps != comps[i]) & ((others > ids[i]) if same else (others != ids[i]))]) for i in range(len(ids))]
+            elif d > 4 * e or e > 4 * d:
+                continue
+            else:
+                u, v = x, y
+                while u.shape[1] > v.shape[1]:
+                    u = u[:, 0::2] + u[:, 1::2]
+                while v.shape[1] > u.shape[1]:
+                    v = v[:, 0::2] + v[:, 1::2]
+                total = v.sum(axis=1, dtype=np.int64)
+                ask = []
+                for i in range(len(ids)):
+                    j = np.flatnonzero((other_comps != comps[i]) & ((others > ids[i]) if same else (others != ids[i])))
+                    most = np.minimum(u[i], v[j]).sum(axis=1, dtype=np.int64)
+                    ask.append((i, others[j[WHOLE * most >= PART * (int(u[i].sum()) + total[j] - most)]]))
+            for i, found in ask:
+                for o in found.tolist():
+                    yield (min(int(ids[i]), o), max(int(ids[i]), o))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, block, id, c, cells, keys), sorted by key, i, j. A pair is left to the first list that both are in."""
+
+    def work(group: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        key, i, j = group
+        left, right = [r[1:4] for r in rows if r[0] == i], [r[1:4] for r in rows if r[0] == j]
+        keys = {r[1]: frozenset(r[4]) for r in rows}
+        pairs = [(a, b) for a, b in _within_bound(left, right, i == j) if min(keys[a] & keys[b]) == key]
+        for lo in range(0, len(pairs), 50_000):
+            a, b = zip(*pairs[lo : lo + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    now, rows = None, []
+    for batch in batches:
+        for key, i, j, *member in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (key, i, j) != now:
+                if rows:
+                    yield from work(now, rows)
+                now, rows = (key, i, j), []
+            rows.append(tuple(member))
+    if rows:
+        yield from work(now, rows)
+
+
+def blocked_pairs(lists: DataFrame, cells: DataFrame) -> DataFrame:
+    """lists: key, id, c, m (length of the list). Pairs of members in different components that the bound leaves, found block
+    by block: a task holds two blocks of BLOCK members at most, about."""
+    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    own = lists.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    rows = lists.join(cells.join(own, "id"), "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "c", "cells", "keys")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks, "a long, b long")
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row (0, doc_id, size, hash, cells) for each text, and rows (1, cell, count) for the task's frequent cells."""
     names = ["kind", "a", "b", "c", "cells"]
-    counts, total = np.zeros(1 << CELL_BITS, np.int64), 0
+    counts, held, size, seen = np.zeros(1 << CELL_BITS, np.int64), [], 0, set()
     for batch in batches:
         for lo, hi, data, offsets in textnum.text_slices(batch.column(1)):
             sets = textnum.shingle_sets(data, offsets, WIDTH)
-            every = np.concatenate(sets)
-            total += len(every)
-            counts += np.bincount(_cells(every), minlength=1 << CELL_BITS)
-            n = np.array([len(x) for x in sets], np.int64)
+            hashes = [textnum.set_hash(x) for x in sets]
+            for h, own in zip(hashes, sets, strict=True):
+                if h not in seen:
+                    seen.add(h)
+                    held.append(own)
+                    size += len(own)
+            if size >= HELD_SHINGLES:
+                counts += _frequent(held)
+                held, size = [], 0
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.zeros(hi - lo, np.int32)),
                     batch.column(0).slice(lo, hi - lo).cast(pa.int64()),
-                    pa.array(n),
-                    pa.array([textnum.set_hash(x) for x in sets], pa.int64()),
+                    pa.array(np.array([len(x) for x in sets], np.int64)),
+                    pa.array(hashes, pa.int64()),
                     pa.array([counted_cells(x) for x in sets], pa.binary()),
                 ],
                 names=names,
             )
-    often = np.flatnonzero(counts >= 16 + FREQUENT * total / len(counts))
+    counts += _frequent(held)
+    often = np.flatnonzero(counts)
     if len(often):
         m = len(often)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(often), pa.array(counts[often]), pa.array(np.zeros(m, np.int64)), pa.nulls(m, pa.binary())], names=names)
@@ -251,11 +336,10 @@ def components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = materialise(docs.mapInArrow(_profile, "kind int, a long, b long, c long, cells binary"))
     rows = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("h"), "cells")
-    # At most 2^CELL_BITS rows, most often a few thousand.
-    frequent = seen.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).collect()
+    # At most 2^CELL_BITS rows of two longs.
+    frequent = seen.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).toArrow()
     levels = np.zeros(1 << CELL_BITS, np.uint8)
-    for cell, n in frequent:
-        levels[cell] = int(n).bit_length()
+    levels[np.asarray(frequent["a"])] = np.ceil(np.log2(np.asarray(frequent["n"]) + 1)).astype(np.uint8)
     histogram = {r.n: r.sets for r in rows.filter(f"n between {PART} and {MOST_LIGHT}").groupBy("n").agg(F.count("*").alias("sets")).collect()}
     shared_levels = spark.sparkContext.broadcast(levels)
 
@@ -275,28 +359,50 @@ def components(docs: DataFrame) -> DataFrame:
     lists = listed.join(names, ["doc", "n"]).select("key", "id", "n").distinct()
     several = Window.partitionBy("key")
     lists = lists.withColumn("low", F.min("id").over(several)).withColumn("high", F.max("id").over(several)).filter("low <> high").select("key", "id", "n")
-    lists = materialise(lists)
 
-    # First round: each member against one pivot. A list has a pivot for each band of sizes; members look at their own band
-    # and the one below, which between them hold all sizes that can link from below.
+    # Pivot round: each member against one pivot. A list has a pivot for each band of sizes; members look at their own band
+    # and its neighbours, which between them hold all sizes that can link. Pivots are the members that stand in the longest
+    # lists: an original has all shingles that its edited copies kept, so copies that don't link with each other meet in it.
+    lists = materialise(lists)
+    lengths = lists.groupBy("key").agg(F.count("*").alias("length"))
+    weights = materialise(lists.join(lengths, "key").groupBy("id").agg(F.sum("length").alias("weight")))
     band = F.floor(F.log(F.col("n") / 1.0) / F.log(F.lit(WHOLE / PART))).cast("int")
-    pivots = lists.groupBy("key", band.alias("band")).agg(F.min(F.struct("id", "n")).alias("p"))
-    looks = lists.select("key", "id", "n", F.explode(F.array(band, band - 1)).alias("band"))
-    first = looks.join(pivots, ["key", "band"]).filter((F.col("p.id") < F.col("id")) & sizes_can_link(F.col("n"), F.col("p.n")))
-    first = plausible(first.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct(), cells)
-    first = materialise(first.groupBy("b").agg(F.min("a").alias("a")))
-    held = materialise(compare(first, docs))
-    links = held.filter("linked").select("a", "b")
-    labels = materialise(connected_components(links))
-
-    # Second round: what the first has not joined, and not compared.
-    labelled = lists.join(labels, lists.id == labels.node, "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-    open_lists = materialise(labelled.join(mixed, "key", "left_semi"))
-    other = open_lists.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    rest = open_lists.join(other, "key").filter((F.col("id") < F.col("b")) & (F.col("c") != F.col("d")) & sizes_can_link(F.col("n"), F.col("m")))
-    rest = rest.select(F.col("id").alias("a"), "b").distinct().join(held.select("a", "b"), ["a", "b"], "left_anti")
-    rest = materialise(plausible(rest, cells))
+    open_lists = lists.withColumn("c", F.col("id"))
+    held, links = None, None
+    for turn in range(PIVOT_ROUNDS + NEIGHBOUR_ROUNDS):
+        if turn < PIVOT_ROUNDS:
+            pivots = open_lists.join(weights, "id").groupBy("key", band.alias("band")).agg(F.max(F.struct("weight", "id", "n", "c")).alias("p"))
+            looks = open_lists.select("key", "id", "n", "c", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+            pairs = looks.join(pivots, ["key", "band"]).filter((F.col("p.c") != F.col("c")) & sizes_can_link(F.col("n"), F.col("p.n")))
+            pairs = plausible(pairs.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct(), cells)
+            pairs = pairs.join(weights.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.max(F.struct("weight", "a")).alias("p")).select("p.a", "b")
+        else:
+            # Each member against the one after it, in an order that is another for each list and round: a member that links
+            # with some of a component meets many of it, over its lists, and the pairs stay linear in the members.
+            order = Window.partitionBy("key").orderBy(F.xxhash64("id", "key", F.lit(turn)))
+            pairs = open_lists.withColumn("o", F.lead(F.struct("id", "n", "c")).over(order)).filter((F.col("o.c") != F.col("c")) & sizes_can_link(F.col("n"), F.col("o.n")))
+            pairs = plausible(pairs.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct(), cells)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialise(pairs if held is None else pairs.join(held.select("a", "b"), ["a", "b"], "left_anti"))
+        now = materialise(compare(pairs, docs))
+        held = now if held is None else held.unionByName(now)
+        links = held.filter("linked").select("a", "b")
+        # Lists whose members are in one component are done.
+        labels = materialise(connected_components(links))
+        labelled = lists.join(labels, lists.id == labels.node, "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+        mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
+        open_lists = materialise(labelled.join(mixed, "key", "left_semi"))
+
+    # Last round: all pairs of open lists that lie in different components and were not compared. Pairs of short lists come
+    # from a join; long lists are gone through in blocks, and only pairs that the bound leaves are made into rows.
+    counted = open_lists.groupBy("key").agg(F.count("*").alias("m"))
+    open_lists = open_lists.join(counted, "key")
+    short = open_lists.filter(F.col("m") <= SHORT_LIST)
+    other = short.select("key", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+    few = short.join(other, "key").filter((F.col("id") < F.col("b")) & (F.col("c") != F.col("c2")) & sizes_can_link(F.col("n"), F.col("n2")))
+    few = plausible(few.select(F.col("id").alias("a"), "b").distinct(), cells)
+    many = blocked_pairs(open_lists.filter(F.col("m") > SHORT_LIST), cells)
+    rest = materialise(few.unionByName(many).distinct().join(held.select("a", "b"), ["a", "b"], "left_anti"))
     more = materialise(compare(rest, docs)).filter("linked").select("a", "b")
     labels = connected_components(links.union(more))
 
