@@ -35,7 +35,7 @@ FACTOR = 6.0
 LEAF = 128
 QUERY_EVERY = 20
 #: A shard's rows at most, about; small tables get more and smaller shards, for the sake of parallel work.
-SHARD_ROWS, LEAST_ROWS, FEW_SHARDS = 65_536, 1024, 32
+SHARD_ROWS, LEAST_ROWS, FEW_SHARDS = 65_536, 1024, 12
 QUERY_BATCH = 512
 
 
