@@ -36,7 +36,7 @@ SHARD_CHARS = 2_000_000
 K1, B = 1.2, 0.75
 QUERY_TERMS = 16
 NEIGHBOURS = 24
-MOST_WORDS = 800_000
+MOST_WORDS = 400_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -198,8 +198,8 @@ def _pack(path: str, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, texts = None, [], []
-        for batch in batches:
-            for shard, doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for part in (batch.slice(lo, 256) for batch in batches for lo in range(0, batch.num_rows, 256)):
+            for shard, doc_id, text in zip(*[c.to_pylist() for c in part.columns], strict=True):
                 if shard != now and ids:
                     yield work(now, ids, texts)
                     ids, texts = [], []

@@ -44,7 +44,9 @@ LEAST_TEXTS, LEAST_SHARE = 6, 0.005
 LEAST_ODDS = 12.0
 LEAST_FUZZY = 5
 AROUND = 6
-MOST_WORDS = 500_000
+MOST_WORDS = 100_000
+#: Texts that are Python strings at a time.
+STRETCH = 256
 
 #: Signs put for letters, words of report and of address.
 LEET = str.maketrans("0134578@$!", "oieastbasi")
@@ -162,6 +164,11 @@ class Reader:
         return out
 
 
+def texts_of(column: pa.Array) -> Iterator[str | None]:
+    for lo in range(0, len(column), STRETCH):
+        yield from column.slice(lo, STRETCH).to_pylist()
+
+
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
     """Weights of a logistic regression, the constant last and without penalty (Newton steps)."""
     x = np.hstack((x, np.ones((len(x), 1))))
@@ -229,7 +236,7 @@ def _features(terms: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(terms)
         for batch in batches:
-            rows = [reader.features(t) for t in batch.column("text").to_pylist()]
+            rows = [reader.features(t) for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "f"])
 
     return run
@@ -255,7 +262,7 @@ def _scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            out = [scorer.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            out = [scorer.score(t) for t in texts_of(batch.column(batch.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
     return run
@@ -272,7 +279,7 @@ def _clean(model: Model, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            keep = [scorer.score(t or "") < 0.5 for t in batch.column(at).to_pylist()]
+            keep = [scorer.score(t or "") < 0.5 for t in texts_of(batch.column(at))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
