@@ -6,17 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from histra.plans import decision_support, dialect, wide_table
 
-def _h1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
+Query = Callable[[SparkSession, str], DataFrame]
 
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("count_order"))
 
+def _sql(text: str) -> Query:
+    return lambda spark, sf_dir: dialect.run(spark, sf_dir, text)
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"h1_pricing_summary": _h1}
+
+def _wide(make: Callable[[DataFrame, int], DataFrame], k: int) -> Query:
+    return lambda spark, sf_dir: make(dialect.read(spark, sf_dir, "lineitem"), k)
+
+
+def queries() -> dict[str, Query]:
+    found: dict[str, Query] = {name: _sql(text) for name, text in decision_support.QUERIES.items()}
+    for n, k in enumerate(wide_table.WIDTHS, 1):
+        found[f"w{n}_read_{k}"] = _wide(wide_table.read_records, k)
+        found[f"w{n + 10}_max_{k}"] = _wide(wide_table.max_fields, k)
+        found[f"w{n + 20}_sum_{k}"] = _wide(wide_table.sum_record, k)
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = dict(decision_support.QUERIES)
+    for n, k in enumerate(wide_table.WIDTHS, 1):
+        found[f"w{n}_read_{k}"] = wide_table.oracle("read", k)
+        found[f"w{n + 10}_max_{k}"] = wide_table.oracle("max", k)
+        found[f"w{n + 20}_sum_{k}"] = wide_table.oracle("sum", k)
+    return found
