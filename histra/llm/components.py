@@ -19,7 +19,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("component", "near").alias("to"), F.col("component").alias("was"))
-        step = materialise(step)
         jump = step.select(F.col("node").alias("n"), F.col("to").alias("far"))
         after = materialise(step.join(jump, F.col("to") == F.col("n")).select("node", F.least("to", "far").alias("component"), "was"))
         labels = after.select("node", "component")

@@ -47,7 +47,6 @@ HELD_SHINGLES = 4_000_000
 #: Cost of scanning a posting, in rows.
 SCAN_COST = 2.0
 MOST_LIGHT = 64
-PIVOT_ROUNDS, NEIGHBOUR_ROUNDS = 1, 1
 #: Lists up to this length make their open pairs by a join, others in blocks of so many members.
 SHORT_LIST, BLOCK = 128, 2048
 #: The filter for fetching sets: 4 MB.
@@ -367,36 +366,22 @@ def components(docs: DataFrame) -> DataFrame:
     lengths = lists.groupBy("key").agg(F.count("*").alias("length"))
     weights = materialise(lists.join(lengths, "key").groupBy("id").agg(F.sum("length").alias("weight")))
     band = F.floor(F.log(F.col("n") / 1.0) / F.log(F.lit(WHOLE / PART))).cast("int")
-    open_lists = lists.withColumn("c", F.col("id"))
-    held, links = None, None
-    for turn in range(PIVOT_ROUNDS + NEIGHBOUR_ROUNDS):
-        if turn < PIVOT_ROUNDS:
-            pivots = open_lists.join(weights, "id").groupBy("key", band.alias("band")).agg(F.max(F.struct("weight", "id", "n", "c")).alias("p"))
-            looks = open_lists.select("key", "id", "n", "c", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-            pairs = looks.join(pivots, ["key", "band"]).filter((F.col("p.c") != F.col("c")) & sizes_can_link(F.col("n"), F.col("p.n")))
-            pairs = plausible(pairs.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct(), cells)
-            pairs = pairs.join(weights.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.max(F.struct("weight", "a")).alias("p")).select("p.a", "b")
-        else:
-            # Each member against the one after it, in an order that is another for each list and round: a member that links
-            # with some of a component meets many of it, over its lists, and the pairs stay linear in the members.
-            order = Window.partitionBy("key").orderBy(F.xxhash64("id", "key", F.lit(turn)))
-            pairs = open_lists.withColumn("o", F.lead(F.struct("id", "n", "c")).over(order)).filter((F.col("o.c") != F.col("c")) & sizes_can_link(F.col("n"), F.col("o.n")))
-            pairs = plausible(pairs.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct(), cells)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialise(pairs if held is None else pairs.join(held.select("a", "b"), ["a", "b"], "left_anti"))
-        now = materialise(compare(pairs, docs))
-        held = now if held is None else held.unionByName(now)
-        links = held.filter("linked").select("a", "b")
-        # Lists whose members are in one component are done.
-        labels = materialise(connected_components(links))
-        labelled = lists.join(labels, lists.id == labels.node, "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-        mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-        open_lists = materialise(labelled.join(mixed, "key", "left_semi"))
+    looks = lists.select("key", "id", "n", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    pivots = lists.join(weights, "id").groupBy("key", band.alias("band")).agg(F.max(F.struct("weight", "id", "n")).alias("p"))
+    pairs = looks.join(pivots, ["key", "band"]).filter((F.col("p.id") != F.col("id")) & sizes_can_link(F.col("n"), F.col("p.n")))
+    pairs = plausible(pairs.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct(), cells)
+    best = pairs.join(weights.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.max(F.struct("weight", "a")).alias("p"))
+    first = materialise(best.select(F.least("p.a", "b").alias("a"), F.greatest("p.a", "b").alias("b")).distinct())
+    held = materialise(compare(first, docs))
+    links = held.filter("linked").select("a", "b")
+    # Lists whose members are in one component are done.
+    labels = connected_components(links)
+    labelled = lists.join(labels, lists.id == labels.node, "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).filter("low <> high").select("key", "m")
+    open_lists = materialise(labelled.join(mixed, "key"))
 
     # Last round: all pairs of open lists that lie in different components and were not compared. Pairs of short lists come
     # from a join; long lists are gone through in blocks, and only pairs that the bound leaves are made into rows.
-    counted = open_lists.groupBy("key").agg(F.count("*").alias("m"))
-    open_lists = open_lists.join(counted, "key")
     short = open_lists.filter(F.col("m") <= SHORT_LIST)
     other = short.select("key", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("c").alias("c2"))
     few = short.join(other, "key").filter((F.col("id") < F.col("b")) & (F.col("c") != F.col("c2")) & sizes_can_link(F.col("n"), F.col("n2")))
