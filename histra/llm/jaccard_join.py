@@ -43,7 +43,7 @@ PART, WHOLE = 4, 5
 #: Cells of the frequency sketch; a shingle enters it with its count when so many sets of one task's stretch have it.
 CELL_BITS = 20
 FREQUENT = 4
-HELD_SHINGLES = 4_000_000
+HELD_SHINGLES = 2_000_000
 #: Cost of scanning a posting, in rows.
 SCAN_COST = 2.0
 MOST_LIGHT = 64
