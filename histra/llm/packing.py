@@ -20,6 +20,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ SHARD_CHARS = 2_000_000
 K1, B = 1.2, 0.75
 QUERY_TERMS = 16
 NEIGHBOURS = 24
-MOST_WORDS = 400_000
+MOST_WORDS, KEPT_WORDS = 400_000, 250_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -66,11 +67,19 @@ class WordTokenizer:
     def learn(self, words: list[str]) -> None:
         """ASCII words are put together from their parts (as the tokenizer's own first step cuts them), of which there are
         far fewer; other words are left to the tokenizer."""
-        plain = {w: self.parts(w.lower()) for w in words if w.isascii() and "<|" not in w and self.MARK not in w}
-        fresh = {x for parts in plain.values() for x in parts if x not in self.known}
-        self.learn_whole([*fresh, *(w for w in words if w not in plain and w not in fresh)])
-        for w, parts in plain.items():
-            self.known[w] = self.known[parts[0]] if len(parts) == 1 else b"".join([self.known[x] for x in parts])
+        known, whole, built = self.known, [], []
+        for w in words:
+            if not w.isascii() or "<|" in w or self.MARK in w:
+                whole.append(w)
+            elif w.isalpha() and w.islower():
+                whole.append(w)
+            else:
+                built.append((w, self.parts(w.lower())))
+        fresh = {x for _, parts in built for x in parts if x not in known}
+        fresh.update(whole)
+        self.learn_whole(list(fresh))
+        for w, parts in built:
+            known[w] = b"".join([known[x] for x in parts])
 
     def learn_whole(self, words: list[str]) -> None:
         alone = [w for w in words if self.mark is None or self.MARK in w]
@@ -89,17 +98,40 @@ class WordTokenizer:
                 at = cut + 4
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # Small letters first, where that can't matter, so that there are fewer words.
-        lowered = [t.lower() if t.isascii() and "<|" not in t else t for t in texts]
-        known, split = self.known, [t.replace("\n", " ").split(" ") for t in lowered]
-        new = {w for words in split for w in words if w not in known}
-        if len(known) + len(new) > MOST_WORDS:
-            known.clear()
-            known[""] = b""
-            new = {w for words in split for w in words if w}
+        split = [(t.lower() if small_letters_are_safe(t) else t).replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*split) - self.known.keys()
+        if len(self.known) + len(new) > MOST_WORDS:
+            # What came first came often.
+            self.known = dict(islice(self.known.items(), KEPT_WORDS))
+            new = set().union(*split) - self.known.keys()
         if new:
             self.learn(list(new))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) for words in split]
+
+
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """The Python worker's own, which lives on from task to task with its table of words."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
+
+def small_letters_are_safe(text: str) -> bool:
+    """Whether lower-casing before the tokenizer's own steps can't change the ids: no special token, and only characters (up to
+    U+00FF) that its normal form leaves alone. It makes for fewer different words."""
+    if "<|" in text:
+        return False
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class Index:
@@ -182,13 +214,11 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def _pack(path: str, window: int):
-    tokenizers: dict[str, WordTokenizer] = {}
-
     def work(shard: int, ids: list, texts: list[str]) -> pa.RecordBatch:
-        if path not in tokenizers:
-            tokenizers[path] = WordTokenizer(path)
+        from histra.llm import packing  # the module of the worker, not a copy that came with this function
+
         end = np.array([END_ID], "<u4").tobytes()
-        docs = [np.frombuffer(x + end, "<u4") for x in tokenizers[path].encode(texts)]
+        docs = [np.frombuffer(x + end, "<u4") for x in packing.worker_tokenizer(path).encode(texts)]
         rows = list(pack_shard(docs, window))
         doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*rows, strict=True))
         crc = [zlib.crc32(docs[d][s : s + n].tobytes()) for d, s, n, _, _ in rows]
