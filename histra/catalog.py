@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from histra.plans import decision_support, dialect, history_queries, wide_table
+from histra.plans import decision_support, dialect, history_queries, predicate_queries, wide_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         found[f"w{n + 10}_max_{k}"] = _wide(wide_table.max_fields, k)
         found[f"w{n + 20}_sum_{k}"] = _wide(wide_table.sum_record, k)
     found.update(history_queries.QUERIES)
+    found.update(predicate_queries.QUERIES)
     return found
 
 
@@ -36,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
         found[f"w{n + 10}_max_{k}"] = wide_table.oracle("max", k)
         found[f"w{n + 20}_sum_{k}"] = wide_table.oracle("sum", k)
     found.update(history_queries.ORACLES)
+    found.update(predicate_queries.ORACLES)
     return found
