@@ -318,7 +318,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """pairs: a, b (materialised, distinct). Adds linked."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
+    need = pairs.select(F.col("a").alias("need")).union(pairs.select("b")).distinct()
     sets = fetch_sets(docs, need)
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
