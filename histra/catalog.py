@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from histra.plans import decision_support, dialect, history_queries, predicate_queries, wide_table
+from histra.plans import decision_support, dialect, history_queries, predicate_queries, run_queries, transactional, wide_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,10 @@ def _sql(text: str) -> Query:
     return lambda spark, sf_dir: dialect.run(spark, sf_dir, text)
 
 
+def _template(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transactional.run_template(spark, sf_dir, name)
+
+
 def _wide(make: Callable[[DataFrame, int], DataFrame], k: int) -> Query:
     return lambda spark, sf_dir: make(dialect.read(spark, sf_dir, "lineitem"), k)
 
@@ -27,6 +32,9 @@ def queries() -> dict[str, Query]:
         found[f"w{n + 20}_sum_{k}"] = _wide(wide_table.sum_record, k)
     found.update(history_queries.QUERIES)
     found.update(predicate_queries.QUERIES)
+    found.update(run_queries.QUERIES)
+    found.update({name: _sql(text) for name, text in transactional.QUERIES.items()})
+    found.update({name: partial(_template, name) for name in transactional.TEMPLATES})
     return found
 
 
@@ -38,4 +46,7 @@ def oracle_sql() -> dict[str, str]:
         found[f"w{n + 20}_sum_{k}"] = wide_table.oracle("sum", k)
     found.update(history_queries.ORACLES)
     found.update(predicate_queries.ORACLES)
+    found.update(run_queries.ORACLES)
+    found.update(transactional.QUERIES)
+    found.update(transactional.TEMPLATE_ORACLES)
     return found

@@ -1,0 +1,75 @@
+"""Verdicts for many histories at once: one history is one group, decided in one task."""
+
+from __future__ import annotations
+
+import json
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from histra.functions.isolation import decide
+
+from .history import History
+
+SCHEMA = "history_id long, level string, verdict string, reason string, witness string, nodes long"
+
+
+def _lines(h: History) -> DataFrame:
+    """All rows of a history in one table: kind, four longs and two texts."""
+    none = lambda t: F.lit(None).cast(t)
+    shape = lambda df, kind, a, b, c, d, key: df.select(F.col("history_id").cast("long").alias("history_id"), F.lit(kind).alias("kind"), a.cast("long").alias("a"), b.cast("long").alias("b"), c.cast("long").alias("c"), d.cast("long").alias("d"), key.alias("key"))
+    col = F.col
+    parts = [
+        shape(h.txns, "t", col("txn"), col("session"), col("so_pos"), none("long"), none("string")),
+        shape(h.reads(), "r", col("txn"), col("op_index"), col("value"), none("long"), col("key")),
+        shape(h.writes(), "w", col("txn"), col("op_index"), col("value"), none("long"), col("key")),
+        shape(h.pred_reads, "p", col("txn"), col("op_index"), col("modulus"), col("residue"), none("string")),
+        shape(h.pred_inputs, "i", col("txn"), col("op_index"), col("value"), none("long"), col("key")),
+        shape(h.initial, "0", col("value"), none("long"), none("long"), none("long"), col("key")),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows
+
+
+def _decide(level: str, budget: int | None):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        of = {k: [tuple(None if pd.isna(x) else x for x in r) for r in g[["a", "b", "c", "d", "key"]].itertuples(index=False)] for k, g in rows.groupby("kind")}
+        as_int = lambda *xs: tuple(int(x) for x in xs)
+        txns = [as_int(a, b, c) for a, b, c, _, _ in of.get("t", [])]
+        ops = [(int(a), int(b), k, key, int(c)) for k in "rw" for a, b, c, _, key in of.get(k, [])]
+        preds = [(int(a), int(b), lambda v, m=int(c), r=int(d): v % m == r) for a, b, c, d, _ in of.get("p", [])]
+        inputs: dict = {}
+        for a, b, c, _, key in of.get("i", []):
+            inputs.setdefault(as_int(a, b), {})[key] = int(c)
+        initial = {key: int(a) for a, _, _, _, key in of.get("0", [])}
+        v = decide(txns, ops, preds, inputs, initial, level, budget)
+        witness = json.dumps([list(e) for e in v.cycle])
+        return pd.DataFrame([[rows["history_id"].iloc[0], level, v.verdict, v.reason, witness, v.nodes]], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    return run
+
+
+def verdicts(h: History, level: str = "SER", budget: int | None = None) -> DataFrame:
+    """history_id, level, verdict, reason, witness (JSON list of labelled edges), nodes (search nodes)."""
+    return _lines(h).groupBy("history_id").applyInPandas(_decide(level, budget), SCHEMA)
+
+
+def summary(found: DataFrame) -> DataFrame:
+    return found.groupBy("level", "verdict").agg(F.count("*").alias("histories"))
+
+
+def witness_edges(found: DataFrame) -> DataFrame:
+    """One row for each edge of each witness."""
+    steps = F.from_json("witness", "array<array<string>>")
+    edges = found.select("history_id", "level", F.posexplode(steps).alias("step", "e"))
+    return edges.select("history_id", "level", "step", F.col("e")[0].cast("long").alias("src"), F.col("e")[1].cast("long").alias("dst"), F.col("e")[2].alias("type"), F.col("e")[3].alias("key"))
+
+
+def dot(found: DataFrame) -> DataFrame:
+    """A digraph text for each rejected history."""
+    lines = witness_edges(found).select("history_id", "level", F.format_string('  "%d" -> "%d" [label="%s %s"];', "src", "dst", "type", F.coalesce("key", F.lit(""))).alias("line"), "step")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "line"))), lambda x: x["line"]), "\n")
+    return lines.groupBy("history_id", "level").agg(F.concat(F.lit("digraph conflict {\n"), body, F.lit("\n}")).alias("dot"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from histra.operators import graph, validate
+from histra.operators import graph, solve, validate
 from histra.operators.history import EVENTS_SQL, N_KEYS, from_events
 
 from .dialect import read
@@ -43,6 +43,11 @@ QUERIES = {
     "g18_cycles": _of(lambda h: graph.cyclic_histories(graph.known_edges(h))),
     "g19_reduced": _of(lambda h: graph.reduced(graph.write_read(h), h.txns)),
     "g20_order_in_session": _of(lambda h: h.txns.select("history_id", "txn", "so_pos")),
+    "g21_serializable": _of(lambda h: solve.verdicts(h, "SER")),
+    "g23_snapshot_isolated": _of(lambda h: solve.verdicts(h, "SI", 200)),
+    "g25_witness_edges": _of(lambda h: solve.witness_edges(solve.verdicts(h, "SER"))),
+    "g26_summary": _of(lambda h: solve.summary(solve.verdicts(h, "SER"))),
+    "s19_dot": _of(lambda h: solve.dot(solve.verdicts(h, "SER"))),
 }
 
 _SOURCES = """
