@@ -60,28 +60,38 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("start")).alias("starts"))
 
 
-def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All columns of docs with text replaced, and n_lines, n_removed, n_runs."""
-    found = repeats(docs, window).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "starts")
-    joined = docs.withColumn("_t", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left")
-    starts = F.col("starts")
-    covered = F.flatten(F.transform(starts, lambda s: F.sequence(s, s + window - 1)))
-    gone = F.array_distinct(covered)
-    kept = F.array_join(F.filter(lines_of(F.col("text")), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    opens = F.size(F.filter(F.col("_gone"), lambda i: ~F.array_contains(F.col("_gone"), i - 1)))
-    marked = joined.withColumn("_gone", gone)
+def _judged(docs: DataFrame, window: int) -> DataFrame:
+    """docs and _ld_text, _ld_lines, _ld_removed, _ld_runs."""
+    found = repeats(docs, window).select(F.col("doc_id").alias("_ld_id"), F.col("text_hash").alias("_ld_hash"), F.col("starts").alias("_ld_starts"))
+    same = F.col("doc_id").eqNullSafe(F.col("_ld_id")) & (F.xxhash64("text") == F.col("_ld_hash"))
+    covered = F.flatten(F.transform("_ld_starts", lambda s: F.sequence(s, s + window - 1)))
+    marked = docs.join(found, same, "left").withColumn("_ld_gone", F.array_distinct(covered))
+    kept = F.array_join(F.filter(lines_of(F.col("text")), lambda x, i: ~F.array_contains(F.col("_ld_gone"), i)), "\n")
+    opens = F.size(F.filter("_ld_gone", lambda i: ~F.array_contains(F.col("_ld_gone"), i - 1)))
+    none = F.col("_ld_starts").isNull()
     return marked.select(
-        *[F.when(F.col("starts").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.size(lines_of(F.col("text"))), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("starts").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
-        F.when(F.col("starts").isNull(), 0).otherwise(opens).cast("long").alias("n_runs"),
+        *docs.columns,
+        F.when(none, F.col("text")).otherwise(kept).alias("_ld_text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_of(F.col("text")))).cast("long").alias("_ld_lines"),
+        F.when(none, 0).otherwise(F.size("_ld_gone")).cast("long").alias("_ld_removed"),
+        F.when(none, 0).otherwise(opens).cast("long").alias("_ld_runs"),
     )
 
 
+def _with_text(docs: DataFrame) -> list[Column]:
+    return [F.col("_ld_text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
+
+
+def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, text (what is left), n_lines, n_removed, n_runs."""
+    names = {"_ld_lines": "n_lines", "_ld_removed": "n_removed", "_ld_runs": "n_runs"}
+    return _judged(docs.select("doc_id", "text"), window).select("doc_id", F.col("_ld_text").alias("text"), *[F.col(k).alias(v) for k, v in names.items()])
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with their kept lines; texts of which no line is left go."""
-    found = dedup(docs, window)
-    return found.filter(~((F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines")))).select(*docs.columns)
+    """docs, all columns, with their kept lines; texts of which no line is left go."""
+    found = _judged(docs, window)
+    return found.filter("not (_ld_removed > 0 and _ld_removed = _ld_lines)").select(*_with_text(docs))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

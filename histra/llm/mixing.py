@@ -124,13 +124,13 @@ WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: a row for each whole time a document is taken, and one with its first words for the rest."""
-    taken = mix(materialise(sized(docs))).filter("taken > 0").groupBy(F.col("doc_id").alias("_d"), F.col("size").alias("_s")).agg(F.max("taken").alias("_t"))
+    taken = mix(materialise(sized(docs))).filter("taken > 0").groupBy(F.col("doc_id").alias("_mix_d"), F.col("size").alias("_mix_s")).agg(F.max("taken").alias("_mix_t"))
     words = F.size(F.array_remove(F.split(no_text_as_empty(F.col("text")), BLANKS), "")).cast("long")
-    joined = docs.withColumn("_n", words).join(taken, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_n") == F.col("_s")))
-    rest = (F.col("_t") % F.col("_n")).cast("int")
-    copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("_t") / F.col("_n")).cast("int")))
-    rows = joined.withColumn("_copy", copies)
-    text = F.when(F.col("_copy") * F.col("_n") <= F.col("_t"), F.col("text")).otherwise(F.array_join(F.slice(F.split("text", WORD_END), 1, rest), ""))
+    joined = docs.withColumn("_mix_n", words).join(taken, F.col("doc_id").eqNullSafe(F.col("_mix_d")) & (F.col("_mix_n") == F.col("_mix_s")))
+    rest = (F.col("_mix_t") % F.col("_mix_n")).cast("int")
+    copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("_mix_t") / F.col("_mix_n")).cast("int")))
+    rows = joined.withColumn("_mix_copy", copies)
+    text = F.when(F.col("_mix_copy") * F.col("_mix_n") <= F.col("_mix_t"), F.col("text")).otherwise(F.array_join(F.slice(F.split("text", WORD_END), 1, rest), ""))
     return rows.withColumn("text", text).select(*docs.columns)
 
 

@@ -37,7 +37,8 @@ SHARD_CHARS = 2_000_000
 K1, B = 1.2, 0.75
 QUERY_TERMS = 16
 NEIGHBOURS = 24
-MOST_WORDS, KEPT_WORDS = 400_000, 250_000
+#: Words in a worker's table; how many stay when it is full, and after a task.
+MOST_WORDS, KEPT_WORDS, LASTING_WORDS = 600_000, 300_000, 150_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -49,60 +50,69 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordTokenizer:
     """ids of a text as bytes (little-endian unsigned 32-bit)."""
 
-    #: Stands between words that are encoded in one go: a control character, for which the vocabulary has one id.
-    MARK = "\x01"
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the unit of work
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self.encode_batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        mark = tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
         self.known: dict[str, bytes] = {"": b""}
-        #: The pattern of the tokenizer's file, for small ASCII letters.
-        self.parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
+        #: Which ids end a word, by the vocabulary's mark.
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        #: The pattern of the tokenizer's file, for small letters up to U+00FF.
+        letters, digits = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+        self.parts = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\\t-\\r \\x85\\xa0{letters}{digits}]+").findall
 
     def learn(self, words: list[str]) -> None:
-        """ASCII words are put together from their parts (as the tokenizer's own first step cuts them), of which there are
-        far fewer; other words are left to the tokenizer."""
-        known, whole, built = self.known, [], []
+        """Words of characters up to U+00FF are put together from their parts (as the tokenizer's own first step cuts them), of
+        which there are far fewer; other words are left to the tokenizer."""
+        known, single, built, other = self.known, [], [], []
         for w in words:
-            if not w.isascii() or "<|" in w or self.MARK in w:
-                whole.append(w)
+            if "<|" in w or not (w.isascii() or max(w) < "\u0100"):
+                other.append(w)
             elif w.isalpha() and w.islower():
-                whole.append(w)
+                single.append(w)
             else:
                 built.append((w, self.parts(w.lower())))
         fresh = {x for _, parts in built for x in parts if x not in known}
-        fresh.update(whole)
-        self.learn_whole(list(fresh))
+        fresh.update(single)
+        self.learn_parts(list(fresh))
+        self.learn_whole(other)
         for w, parts in built:
             known[w] = b"".join([known[x] for x in parts])
 
     def learn_whole(self, words: list[str]) -> None:
-        alone = [w for w in words if self.mark is None or self.MARK in w]
-        if alone:
-            words = [w for w in words if self.mark is not None and self.MARK not in w]
-            for w, e in zip(alone, self.encode_batch(alone, add_special_tokens=False), strict=True):
+        for lo in range(0, len(words), 5000):
+            part = words[lo : lo + 5000]
+            for w, e in zip(part, self.encode_batch(part, add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def learn_parts(self, words: list[str]) -> None:
+        """Words that are one part each: encoded many at a time and told apart by the ids that end a word."""
         parts = [words[lo : lo + 500] for lo in range(0, len(words), 500)]
-        joined = self.encode_batch([f" {self.MARK} ".join(part) for part in parts], add_special_tokens=False)
-        for part, e in zip(parts, joined, strict=True):
+        for part, e in zip(parts, self.encode_batch([" ".join(part) for part in parts], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
+            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(cuts) != len(part):
+                self.learn_whole(part)
+                continue
             raw, at = ids.tobytes(), 0
-            for w, cut in zip(part, (4 * cuts).tolist() + [len(raw)], strict=True):
+            for w, cut in zip(part, cuts.tolist(), strict=True):
                 self.known[w] = raw[at:cut]
-                at = cut + 4
+                at = cut
+
+    def trim(self, keep: int) -> None:
+        """Only the first words, which came first because they come often."""
+        if len(self.known) > keep:
+            self.known = dict(islice(self.known.items(), keep))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [(t.lower() if small_letters_are_safe(t) else t).replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split) - self.known.keys()
         if len(self.known) + len(new) > MOST_WORDS:
-            # What came first came often.
-            self.known = dict(islice(self.known.items(), KEPT_WORDS))
+            self.trim(KEPT_WORDS)
             new = set().union(*split) - self.known.keys()
         if new:
             self.learn(list(new))
@@ -238,6 +248,9 @@ def _pack(path: str, window: int):
                 texts.append(text)
         if ids:
             yield work(now, ids, texts)
+        from histra.llm import packing
+
+        packing.worker_tokenizer(path).trim(LASTING_WORDS)
 
     return run
 
