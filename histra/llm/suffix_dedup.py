@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textnum
 from .common import materialise, no_text_as_empty, table
@@ -239,10 +240,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, pick: int = PICK, most
     if not GRAM <= length - pick + 1 or not 0 < pick < 256:
         raise ValueError("a string must hold a gram after its last possible anchor")
     anchors = docs.select("rid", "text").mapInArrow(_anchors(length, pick), "rid long, bucket long, piece long, packed long")
-    # An aggregate with map-side combine and a join whose hot side can be split: one bucket may hold a third of all pieces.
-    several = anchors.groupBy("bucket").agg(F.count("*").alias("places"), F.min("piece").alias("low"), F.max("piece").alias("high")).filter("places > 1")
-    several = several.select(F.col("bucket").alias("b"), (F.col("low") == F.col("high")).alias("alike"))
-    shared = materialise(anchors.join(several, F.col("bucket") == F.col("b")).select("rid", "bucket", "piece", "packed", "alike"))
+    # One shuffle of light rows; the window spills, so a bucket of any size passes through it.
+    same = Window.partitionBy("bucket")
+    counted = anchors.withColumn("places", F.count("*").over(same)).withColumn("low", F.min("piece").over(same)).withColumn("high", F.max("piece").over(same))
+    shared = materialise(counted.filter("places > 1").select("rid", "bucket", "piece", "packed", (F.col("low") == F.col("high")).alias("alike")))
 
     distinct = shared.filter("not alike").groupBy("bucket", "piece").agg(F.min(F.struct("rid", "packed")).alias("one"), F.count("*").alias("copies"))
     crowded = distinct.groupBy("bucket").agg((F.count("*") > most_pieces).alias("crowded"))
