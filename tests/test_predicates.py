@@ -1,0 +1,66 @@
+from __future__ import annotations
+
+import json
+
+import pytest
+
+from histra.functions import predicate_engine as engine
+from histra.functions.predicate_language import Binary, Field, Literal, PredicateError, parse, parse_query
+
+STATE = [("purchases:1", {"sku": "a", "buyer": 1}), ("purchases:2", {"sku": "a", "buyer": 2}), ("inventory:a", {"sku": "a", "stock": 5}), ("audit:1", {"x": 1}), ("k1", 7), ("k2", -7)]
+JOIN = {"from": {"relation": "purchases", "alias": "p"}, "joins": [{"relation": "inventory", "alias": "i", "on": ["p.sku = i.sku"]}], "select": {"columns": ["p.buyer", "i.stock"]}}
+
+
+@pytest.fixture
+def state(spark):
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in STATE], "key string, value string")
+
+
+def rows(evaluation):
+    return sorted((r.out, r.n) for r in engine.bag(evaluation).collect())
+
+
+def test_grammar():
+    assert parse("a.b % 3 = 1 AND TRUE") == Binary("AND", Binary("=", Binary("%", Field(("a", "b")), Literal(3)), Literal(1)), Literal(True))
+    assert parse(r"'it\'s'") == Literal("it's") and parse("9223372036854775807") == Literal(2**63 - 1)
+    for bad in ("a >= 1", "a = 1 = 2", "(a", "a +", "9223372036854775808", r"'\q'", "AND", ""):
+        with pytest.raises(PredicateError):
+            parse(bad)
+    assert parse("a >= 1", extended=True).op == ">="
+
+
+def test_query_objects():
+    for bad in ({}, {**JOIN, "joins": [{**JOIN["joins"][0], "type": "left"}]}, {**JOIN, "joins": [{**JOIN["joins"][0], "alias": "p"}]}, {**JOIN, "where": ["q.x = 1"]}, {**JOIN, "select": {"columns": ["p.buyer % 2"]}}, {**JOIN, "select": {"columns": ["p.sku", "i.sku"]}}):
+        with pytest.raises(PredicateError):
+            parse_query(bad)
+    assert parse_query(JOIN).relations() == {"purchases", "inventory"} and parse_query(JOIN).identity() == parse_query(dict(JOIN)).identity()
+
+
+def test_join_and_lineage(state):
+    e = engine.evaluate(parse_query(JOIN), state)
+    assert rows(e) == [('{"buyer":1,"stock":5}', 1), ('{"buyer":2,"stock":5}', 1)]
+    assert {r.key for r in engine.inputs(e).collect()} == {"purchases:1", "purchases:2", "inventory:a"} and e.errors.count() == 0
+
+
+def test_distinct_unites_lineage(state):
+    e = engine.evaluate(parse_query({**JOIN, "select": {"distinct": True, "columns": ["i.stock"]}}), state)
+    assert [(r.out, len(r.lineage)) for r in e.rows.collect()] == [('{"stock":5}', 3)]
+
+
+@pytest.mark.parametrize(("where", "keys"), [("value % 4 = 3", {"k1"}), ("value % 4 = 1", {"k2"}), ("value % -4 = -1", {"k1"}), ("value > 0", {"k1"}), ("value = '7'", set()), ("NULL = NULL", {"k1", "k2"}), ("FALSE AND value % 0 = 1", set())])
+def test_predicates(state, where, keys):
+    e = engine.evaluate(parse_query({"from": {"relation": "kv"}, "where": [where], "select": {"columns": ["k"]}}), state)
+    assert {json.loads(r.out)["k"] for r in e.rows.collect()} == keys and e.errors.count() == 0
+
+
+@pytest.mark.parametrize("where", ["value % 0 = 1", "value > 'a'", "value.x = 1", "value", "TRUE AND value"])
+def test_errors(state, where):
+    assert engine.evaluate(parse_query({"from": {"relation": "kv"}, "where": [where], "select": {"columns": ["k"]}}), state).errors.count() == 1
+
+
+def test_snapshots_side_by_side(spark, state):
+    from pyspark.sql import functions as F
+
+    both = state.withColumn("s", F.lit(1)).unionByName(state.filter("key <> 'purchases:2'").withColumn("s", F.lit(2)))
+    e = engine.evaluate(parse_query(JOIN), both, ["s"])
+    assert {r.s: r["count"] for r in e.rows.groupBy("s").count().collect()} == {1: 2, 2: 1}
