@@ -103,10 +103,13 @@ def unite(*graphs: DataFrame) -> DataFrame:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop by a checkpoint in the session's shared folder."""
+    """Cut the lineage of a loop by a checkpoint in the session's shared folder; a session on one machine gets its own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="histra-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; a cluster needs a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="histra-"))
     return df.checkpoint(eager=True)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The shares at which latencies are reported.
 SHARES = {"min": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99, "max": 1.0}
@@ -20,20 +21,20 @@ def distribution(samples: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation (0 for one sample) and the latencies at index floor(share * n), at most n - 1, of the
     sorted list; no interpolation. Without samples and without groups every figure is -1.
 
-    The percentiles come from a rank window over the groups, not from a list in one row, so a group may be of any size."""
-    from pyspark.sql.window import Window
-
+    Equal latencies are counted first, with map-side combine, so the running sum that finds the percentiles passes over the
+    different latencies of a group and not over its samples."""
     by = by or []
-    order = Window.partitionBy(*by).orderBy("latency_us")
-    group = Window.partitionBy(*by)
-    ranked = samples.withColumn("r", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(group))
+    counts = samples.groupBy(*by, "latency_us").agg(F.count("*").alias("c"))
+    order = Window.partitionBy(*by).orderBy("latency_us").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
     at = lambda share: F.least(F.floor(F.lit(share) * F.col("n")), F.col("n") - 1)
-    figures = [F.max(F.when(F.col("r") == at(s), F.col("latency_us"))).alias(name) for name, s in SHARES.items()]
+    figures = ranked.groupBy(*by).agg(*[F.min(F.when(F.col("upto") > at(s), F.col("latency_us"))).alias(name) for name, s in SHARES.items()])
     mean, deviation = F.avg("latency_us"), F.coalesce(F.stddev_samp("latency_us"), F.lit(0.0))
-    found = ranked.groupBy(*by).agg(F.count("*").alias("count"), F.round(mean, 4).alias("mean"), F.round(deviation, 4).alias("stddev"), *figures)
+    means = samples.groupBy(*by).agg(F.count("*").alias("count"), F.round(mean, 4).alias("mean"), F.round(deviation, 4).alias("stddev"))
     if by:
-        return found
-    return found.select("count", *[F.when(F.col("count") == 0, F.lit(-1)).otherwise(F.col(c)).alias(c) for c in ("mean", "stddev", *SHARES)])
+        return means.join(figures, by)
+    both = means.crossJoin(figures)  # one row each
+    return both.select("count", *[F.when(F.col("count") == 0, F.lit(-1)).otherwise(F.col(c)).alias(c) for c in ("mean", "stddev", *SHARES)])
 
 
 def time_buckets(samples: DataFrame, seconds: int, txn_type: str | None = None) -> DataFrame:
