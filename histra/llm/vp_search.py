@@ -5,7 +5,9 @@ Inner products become distances by one more component: with R the largest norm,
 product, and the triangle inequality holds. A tree node keeps a vantage point and the median distance of its points to it;
 nearer points go to one child, farther ones to the other. A query at distance d from the vantage point is at least
 |d - median| away from everything in the other child. That child is skipped when `factor` times this bound exceeds the
-distance of the k-th best so far: factor 1 is exact search, larger factors skip more and may miss neighbours.
+distance of the k-th best so far: factor 1, the default, is exact search. R is the largest norm of the shard, so one long
+vector loosens the bounds of its own shard only. Larger factors skip more and lose neighbours wherever norms differ: with R
+far above most norms every query is about R away from every point, and a multiple of that bound skips nearly all.
 
 The rows are dealt to shards by a hash of their id, so equal vectors spread evenly, and a shard's size is bounded. A task
 holds one shard's tree and one batch of queries; each query passes over all shards, and its best k of every shard are
@@ -30,9 +32,9 @@ from pyspark.sql.window import Window
 from .common import table
 
 K = 20
-#: On random directions in 64 dimensions, the hardest case for pruning, recall is 1.0 at 4, 0.99 at 6 and 0.95 at 8, but data of
-#: fewer dimensions lose more at the same factor.
-FACTOR = 2.0
+FACTOR = 1.0
+#: Room for rounding in the comparison of distances.
+SLACK = 1e-9
 LEAF = 128
 QUERY_EVERY = 20
 #: A shard's rows at most, about; small tables get more and smaller shards, for the sake of parallel work.
@@ -101,7 +103,7 @@ class Tree:
         self._visit(node.far, who[~inner])
         kth = self.score[who, self.k - 1]
         tau = np.where(np.isfinite(kth), np.sqrt(np.maximum(self.square[who] - 2 * np.where(np.isfinite(kth), kth, 0.0), 0.0)), np.inf)
-        again = bound <= tau
+        again = bound <= tau * (1 + SLACK)
         self._visit(node.far, who[inner & again])
         self._visit(node.near, who[~inner & again])
 
@@ -134,7 +136,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 SCHEMA = "query_id long, vec_id long, score double, looked_at long"
 
 
-def _search(radius: float, k: int, factor: float):
+def _search(k: int, factor: float):
     """Rows (group, kind, id, vector), sorted by group and kind: a shard's vectors (kind 0), then its queries (kind 1)."""
 
     def answer(tree: Tree, ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
@@ -159,7 +161,9 @@ def _search(radius: float, k: int, factor: float):
                     parts.append((ids[lo:hi], x))
                     continue
                 if tree is None and parts:
-                    tree = Tree(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), radius)
+                    vectors = np.concatenate([p[1] for p in parts])
+                    radius = float(np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max())) * (1 + 1e-12)
+                    tree = Tree(np.concatenate([p[0] for p in parts]), vectors, radius)
                     parts = []
                 if tree is not None:
                     for at in range(0, hi - lo, QUERY_BATCH):
@@ -177,7 +181,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 def search(vectors: DataFrame, query_every: int = QUERY_EVERY, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """vectors: vec_id, embedding. Returns query_id, rank, vec_id, score, looked_at (rows compared in the neighbour's shard)."""
     rows = usable(vectors)
-    n, radius = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()
+    n = rows.count()
     shards = max(1, -(-n // shard_rows), min(FEW_SHARDS, n // LEAST_ROWS))
     group = lambda shard: F.struct(F.size("v").alias("dim"), shard.alias("shard"))
     data = rows.select(group(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).alias("g"), F.lit(0).alias("kind"), "id", "v")
@@ -185,7 +189,7 @@ def search(vectors: DataFrame, query_every: int = QUERY_EVERY, k: int = K, facto
     asks = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(group(F.col("shard")).alias("g"), F.lit(1).alias("kind"), "id", "v")
     both = data.unionByName(asks).select((F.col("g.dim").cast("long") * 2**32 + F.col("g.shard")).alias("g"), "kind", "id", "v")
     dealt = both.repartition("g").sortWithinPartitions("g", "kind", "id")
-    found = dealt.mapInArrow(_search(float(radius or 0.0) * (1 + 1e-12), k, factor), SCHEMA).dropDuplicates(["query_id", "vec_id", "score"])
+    found = dealt.mapInArrow(_search(k, factor), SCHEMA).dropDuplicates(["query_id", "vec_id", "score"])
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "looked_at")
 

@@ -273,6 +273,20 @@ def test_vp_search(spark):
     assert loose < tight
 
 
+@pytest.mark.parametrize("norms", ["one long", "lognormal"])
+def test_vp_search_with_unequal_norms(spark, norms):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= np.where(np.arange(1500) == 7, 10.0, 1.0)[:, None] if norms == "one long" else rng.lognormal(0, 0.5, 1500)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = range(0, 1500, 20)
+    scores = x[list(asked)] @ x.T
+    scores[np.arange(len(asked)), list(asked)] = -np.inf
+    exact = [(q, int(j)) for q, s in zip(asked, scores, strict=True) for j in np.argsort(-s)[:20]]
+    assert vp_search.recall(vp_search.search(df), spark.createDataFrame(exact, "query_id long, vec_id long")) == 1.0
+
+
 def test_lexicon_matches_edit_distance():
     def near(a, b):
         if abs(len(a) - len(b)) > 1:
