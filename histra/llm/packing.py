@@ -1,10 +1,15 @@
 r"""Packing of tokenised documents into windows by lexical retrieval.
 
-A document is its ids by a public tokenizer, then one end id. Documents are dealt to shards of bounded size by a hash of
-their id. A shard has a BM25 inverted index over its documents' ids. The first unused document in order of doc_id is the
-seed of a window; the index returns the unused documents nearest to it, and these fill the window greedily: the best that
-fits whole, or, if none of the best fits, the best one cut. What is cut off leads the next window, as its seed. So every
-window but a shard's last is full.
+A document is its ids by a public tokenizer, then one end id. Document frequencies, the number of documents and their mean
+length are taken over the whole table. Documents are ordered by their terms of greatest BM25 impact, and this order is cut
+into shards of bounded size, so that documents with the same leading terms meet in one shard; those without a useful term
+stand together in order of a hash. A shard has a BM25 inverted index over its documents' ids. The first unused document in
+order of doc_id is the seed of a window; it asks with all its terms, the index ranks the unused documents, and these fill
+the window greedily: the best that fits whole, or, if none of the best 24 fits, the best one cut. What is cut off leads the
+next window, as its seed. So every window but a shard's last is full.
+
+Documents of different shards do not meet: the index is not one, and how many nearest neighbours that costs depends on how
+well leading terms tell them.
 
 Tokens of a text are looked up word by word (pieces between spaces and line feeds): the tokenizer splits there before
 anything else, so ids of a text are the ids of its words in a row. Each Python worker keeps a bounded table of words.
@@ -20,14 +25,16 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import no_text_as_empty, table
+from .common import materialise, no_text_as_empty, table
 
 WINDOW = 2048
 END_ID = 1
@@ -35,8 +42,10 @@ SHARD_DOCS = 512
 SHARD_CHARS = 2_000_000
 #: BM25.
 K1, B = 1.2, 0.75
-QUERY_TERMS = 16
 NEIGHBOURS = 24
+#: Leading terms that order the documents, bits of each in the order's key, and documents a shard whose keys make the cuts.
+LEADING, TERM_BITS = 3, 21
+SAMPLE_DOCS = 32
 #: Words in a worker's table; how many stay when it is full, and after a task.
 MOST_WORDS, KEPT_WORDS, LASTING_WORDS = 600_000, 300_000, 150_000
 
@@ -145,50 +154,90 @@ def small_letters_are_safe(text: str) -> bool:
     return True
 
 
-class Index:
-    """BM25 over the ids of a shard's documents."""
+@dataclass
+class Statistics:
+    """Of the whole table: documents, their mean length, and how many documents have each id."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        return np.log1p((self.n - self.df[terms] + 0.5) / (self.df[terms] + 0.5))
+
+    def useful(self, terms: np.ndarray) -> np.ndarray:
+        """Terms of most documents say little, and terms of one lead nowhere."""
+        return (self.df[terms] > 1) & (2 * self.df[terms] <= max(self.n, 4))
+
+    def norm(self, sizes: np.ndarray) -> np.ndarray:
+        return K1 * (1 - B + B * sizes / self.mean)
+
+
+def term_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, document, count), in order of term and document."""
+    n = len(docs)
+    sizes = np.array([len(d) for d in docs], np.int64)
+    ids = np.concatenate(docs)
+    narrow = np.int32 if (int(ids.max()) + 1) * n < 1 << 31 else np.int64  # half the bytes to sort
+    pairs = ids.astype(narrow) * narrow(n) + np.repeat(np.arange(n, dtype=narrow), sizes)
+    pairs.sort()
+    edge = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1], [True])))
+    return *np.divmod(pairs[edge[:-1]], narrow(n)), np.diff(edge)
+
+
+def statistics_of(docs: list[np.ndarray]) -> Statistics:
+    return Statistics(len(docs), float(np.mean([len(d) for d in docs])), np.bincount(term_counts(docs)[0]))
 
-    def __init__(self, docs: list[np.ndarray]):
-        n = len(docs)
-        sizes = np.array([len(d) for d in docs], np.int64)
-        ids = np.concatenate(docs)
-        narrow = np.int32 if (int(ids.max()) + 1) * n < 1 << 31 else np.int64  # half the bytes to sort
-        pairs = ids.astype(narrow) * narrow(n) + np.repeat(np.arange(n, dtype=narrow), sizes)
-        pairs.sort()
-        edge = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1], [True])))
-        pairs, counts = pairs[edge[:-1]], np.diff(edge)
-        self.terms, self.doc = np.divmod(pairs, narrow(n))
-        self.first = np.flatnonzero(np.concatenate(([True], self.terms[1:] != self.terms[:-1], [True])))
-        df = np.diff(self.first)
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / sizes.mean())
-        self.impact = (np.repeat(self.idf, df) * counts * (K1 + 1) / (counts + norm[self.doc])).astype(np.float32)
-        # Each document asks with its terms of greatest impact; terms of most documents say little and are left out.
-        useful = np.flatnonzero(np.repeat((df > 1) & (2 * df <= max(n, 4)), df))
-        slot = np.repeat(np.arange(len(df)), df)[useful]
-        # One key sorts by document, then by falling impact.
-        order = np.argsort(self.doc[useful] - self.impact[useful].astype(np.float64) / (float(self.impact.max()) + 1.0))
-        edge = np.searchsorted(self.doc[useful][order], np.arange(n + 1))
-        self.asks = [slot[order[lo : min(hi, lo + QUERY_TERMS)]] for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
-        self.n = n
+
+def leading_terms(docs: list[np.ndarray], whole: Statistics) -> np.ndarray:
+    """A key for each document: its LEADING useful terms of greatest impact, the greatest first; 0 without any."""
+    term, doc, count = term_counts(docs)
+    use = whole.useful(term)
+    term, doc, count = term[use].astype(np.int64), doc[use], count[use]
+    impact = whole.idf(term) * count * (K1 + 1) / (count + whole.norm(np.array([len(d) for d in docs]))[doc])
+    order = np.lexsort((term, -impact, doc))
+    term, doc = term[order], doc[order]
+    place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    key = np.zeros(len(docs), np.int64)
+    for k in range(LEADING):
+        at = place == k
+        key[doc[at]] |= (term[at] + 1) % (1 << TERM_BITS) << (TERM_BITS * (LEADING - 1 - k))
+    return key
+
+
+class Index:
+    """BM25 over the ids of a shard's documents, with the statistics of the whole table."""
+
+    def __init__(self, docs: list[np.ndarray], whole: Statistics):
+        self.n = n = len(docs)
+        term, doc, count = term_counts(docs)
+        first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1], [True])))
+        df = np.diff(first)
+        terms = term[first[:-1]]
+        # Terms that no other document of the shard has find nothing.
+        use = np.repeat((df > 1) & whole.useful(terms), df)
+        self.slot, self.doc = np.repeat(np.arange(len(df)), df)[use], doc[use]
+        norm = whole.norm(np.array([len(d) for d in docs]))
+        self.impact = np.repeat(whole.idf(terms), df)[use] * count[use] * (K1 + 1) / (count[use] + norm[self.doc])
+        order = np.argsort(self.doc, kind="stable")
+        edge = np.searchsorted(self.doc[order], np.arange(n + 1))
+        self.asks = np.split(self.slot[order], edge[1:-1])
+        self.asked = np.zeros(len(df), bool)
 
     def nearest(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents with a common term, best first; ties to the earlier."""
-        score = np.zeros(self.n, np.float32)
-        for t in self.asks[seed]:
-            span = slice(self.first[t], self.first[t + 1])
-            score[self.doc[span]] += self.impact[span]
+        self.asked[self.asks[seed]] = True
+        hit = np.flatnonzero(self.asked[self.slot])
+        self.asked[self.asks[seed]] = False
+        score = np.bincount(self.doc[hit], self.impact[hit], self.n)
         score[used] = 0
         found = np.flatnonzero(score)
-        if len(found) > NEIGHBOURS:
-            best = np.argpartition(-score[found], NEIGHBOURS - 1)
-            found = found[score[found] >= score[found[best[NEIGHBOURS - 1]]]]
-        return found[np.lexsort((found, -score[found]))][:NEIGHBOURS]
+        return found[np.lexsort((found, -score[found]))]
 
 
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], window: int = WINDOW, whole: Statistics | None = None) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of all pieces; the order of docs is the order of seeds."""
-    index, n = Index(docs), len(docs)
+    index, n = Index(docs, whole or statistics_of(docs)), len(docs)
     used, first, sequence, offset = np.zeros(n, bool), 0, 0, 0
     open_doc, start = -1, 0  # a document whose rest leads the next window
     near: list[int] = []
@@ -214,7 +263,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[i
             near = [d for d in near if not used[d]]
             if not near:
                 continue
-            fits = [d for d in near if len(docs[d]) <= room]
+            fits = [d for d in near[:NEIGHBOURS] if len(docs[d]) <= room]
             open_doc, start = (fits or near)[0], 0
             used[open_doc] = True
             rest = len(docs[open_doc])
@@ -229,34 +278,116 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[i
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, shard long"
 
 
-def _pack(path: str, window: int):
-    def work(shard: int, ids: list, texts: list[str]) -> pa.RecordBatch:
+TOKENS = "doc_id long, text_hash long, octets long, size long, ids binary"
+
+
+def _tokenise(path: str):
+    """doc_id, text_hash, text to TOKENS; ids take two bytes each if the vocabulary allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from histra.llm import packing  # the module of the worker, not a copy that came with this function
 
-        end = np.array([END_ID], "<u4").tobytes()
-        docs = [np.frombuffer(x + end, "<u4") for x in packing.worker_tokenizer(path).encode(texts)]
-        rows = list(pack_shard(docs, window))
+        tokenizer = packing.worker_tokenizer(path)
+        kind = "<u2" if len(tokenizer.ends) <= 1 << 16 else "<u4"
+        end = np.array([END_ID], kind).tobytes()
+        for part in (batch.slice(lo, 256) for batch in batches for lo in range(0, batch.num_rows, 256)):
+            raw = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in tokenizer.encode(part.column(2).to_pylist())]
+            sizes = np.array([len(x) for x in raw], np.int64) // np.dtype(kind).itemsize
+            octets = pa.compute.binary_length(part.column(2)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), octets, pa.array(sizes), pa.array(raw, pa.binary())], names=[x.split()[0] for x in TOKENS.split(", ")])
+        tokenizer.trim(LASTING_WORDS)
+
+    return run
+
+
+def _ids(sizes: pa.Array, raw: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, f"<u{len(x) // n}") for n, x in zip(sizes.to_pylist(), raw.to_pylist(), strict=True)]
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    df = np.zeros(0, np.int64)
+    for part in (batch.slice(lo, 1024) for batch in batches for lo in range(0, batch.num_rows, 1024)):
+        more = np.bincount(term_counts(_ids(part.column(0), part.column(1)))[0], minlength=len(df))
+        more[: len(df)] += df
+        df = more
+    terms = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(terms.astype(np.int64)), pa.array(df[terms])], names=["term", "df"])
+
+
+def statistics(tokens: DataFrame) -> Statistics:
+    n, total = tokens.agg(F.count("*"), F.sum("size")).first()
+    # One row for each id of the vocabulary.
+    found = tokens.select("size", "ids").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    df = np.zeros(int(found.term.max()) + 1, np.int64)
+    df[found.term] = found.df
+    return Statistics(n, total / n, df)
+
+
+def _places(key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Strings that sort by key, then by tie."""
+    return np.stack((key.astype(">u8"), tie.astype(np.int64).view(np.uint64).astype(">u8")), axis=1).copy().view("S16").ravel()
+
+
+def _key(whole: Statistics):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (batch.slice(lo, 1024) for batch in batches for lo in range(0, batch.num_rows, 1024)):
+            key = leading_terms(_ids(part.column(2), part.column(3)), whole)
+            yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0), part.column(1)], names=["key", "tie", "octets"])
+
+    return run
+
+
+def _route(whole: Statistics, cuts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (batch.slice(lo, 1024) for batch in batches for lo in range(0, batch.num_rows, 1024)):
+            tie, size, raw, *ids = part.columns
+            key = leading_terms(_ids(size, raw), whole)
+            shard = np.searchsorted(cuts, _places(key, np.asarray(tie)), side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), *ids, size, raw], names=["shard", "doc_id", "text_hash", "size", "ids"])
+
+    return run
+
+
+def routed(tokens: DataFrame, whole: Statistics) -> DataFrame:
+    """shard, doc_id, text_hash, size, ids. Which documents make the cuts depends on their hash only."""
+    least = SHARD_CHARS // SHARD_DOCS
+    weight = F.greatest("octets", F.lit(least))
+    shards = -(-tokens.agg(F.sum(weight)).first()[0] // (least * SHARD_DOCS))
+    tie = F.xxhash64(F.lit(17), F.coalesce("doc_id", F.lit(-1)), "text_hash")
+    cuts = np.zeros(0, "S16")
+    if shards > 1:
+        every = max(1, whole.n // (shards * SAMPLE_DOCS))
+        some = tokens.filter(F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(29)), F.lit(every)) == 0)
+        found = some.select(tie.alias("tie"), "octets", "size", "ids").mapInArrow(_key(whole), "key long, tie long, octets long").toPandas()
+        places = _places(found.key.to_numpy(), found.tie.to_numpy())
+        order = np.argsort(places)
+        ahead = np.cumsum(np.maximum(found.octets.to_numpy()[order], least))
+        number = (ahead - 1) * shards // max(1, int(ahead[-1])) if len(ahead) else ahead
+        cuts = places[order][1:][number[1:] != number[:-1]]
+    return tokens.select(tie.alias("tie"), "size", "ids", "doc_id", "text_hash").mapInArrow(_route(whole, cuts), "shard long, doc_id long, text_hash long, size long, ids binary")
+
+
+def _pack(window: int, whole: Statistics):
+    def work(shard: int, ids: list, docs: list[np.ndarray]) -> pa.RecordBatch:
+        rows = list(pack_shard(docs, window, whole))
         doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-        crc = [zlib.crc32(docs[d][s : s + n].tobytes()) for d, s, n, _, _ in rows]
+        crc = [zlib.crc32(docs[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in rows]
         sizes = np.array([len(d) for d in docs], np.int64)
         columns = [pa.array([ids[d] for d in doc], pa.int64()), start, length, np.array(crc, np.int64), sizes[doc], (shard << 32) + sequence, offset, np.full(len(doc), shard)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, texts = None, [], []
+        now, ids, docs = None, [], []
         for part in (batch.slice(lo, 256) for batch in batches for lo in range(0, batch.num_rows, 256)):
-            for shard, doc_id, text in zip(*[c.to_pylist() for c in part.columns], strict=True):
+            for shard, doc_id, doc in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _ids(part.column(2), part.column(3)), strict=True):
                 if shard != now and ids:
-                    yield work(now, ids, texts)
-                    ids, texts = [], []
+                    yield work(now, ids, docs)
+                    ids, docs = [], []
                 now = shard
                 ids.append(doc_id)
-                texts.append(text)
+                docs.append(doc)
         if ids:
-            yield work(now, ids, texts)
-        from histra.llm import packing
-
-        packing.worker_tokenizer(path).trim(LASTING_WORDS)
+            yield work(now, ids, docs)
 
     return run
 
@@ -265,11 +396,12 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
     """One row for each piece; see SCHEMA."""
     path = path or tokenizer_path()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), no_text_as_empty(F.col("text")).alias("text"))
-    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    shards = max(1, -(-n // SHARD_DOCS), -(-chars // SHARD_CHARS))
-    shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(17)), F.lit(shards))
-    dealt = rows.select(shard.alias("shard"), "doc_id", "text").repartition("shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
-    return dealt.mapInArrow(_pack(path, window), SCHEMA)
+    tokens = materialise(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_tokenise(path), TOKENS))
+    if tokens.isEmpty():
+        return docs.sparkSession.createDataFrame([], SCHEMA)
+    whole = statistics(tokens)
+    dealt = routed(tokens, whole).repartition("shard").sortWithinPartitions("shard", "doc_id", "text_hash").select("shard", "doc_id", "size", "ids")
+    return dealt.mapInArrow(_pack(window, whole), SCHEMA)
 
 
 def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -273,6 +273,40 @@ def test_vp_search(spark):
     assert loose < tight
 
 
+def test_packing_brings_near_copies_together(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 32)
+    monkeypatch.setattr(packing, "SHARD_CHARS", 320_000)
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(3000)]
+    texts = [rng.choices(vocabulary, k=80) for _ in range(400)]
+    near = [[*t[:20], "changed", *t[21:]] for t in texts]
+    df = spark.createDataFrame(list(enumerate(" ".join(t) for t in texts + near)), "doc_id long, text string")
+    got = packing.pack(df).toPandas()
+    shard = got.groupby("doc_id").shard.first()
+    sizes = shard.value_counts()
+    assert len(sizes) >= 20 and sizes.max() <= 64
+    assert np.mean([shard[i] == shard[i + 400] for i in range(400)]) > 0.8
+    windows = got.groupby("doc_id").sequence_id.agg(set)
+    assert np.mean([bool(windows[i] & windows[i + 400]) for i in range(400)]) > 0.75
+
+
+def test_packing_counts_over_all_documents(spark):
+    docs = [np.array(x, "<u2") for x in ([5, 5, 7, 1], [7, 9, 1], [5, 1], [1])]
+    rows = [(i, i, 0, len(d), bytearray(d.tobytes())) for i, d in enumerate(docs)]
+    whole = packing.statistics(spark.createDataFrame(rows, packing.TOKENS).repartition(3))
+    assert (whole.n, whole.mean) == (4, 2.5) and {t: int(whole.df[t]) for t in np.flatnonzero(whole.df)} == {1: 4, 5: 2, 7: 2, 9: 1}
+
+
+def test_packing_asks_with_all_terms_and_keeps_all_neighbours():
+    # The seed shares each of its 30 terms with one document, and its last with ten more.
+    seed = np.repeat(np.arange(100, 130), 2)
+    helpers = [np.array([100 + k, 500 + k]) for k in range(30)]
+    mates = [np.array([129, 129, 129]) for _ in range(10)]
+    docs = [d.astype(np.uint32) for d in [seed, *helpers, *mates]]
+    index = packing.Index(docs, packing.statistics_of(docs))
+    assert len(index.nearest(0, np.arange(len(docs)) == 0)) == len(docs) - 1
+
+
 @pytest.mark.parametrize("norms", ["one long", "lognormal"])
 def test_vp_search_with_unequal_norms(spark, norms):
     rng = np.random.default_rng(8)
