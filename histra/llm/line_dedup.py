@@ -8,7 +8,9 @@ those of the earliest place. All windows that stand at an earlier place too, ove
 lines of such runs are deleted; the earliest place keeps its lines.
 
 So the result is exactly: a line goes if it lies in a run of at least `window` lines that also starts earlier, in order
-of (doc_id, place in the text). Earlier means in the input, not in what is left.
+of (doc_id, place in the text). Earlier means in the input, not in what is left. With `long_words`, a run of fewer lines
+counts too if it has more words than that, so a long passage on one or two lines goes like one on three. The pipeline's
+stage asks for it; the query keeps to the definition of its SQL, which has the window alone.
 
 Defined results: a null text stays null and has no lines; a text shorter than the window stays; rows that repeat a
 doc_id with the same text are one document, and both stay alike; other columns pass through. No pairs of places are
@@ -21,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import BLANKS, table
 
 WINDOW = 3
+#: Words above which a run of fewer lines counts, where asked for.
+LONG_WORDS = 50
 #: A line feed after which a line with a visible character follows.
 LINE_END = r"\n(?=[^\S\n]*\S)"
 
@@ -46,25 +50,45 @@ def selected(hashes: Column, window: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(hashes) - window), one)
 
 
-def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, starts: the windows of each text that also stand at an earlier place."""
+def long_ones(hashes: Column, words: Column, width: int, long_words: int) -> Column:
+    """Of the windows of so many lines (none, if the text is shorter) those of more than long_words words."""
+    first = F.greatest(F.size(hashes), F.lit(width))
+
+    def enough(w: Column) -> Column:
+        inside = F.aggregate(F.slice(words, w.start + 1, width), F.lit(0), lambda s, n: s + n)
+        return (F.size(hashes) >= width) & (inside > long_words)
+
+    padded = F.concat(hashes, F.array_repeat(F.lit(0).cast("long"), first - F.size(hashes)))
+    return F.filter(selected(padded, width), enough)
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, long_words: int | None = None) -> DataFrame:
+    """doc_id, text_hash, starts (start, width): the windows of each text that also stand at an earlier place."""
     trimmed = F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(F.trim(x)))
-    hashed = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), trimmed.alias("hashes"))
-    hashed = hashed.filter(F.size("hashes") >= window)
-    places = hashed.select("doc_id", "text_hash", F.explode(selected(F.col("hashes"), window)).alias("w")).select("doc_id", "text_hash", "w.*")
+    hashed = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), trimmed.alias("hashes"), "text")
+    places = _places(hashed.filter(F.size("hashes") >= window), window, selected(F.col("hashes"), window))
+    if long_words is not None:
+        words = F.transform(lines_of(F.col("text")), lambda x: F.size(F.array_remove(F.split(x, BLANKS), "")))
+        counted = hashed.withColumn("words", words)
+        for width in range(1, window):
+            places = places.unionByName(_places(counted, width, long_ones(F.col("hashes"), F.col("words"), width, long_words)))
     place = F.struct("doc_id", "text_hash", "start")
     # Two equal windows have their selected line at the same offset, so its hash with the window's content is their key.
     shared = places.groupBy("print", "content", (F.col("place") - F.col("start")).alias("offset")).agg(F.min(place).alias("earliest"), F.max(place).alias("latest"))
     shared = shared.filter(F.col("earliest") != F.col("latest")).drop("latest")
     later = places.withColumn("offset", F.col("place") - F.col("start")).join(shared, ["print", "content", "offset"]).filter(place > F.col("earliest"))
-    return later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    return later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "width"))).alias("starts"))
+
+
+def _places(hashed: DataFrame, width: int, windows: Column) -> DataFrame:
+    return hashed.select("doc_id", "text_hash", F.explode(windows).alias("w")).select("doc_id", "text_hash", "w.*", F.lit(width).alias("width"))
 
 
-def _judged(docs: DataFrame, window: int) -> DataFrame:
+def _judged(docs: DataFrame, window: int, long_words: int | None = None) -> DataFrame:
     """docs and _ld_text, _ld_lines, _ld_removed, _ld_runs."""
-    found = repeats(docs, window).select(F.col("doc_id").alias("_ld_id"), F.col("text_hash").alias("_ld_hash"), F.col("starts").alias("_ld_starts"))
+    found = repeats(docs, window, long_words).select(F.col("doc_id").alias("_ld_id"), F.col("text_hash").alias("_ld_hash"), F.col("starts").alias("_ld_starts"))
     same = F.col("doc_id").eqNullSafe(F.col("_ld_id")) & (F.xxhash64("text") == F.col("_ld_hash"))
-    covered = F.flatten(F.transform("_ld_starts", lambda s: F.sequence(s, s + window - 1)))
+    covered = F.flatten(F.transform("_ld_starts", lambda s: F.sequence(s.start, s.start + s.width - 1)))
     marked = docs.join(found, same, "left").withColumn("_ld_gone", F.array_distinct(covered))
     kept = F.array_join(F.filter(lines_of(F.col("text")), lambda x, i: ~F.array_contains(F.col("_ld_gone"), i)), "\n")
     opens = F.size(F.filter("_ld_gone", lambda i: ~F.array_contains(F.col("_ld_gone"), i - 1)))
@@ -82,15 +106,15 @@ def _with_text(docs: DataFrame) -> list[Column]:
     return [F.col("_ld_text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
 
 
-def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """doc_id, text (what is left), n_lines, n_removed, n_runs."""
     names = {"_ld_lines": "n_lines", "_ld_removed": "n_removed", "_ld_runs": "n_runs"}
-    return _judged(docs.select("doc_id", "text"), window).select("doc_id", F.col("_ld_text").alias("text"), *[F.col(k).alias(v) for k, v in names.items()])
+    return _judged(docs.select("doc_id", "text"), window, long_words).select("doc_id", F.col("_ld_text").alias("text"), *[F.col(k).alias(v) for k, v in names.items()])
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, long_words: int | None = LONG_WORDS) -> DataFrame:
     """docs, all columns, with their kept lines; texts of which no line is left go."""
-    found = _judged(docs, window)
+    found = _judged(docs, window, long_words)
     return found.filter("not (_ld_removed > 0 and _ld_removed = _ld_lines)").select(*_with_text(docs))
 
 

@@ -132,6 +132,17 @@ def test_line_dedup(corpus, docs, window):
         assert got.n_runs[i] == sum(k - 1 not in gone for k in gone)
 
 
+def test_line_dedup_of_long_passages(spark):
+    rng = random.Random(6)
+    one, left, right, short = prose(rng, 60, 9000), prose(rng, 30, 9000), prose(rng, 30, 9000), prose(rng, 20, 9000)
+    texts = [f"a\n{one}\nb", f"{left}\n{right}\nc\n{short}\nd", f"e\n{one}\nf", f"g\n{left}\n{right}\nh", f"i\n{short}\nj", one, f"{left}\n{right}", f"{left}\nk"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = line_dedup.dedup(docs, long_words=50).toPandas().set_index("doc_id").text
+    assert got.sort_index().tolist() == [texts[0], texts[1], "e\nf", "g\nh", texts[4], "", "", texts[7]]
+    kept = line_dedup.without_repeats(docs).toPandas().set_index("doc_id").text
+    assert kept.sort_index().to_dict() == {0: texts[0], 1: texts[1], 2: "e\nf", 3: "g\nh", 4: texts[4], 7: texts[7]}
+
+
 def shingles(text):
     w = words((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
