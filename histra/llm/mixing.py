@@ -1,10 +1,13 @@
 r"""Mix sources to target weights with a low-discrepancy schedule.
 
-A schedule of at most `slots` slots covers the size of the whole mix; slot i stands at the golden-ratio point
+A schedule of one slot for each word covers the size of the whole mix; slot i stands at the golden-ratio point
 frac(i * 0.618...) (kept in 46-bit integers, so it is exact), and the point falls into the share of one source on the
 line of cumulative targets. The slots of a source are ranked by i. The documents of a source, in an order shuffled by
-md5, form a line of words that is cut into blocks of equal size; the slot of rank r takes block r modulo the number of
-blocks, so a source that must give more than it has is repeated block by block, three times at most.
+md5, form a line of words; the slot of rank r takes word r modulo the size of the source, so a source that must give more
+than it has is repeated word by word, three times at most.
+
+How often a word is taken follows from the number of its source's slots, so the slots are counted and not made: the
+number of points below a mark among the first n is a sum of floors, found in some steps as for Euclid's algorithm.
 
 Size of a document: its number of words [^\x20\x09-\x0D]+, 0 for a null text. Sources are ordered by code point, null
 last, and weigh 5, 2, 1 in turn. Defined results: documents without words take part with 0 words taken; an empty table
@@ -12,11 +15,12 @@ gives an empty result; rows that repeat a doc_id are documents of their own; onl
 
 Scale: the text is read once and reduced to (doc_id, source, size). Running sums over a source are taken in two levels
 (chunks of the shuffled order, then rows of a chunk), so a source with a third of all rows is not one task's work. The
-schedule has a fixed bound.
+schedule costs one sum for each source, whatever the size of the mix.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,11 +29,11 @@ from .common import BLANKS, materialise, no_text_as_empty, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
+#: Slots of the SQL at most; up to so many words it has a slot for each word too.
 SLOTS = 1 << 20
 #: 2^46 and the golden ratio's fraction of it.
 FULL = 1 << 46
 GOLDEN = 43490275647443
-GRID = 4096
 #: With more sources than this the table of sources is joined by shuffling.
 BROADCAST_SOURCES = 10_000
 
@@ -65,20 +69,34 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return cut.select("source", "sid", "source_size", "target", "low", "high", "total")
 
 
-def schedule(spark: SparkSession, targets: DataFrame, n_slots: int) -> DataFrame:
-    """sid, slot, rank: the slots of each source, numbered in the order of the schedule."""
-    i = F.col("id")
-    point = (((F.shiftright(i, 16) * GOLDEN) % FULL % (1 << 30)) * (1 << 16) + (i % (1 << 16)) * GOLDEN) % FULL
-    slots = spark.range(n_slots).select(i.alias("slot"), point.alias("point"))
-    slots = slots.withColumn("cell", F.floor(F.col("point") / F.lit(FULL // GRID)))
-    wide = F.lit(FULL // GRID)
-    shares = targets.filter("high > low").select("sid", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / wide), F.floor((F.col("high") - 1) / wide))).alias("cell"))
-    placed = slots.join(shares, "cell").filter((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).select("sid", "slot")
-    placed = placed.withColumn("part", F.shiftright("slot", 14))
-    ahead = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy("sid", "part").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
-    own = Window.partitionBy("sid", "part").orderBy("slot")
-    return placed.join(counts, ["sid", "part"]).select("sid", "slot", (F.col("ahead") + F.row_number().over(own) - 1).alias("rank"))
+def floor_sum(n: int, m: int, a: int, b: int) -> int:
+    """The sum of (a * i + b) // m for i from 0 to n - 1; a and b are not negative."""
+    total = 0
+    while n:
+        total += n * (n - 1) // 2 * (a // m) + n * (b // m)
+        a, b = a % m, b % m
+        top = a * n + b
+        if top < m:
+            break
+        n, b = divmod(top, m)
+        m, a = a, m
+    return total
+
+
+def points_below(n: int, mark: int) -> int:
+    """How many of the first n points of the schedule are below mark (0 to FULL)."""
+    # A point is below mark if and only if adding FULL - mark to it does not reach the next multiple of FULL.
+    return n - floor_sum(n, FULL, GOLDEN, FULL - mark) + floor_sum(n, FULL, GOLDEN, 0)
+
+
+def slots_of(targets: DataFrame) -> DataFrame:
+    """targets and n_slots: how many slots of the schedule fall into the share of each source."""
+
+    @F.pandas_udf("long")
+    def count(low: pd.Series, high: pd.Series, total: pd.Series) -> pd.Series:
+        return pd.Series([points_below(n, b) - points_below(n, a) for a, b, n in zip(low.tolist(), high.tolist(), total.tolist(), strict=True)], dtype="int64")
+
+    return targets.withColumn("n_slots", count("low", "high", "total"))
 
 
 def placed_documents(sizes: DataFrame, n_rows: int) -> DataFrame:
@@ -94,28 +112,17 @@ def placed_documents(sizes: DataFrame, n_rows: int) -> DataFrame:
     return docs.join(chunks, ["sid", "chunk"]).withColumn("start", F.col("ahead") + F.coalesce(F.sum("size").over(own), F.lit(0))).drop("order", "chunk", "ahead")
 
 
-def mix(sizes: DataFrame, slots: int = SLOTS, most: int = MOST) -> DataFrame:
+def mix(sizes: DataFrame, most: int = MOST) -> DataFrame:
     """sizes: doc_id, source, size (materialised). Returns doc_id, source, size, source_size, target, taken."""
-    spark = sizes.sparkSession
-    n_rows, total = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    targets = materialise(source_targets(sizes, most=most))
+    n_rows = sizes.count()
+    targets = materialise(slots_of(source_targets(sizes, most=most)))
     small = F.broadcast(targets) if targets.count() <= BROADCAST_SOURCES else targets
-    block = max(1, -(-total // slots))
     docs = placed_documents(sizes.join(small.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "low", "high", "total"), n_rows)
-    n_blocks = F.ceil(F.col("source_size") / F.lit(block))
-    uses = (
-        schedule(spark, targets, -(-total // block))
-        .join(small.select("sid", n_blocks.alias("n_blocks")), "sid")
-        .filter(F.col("rank") < most * F.col("n_blocks"))
-        .groupBy("sid", (F.col("rank") % F.col("n_blocks")).alias("block"))
-        .agg(F.count("*").alias("uses"))
-    )
-    last = F.col("start") + F.col("size") - 1
-    cells = docs.filter("size > 0").select("sid", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(last / block))).alias("block"))
-    inside = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    taken = cells.join(uses, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(inside * F.col("uses")).alias("t"))
-    out = docs.join(taken.withColumnRenamed("start", "at").withColumnRenamed("sid", "k"), (F.col("sid") == F.col("k")) & (F.col("start") == F.col("at")) & (F.col("size") > 0), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("t", F.lit(0)).cast("long").alias("taken"))
+    # Each word is taken in every whole round over its source, and the first words once more in the round that is not whole.
+    given, whole = F.least("n_slots", most * F.col("source_size")), F.greatest("source_size", F.lit(1))
+    rest = F.least(F.col("size"), F.greatest(given % whole - F.col("start"), F.lit(0)))
+    taken = F.col("size") * F.floor(given / whole) + rest
+    return docs.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 #: Between a word and the blank after it.

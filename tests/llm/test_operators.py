@@ -203,6 +203,22 @@ def test_mixing(corpus, docs):
     assert again.taken.sort_index().tolist() == got.taken.sort_index().tolist()
 
 
+def test_mixing_counts_points():
+    for n in (0, 1, 7, 1000, 4321):
+        points = [i * mixing.GOLDEN % mixing.FULL for i in range(n)]
+        for mark in (0, 1, mixing.GOLDEN, mixing.GOLDEN + 1, mixing.FULL // 3, mixing.FULL - 1, mixing.FULL):
+            assert mixing.points_below(n, mark) == sum(p < mark for p in points)
+
+
+def test_mixing_small_sources_beside_a_huge_one(spark):
+    rows = [(0, "big", 5_000_000_000)] + [(1 + k, f"tiny{k:02}", size) for k, size in enumerate([300, 1000, 3000, 12_000] * 10)]
+    rows += [(100 + k, "many", 3) for k in range(100)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).toPandas()
+    by_source = got.groupby("source").agg({"taken": "sum", "target": "first"})
+    assert ((by_source.taken - by_source.target).abs() <= 8).all()
+    assert (got.taken <= 3 * got["size"]).all()
+
+
 def test_license_scan(corpus, docs):
     got = license_scan.summarise(docs, license_scan.scan(docs)).toPandas().set_index("doc_id")
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
