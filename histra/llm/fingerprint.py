@@ -15,7 +15,9 @@ Likeness of two fingerprints: the sketch lanes, read as +1/-1 sums, estimate the
 the two multisets of word pairs; 1 - |A - B|^2 / (|A|^2 + |B|^2), cut to 0..1, is 1 for equal multisets and near 0 for
 multisets without common pairs. |A|^2 is estimated by the number of pairs.
 
-Three lanes of 21 bits are kept in one long, so one masked shift and one addition serve three lanes.
+Three lanes of 21 bits are kept in one long. While they are summed, two lanes of 32 bits share a long, so one masked shift
+and one addition serve two lanes: a text has less than 2^31 word pairs, so no lane reaches its neighbour. Only then are they
+reduced. Differences of lanes are known modulo 2^21; the one nearest to what independent bits would give is taken.
 
 Defined results: a null text counts as empty; the empty text has the zero vector; two zero vectors have likeness 1. Rows
 that repeat a doc_id are ordered by their text. Only doc_id and text are read.
@@ -32,9 +34,10 @@ from .common import materialise, no_text_as_empty, table
 SEEDS = (11, 23, 47, 97)
 N_IDENTITY = 2 * len(SEEDS)
 LONGS = 21
-#: The lowest bit of each of the three lanes in a long.
-ONES = 1 | 1 << 21 | 1 << 42
+LANE_BITS = (0, 21, 42)
 LANE = (1 << 21) - 1
+#: The lowest bit of each of the two lanes in a long of the sums.
+HALVES, HALF_BITS = 1 | 1 << 32, 32
 IDENTITY_MOD = 1 << 32
 #: Documents that one window may hold, about.
 BLOCK_ROWS = 512
@@ -85,27 +88,42 @@ def fingerprints(texts: DataFrame, key: list[str], columns: tuple[str, ...] = ("
     for k, u in enumerate(names):
         sums += [F.max(F.when(F.col("i") == j, F.col(u))).alias(f"i{k}_{j}") for j in range(N_IDENTITY)]
         sums.append(F.sum(f"c{k}").alias(f"n{k}"))
-        # A lane stays below 2^21 for texts of up to 2 million pairs; beyond that it carries into its neighbour, which is
-        # still a sum modulo a power of two and only blurs the estimate.
-        sums += [F.try_sum(F.shiftrightunsigned(f"h{k}", j).bitwiseAND(ONES)).alias(f"s{k}_{j}") for j in range(LONGS)]
+        sums += [F.sum(F.shiftrightunsigned(f"h{k}", j).bitwiseAND(F.lit(HALVES))).alias(f"s{k}_{j}") for j in range(HALF_BITS)]
     total = spread.groupBy(*key).agg(*sums)
+
+    def sketch(k: int, j: int) -> Column:
+        lanes = [F.shiftrightunsigned(f"s{k}_{(j + low) % HALF_BITS}", (j + low) // HALF_BITS * HALF_BITS) for low in LANE_BITS]
+        return _packed(lanes)
+
     return total.select(
         *key,
         *[
             F.struct(
-                F.array(*[f"i{k}_{j}" for j in range(N_IDENTITY)]).alias("identity"), F.col(f"n{k}").alias("n_pairs"), F.array(*[f"s{k}_{j}" for j in range(LONGS)]).alias("sketch")
+                F.array(*[f"i{k}_{j}" for j in range(N_IDENTITY)]).alias("identity"), F.col(f"n{k}").alias("n_pairs"), F.array(*[sketch(k, j) for j in range(LONGS)]).alias("sketch")
             ).alias(f"fp_{c}")
             for k, c in enumerate(columns)
         ],
     )
 
 
+def _packed(lanes: list[Column]) -> Column:
+    """Three lanes in one long, each modulo 2^21."""
+    one = F.lit(0).cast("long")
+    for lane, low in zip(lanes, LANE_BITS, strict=True):
+        one = one.bitwiseOR(F.shiftleft(lane.bitwiseAND(F.lit(LANE)), low))
+    return one
+
+
+def _lanes(sketch: Column) -> list[Column]:
+    return [F.shiftrightunsigned(sketch, low).bitwiseAND(F.lit(LANE)) for low in LANE_BITS]
+
+
 def add(a: Column, b: Column, sign: int = 1) -> Column:
     """Fingerprint of the union of two multisets; with sign -1, of the first without the second."""
     return F.struct(
         F.zip_with(a["identity"], b["identity"], lambda x, y: F.pmod(x + sign * y, F.lit(IDENTITY_MOD))).alias("identity"),
         (a["n_pairs"] + sign * b["n_pairs"]).alias("n_pairs"),
-        F.zip_with(a["sketch"], b["sketch"], lambda x, y: x + sign * y).alias("sketch"),
+        F.zip_with(a["sketch"], b["sketch"], lambda x, y: _packed([p + sign * q for p, q in zip(_lanes(x), _lanes(y), strict=True)])).alias("sketch"),
     )
 
 
@@ -127,9 +145,9 @@ def likeness(a: Column, b: Column) -> Column:
     extra = (a["n_pairs"] - b["n_pairs"]).cast("double")
 
     def squares(s: Column, x: Column, y: Column) -> Column:
-        for shift in (0, 21, 42):
-            lane = F.shiftrightunsigned(x, shift).bitwiseAND(LANE) - F.shiftrightunsigned(y, shift).bitwiseAND(LANE)
-            s = s + F.pow(2 * lane.cast("double") - extra, F.lit(2.0))
+        for p, q in zip(_lanes(x), _lanes(y), strict=True):
+            off = 2 * (p - q).cast("double") - extra
+            s = s + F.pow(off - 2 * (LANE + 1) * F.round(off / (2 * (LANE + 1))), F.lit(2.0))
         return s
 
     pairs = F.zip_with(a["sketch"], b["sketch"], lambda x, y: squares(F.lit(0.0), x, y))

@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from histra.llm import fingerprint, jaccard_join, license_scan, line_dedup, mixing, packing, suffix_dedup, toxicity, url_filter, vp_search
+from histra.llm import common, fingerprint, jaccard_join, license_scan, line_dedup, mixing, packing, suffix_dedup, toxicity, url_filter, vp_search
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -75,6 +75,27 @@ def test_fingerprint_is_homomorphic(spark):
     assert out.plus and out.minus and out.same == 1.0
 
 
+def test_fingerprints_of_very_long_texts(spark):
+    rng = random.Random(1)
+    # As expressions, so that no text of this size is sent along.
+    long_one = F.repeat(F.lit("In. "), 2_200_000)
+    prose_of = F.lit(prose(rng, 300) + "\n")
+    texts = spark.range(4).select(F.col("id").alias("k"), F.when(F.col("id") == 0, long_one).when(F.col("id") == 1, prose_of).when(F.col("id") == 2, F.concat(long_one, F.lit("\n"), prose_of)).otherwise("In. In.").alias("text"))
+    fp = common.materialise(fingerprint.fingerprints(texts, ["k"]).orderBy("k"))
+    rows = [r.fp_text for r in fp.collect()]
+    assert [r.n_pairs for r in rows] == [2_200_000, 300, 2_200_300, 2] and all(x is not None for r in rows for x in r.sketch)
+    lanes = lambda r: [x >> low & fingerprint.LANE for x in r.sketch for low in (0, 21, 42)]
+    # All pairs of the text but the last are equal: a lane counts all of them or none.
+    assert {min((x - y) % (1 << 21) for y in (0, 2_199_999)) for x in lanes(rows[0])} <= {0, 1}
+    assert [(x + y) % (1 << 21) for x, y in zip(lanes(rows[0]), lanes(rows[1]), strict=True)] == lanes(rows[2])
+    pair = fp.select(F.col("k").alias("a"), F.col("fp_text").alias("x")).crossJoin(fp.select(F.col("k").alias("b"), F.col("fp_text").alias("y")))
+    near = {(r.a, r.b): r.near for r in pair.select("a", "b", fingerprint.likeness(F.col("x"), F.col("y")).alias("near")).collect()}
+    assert near[0, 1] == near[0, 3] == near[2, 1] == 0.0 and near[0, 0] == 1.0 and near[0, 2] > 0.9
+    union = fp.groupBy().agg(*[F.max(F.when(F.col("k") == k, F.col("fp_text"))).alias(f"f{k}") for k in range(3)])
+    out = union.select((fingerprint.add(F.col("f0"), F.col("f1")) == F.col("f2")).alias("plus"), (fingerprint.subtract(F.col("f2"), F.col("f0")) == F.col("f1")).alias("minus")).first()
+    assert out.plus and out.minus
+
+
 def test_fingerprint_query_edits(spark, corpus, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = fingerprint.op2_fingerprint(spark, str(tmp_path)).toPandas().set_index("doc_id")
