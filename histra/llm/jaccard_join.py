@@ -16,7 +16,9 @@ or was compared, so no link between different texts is lost to the components.
 
 Pairs are first held against an upper bound that is never below the truth: hashes are counted in about n / 4 cells, and two
 sets have at most the sum of the smaller counts in common. Cells take a thirtieth of a set's bytes and drop the pairs that
-have a passage, but not 80 %, in common. What remains is compared exactly, on the sets of 64-bit shingle hashes.
+have a passage, but not 80 %, in common. What remains is compared exactly, on the sets of 64-bit shingle hashes. Words are
+hashed with a mixing function and a key, not by a polynomial, and sets are one class only if two hashes of them agree, 128 bits;
+of a single shingle, which is one word at the least, the second hash is of its words anew.
 
 Defined results: null and empty texts and texts without words have no shingles and link with nothing (component_id is
 their own doc_id); texts of one to four words have one shingle, the whole sequence; rows without doc_id link with nothing;
@@ -38,6 +40,8 @@ from .common import materialise, table
 from .components import connected_components
 
 WIDTH = 5
+#: What equal sets have in common: two hashes and the size.
+CLASS = ["h", "h2", "n"]
 #: Links need PART / WHOLE of the union in common.
 PART, WHOLE = 4, 5
 #: Cells of the frequency sketch; a shingle enters it with its count when so many sets of one task's stretch have it.
@@ -46,6 +50,8 @@ FREQUENT = 4
 HELD_SHINGLES = 2_000_000
 #: Cost of scanning a posting, in rows.
 SCAN_COST = 2.0
+#: Sizes that the cost is worked out for. It does not bind: with k shingles in the prefix, subsets cost k (k + 1) / 2 and lists
+#: k (1 + SCAN_COST), so from k = 6, a size of about 25, a set is dearer as a light one whatever the histogram.
 MOST_LIGHT = 64
 #: Lists up to this length make their open pairs by a join, others in blocks of so many members.
 SHORT_LIST, BLOCK = 128, 2048
@@ -172,12 +178,13 @@ def blocked_pairs(lists: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (0, doc_id, size, hash, cells) for each text, and rows (1, cell, count) for the task's frequent cells."""
-    names = ["kind", "a", "b", "c", "cells"]
+    """A row (0, doc_id, size, two hashes, cells) for each text, and rows (1, cell, count) for the task's frequent cells."""
+    names = ["kind", "a", "b", "c", "d", "cells"]
     counts, held, size, seen = np.zeros(1 << CELL_BITS, np.int64), [], 0, set()
     for batch in batches:
         for lo, hi, data, offsets in textnum.text_slices(batch.column(1)):
-            sets = textnum.shingle_sets(data, offsets, WIDTH)
+            second: list[int] = []
+            sets = textnum.shingle_sets(data, offsets, WIDTH, second)
             hashes = [textnum.set_hash(x) for x in sets]
             for h, own in zip(hashes, sets, strict=True):
                 if h not in seen:
@@ -193,6 +200,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     batch.column(0).slice(lo, hi - lo).cast(pa.int64()),
                     pa.array(np.array([len(x) for x in sets], np.int64)),
                     pa.array(hashes, pa.int64()),
+                    pa.array(second, pa.int64()),
                     pa.array([counted_cells(x) for x in sets], pa.binary()),
                 ],
                 names=names,
@@ -201,7 +209,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     often = np.flatnonzero(counts)
     if len(often):
         m = len(often)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(often), pa.array(counts[often]), pa.array(np.zeros(m, np.int64)), pa.nulls(m, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(often), pa.array(counts[often]), *[pa.array(np.zeros(m, np.int64))] * 2, pa.nulls(m, pa.binary())], names=names)
 
 
 def light_boundary(sizes: dict[int, int]) -> int:
@@ -240,12 +248,14 @@ def prefix_keys(own: np.ndarray, levels: np.ndarray, boundary: int) -> np.ndarra
 
 def _keys(levels: np.ndarray, boundary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # a task puts equal sets into the lists once
+        seen: set[tuple[int, int]] = set()  # a task puts equal sets into the lists once
         for batch in batches:
             for lo, hi, data, offsets in textnum.text_slices(batch.column(1)):
                 ids, keys, docs, sizes = batch.column(0).slice(lo, hi - lo).to_pylist(), [], [], []
-                for doc, own in zip(ids, textnum.shingle_sets(data, offsets, WIDTH), strict=True):
-                    if doc is None or len(own) < PART or (h := textnum.set_hash(own)) in seen:
+                second: list[int] = []
+                sets = textnum.shingle_sets(data, offsets, WIDTH, second)
+                for doc, own, other in zip(ids, sets, second, strict=True):
+                    if doc is None or len(own) < PART or (h := (textnum.set_hash(own), other)) in seen:
                         continue
                     seen.add(h)
                     keys.append(prefix_keys(own, levels, boundary))
@@ -333,8 +343,8 @@ def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = materialise(docs.mapInArrow(_profile, "kind int, a long, b long, c long, cells binary"))
-    rows = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("h"), "cells")
+    seen = materialise(docs.mapInArrow(_profile, "kind int, a long, b long, c long, d long, cells binary"))
+    rows = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("h"), F.col("d").alias("h2"), "cells")
     # At most 2^CELL_BITS rows of two longs.
     frequent = seen.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).toArrow()
     levels = np.zeros(1 << CELL_BITS, np.uint8)
@@ -342,7 +352,7 @@ def components(docs: DataFrame) -> DataFrame:
     histogram = {r.n: r.sets for r in rows.filter(f"n between {PART} and {MOST_LIGHT}").groupBy("n").agg(F.count("*").alias("sets")).collect()}
     shared_levels = spark.sparkContext.broadcast(levels)
 
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy("h", "n").agg(F.min("doc_id").alias("id"), F.max("cells").alias("cells"))
+    classes = rows.filter("n > 0 and doc_id is not null").groupBy(*CLASS).agg(F.min("doc_id").alias("id"), F.max("cells").alias("cells"))
     classes = materialise(classes)
     cells = classes.select("id", "cells")
     boundary = light_boundary(histogram)
@@ -354,7 +364,7 @@ def components(docs: DataFrame) -> DataFrame:
     by_key = Window.partitionBy("key")
     listed = listed.withColumn("low", F.min("doc").over(by_key)).withColumn("high", F.max("doc").over(by_key)).filter("low <> high").select("key", "doc", "n")
     # Members of lists by the id of their class.
-    names = rows.drop("cells").join(classes.drop("cells"), ["h", "n"]).select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "id").distinct()
+    names = rows.drop("cells").join(classes.drop("cells"), CLASS).select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "id").distinct()
     lists = listed.join(names, ["doc", "n"]).select("key", "id", "n").distinct()
     several = Window.partitionBy("key")
     lists = lists.withColumn("low", F.min("id").over(several)).withColumn("high", F.max("id").over(several)).filter("low <> high").select("key", "id", "n")
@@ -391,8 +401,8 @@ def components(docs: DataFrame) -> DataFrame:
     more = materialise(compare(rest, docs)).filter("linked").select("a", "b")
     labels = connected_components(links.union(more))
 
-    found = classes.drop("cells").join(labels, classes.id == labels.node, "left").select("h", "n", F.coalesce("component", "id").alias("component"))
-    return rows.drop("cells").join(found, ["h", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = classes.drop("cells").join(labels, classes.id == labels.node, "left").select(*CLASS, F.coalesce("component", "id").alias("component"))
+    return rows.drop("cells").join(found, CLASS, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

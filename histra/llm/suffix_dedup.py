@@ -9,15 +9,19 @@ the texts are first cut into aligned strings that can be built apart:
 1. Anchors. Every start s of a 400-byte string picks the smallest 8-byte hash among its next 192 places, p(s). The choice
    depends on the string alone, so two equal strings pick the same offset. Neighbouring starts with one anchor form a
    piece; all their strings contain the 209 bytes from the anchor, and the hash of these is the piece's bucket. Equal
-   strings of 400 bytes therefore lie at the same column of pieces of one bucket.
+   strings of 400 bytes therefore lie at the same column of pieces of one bucket. A collision of buckets costs nothing, as
+   bytes decide inside; a piece's identity is 158 bits of three hash families, two of them modulo a prime.
 2. Buckets with one piece go. A bucket whose pieces are all equal needs no bytes: copies are counted, not compared. Of the
    others, each distinct piece is cut from its text once.
-3. Column-wise construction over the distinct pieces of a bucket, aligned at the anchor: at most 591 rounds. A start is
+3. Halving. A bucket with more distinct pieces than one task should hold (one passage in a great many surroundings) is
+   split by content: its strings fall into those that reach far to the left of the anchor and those that reach far to the
+   right, and each half has more bytes that all its strings contain; these make the buckets of the next round. Equal
+   strings stay together, and after eight rounds at most a bucket's strings have one offset and are all equal. So every
+   bucket, of whatever size, ends in the construction.
+4. Column-wise construction over the distinct pieces of a bucket, aligned at the anchor: at most 591 rounds. A start is
    repeated when the common prefix with a neighbour in the order reaches 400, or when its piece has copies.
 
-Batches of pieces come from Spark's sorted shuffle files, one after the other, so a task holds one batch. A bucket with
-more distinct pieces than MOST_PIECES (one passage in a great many different surroundings) is not gathered: its 400-byte
-strings are counted by 128-bit hash, which gives the same result.
+Batches of pieces come from Spark's sorted shuffle files, one after the other, so a task holds one batch.
 
 Defined results: a null text counts as empty, with 0 bytes and the hash of nothing; texts under 400 bytes stay; rows that
 are equal in doc_id and text count as places of their own, so they empty one another; equal text under other ids likewise.
@@ -42,8 +46,13 @@ LENGTH = 400
 #: Places among which a start picks its anchor; below 256.
 PICK = 192
 GRAM = 8
+#: Distinct pieces of a bucket that one task builds at once; larger buckets are halved first.
 MOST_PIECES = 20_000
 BATCH_PIECES = 8192
+#: What tells a piece apart.
+PIECE = ["bucket", "piece", "piece2"]
+#: What tells a row apart.
+ROW = ["rid", "tid"]
 
 
 def picked(data: np.ndarray, offsets: np.ndarray, length: int, pick: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +85,7 @@ def picked(data: np.ndarray, offsets: np.ndarray, length: int, pick: int) -> tup
 def _anchors(length: int, pick: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in textnum.text_slices(batch.column(1)):
+            for lo, hi, data, offsets in textnum.text_slices(batch.column(2)):
                 starts, anchors = picked(data, offsets, length, pick)
                 if not len(starts):
                     continue
@@ -84,26 +93,27 @@ def _anchors(length: int, pick: int):
                 first, last = starts[np.concatenate(([0], cut))], starts[np.concatenate((cut, [len(starts)])) - 1]
                 at = anchors[np.concatenate(([0], cut))]
                 row = np.searchsorted(offsets, first, side="right") - 1
-                sums = textnum.prefix_sums(data)
-                ids = np.asarray(batch.column(0).slice(lo, hi - lo))
+                hashes = textnum.Stretches(data)
+                rid, tid = (np.asarray(batch.column(k).slice(lo, hi - lo))[row] for k in range(2))
                 packed = (at - offsets[row]) << 16 | (at - first) << 8 | (at - last)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[row]),
-                        pa.array(textnum.signed(textnum.stretch_hash(sums, at, at + length - pick + 1))),
-                        pa.array(textnum.signed(textnum.stretch_hash(sums, first, last + length))),
+                        pa.array(rid),
+                        pa.array(tid),
+                        pa.array(textnum.signed(hashes.plain(at, at + length - pick + 1))),
+                        pa.array(textnum.signed(hashes.prime(first, last + length))),
+                        pa.array((hashes.plain(first, last + length) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                         pa.array(packed),
                     ],
-                    names=["rid", "bucket", "piece", "packed"],
+                    names=[*ROW, *PIECE, "packed"],
                 )
 
     return run
 
 
 def _cut(length: int):
-    """Bytes of the wanted pieces of each text; a piece of a crowded bucket gives a row for each start instead, with the
-    string's two hashes."""
-    schema = pa.schema([("bucket", pa.int64()), ("piece", pa.int64()), ("left", pa.int32()), ("right", pa.int32()), ("copies", pa.int64()), ("bytes", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64())])
+    """Bytes of the wanted pieces of each text."""
+    schema = pa.schema([("bucket", pa.int64()), ("piece", pa.int64()), ("piece2", pa.int32()), ("left", pa.int32()), ("right", pa.int32()), ("copies", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -116,27 +126,91 @@ def _cut(length: int):
         for batch in batches:
             for text, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
                 data = text.as_py().encode()
-                sums = None
                 for w in wanted.as_py():
                     at, left, right = w["packed"] >> 16, w["packed"] >> 8 & 255, w["packed"] & 255
-                    if not w["crowded"]:
-                        rows.append((w["bucket"], w["piece"], left, right, w["copies"], data[at - left : at - right + length], None, None))
-                        continue
-                    if sums is None:
-                        raw = np.frombuffer(data, np.uint8)
-                        sums = textnum.prefix_sums(raw), textnum.prefix_sums(raw[::-1])
-                    s = np.arange(at - left, at - right + 1)
-                    h1 = textnum.signed(textnum.stretch_hash(sums[0], s, s + length))
-                    h2 = textnum.signed(textnum.stretch_hash(sums[1], len(data) - s - length, len(data) - s))
-                    rows += [(w["bucket"], w["piece"], int(at - x), int(at - x), w["copies"], None, int(a), int(b)) for x, a, b in zip(s, h1, h2, strict=True)]
-                if len(rows) >= 2000:
-                    yield flush()
+                    rows.append((w["bucket"], w["piece"], w["piece2"], left, right, w["copies"], data[at - left : at - right + length]))
+                    if len(rows) >= 2000:
+                        yield flush()
         if rows:
             yield flush()
 
     return run
 
 
+def halves(piece: bytes, left: int, right: int, low: int, high: int, length: int) -> Iterator[tuple[int, bytes, int, int, bytes]]:
+    """The parts of a piece whose strings start `low` to `middle` - 1 and `middle` to `high` bytes before the anchor: (side, what
+    all strings of the side contain, left, right, bytes)."""
+    middle = (low + high + 1) // 2
+    for side, (near, far) in enumerate(((low, middle - 1), (middle, high))):
+        a, b = min(left, far), max(right, near)
+        if a >= b and far >= near:
+            part = piece[left - a : left - b + length]
+            # Any string of the side reaches from `near` or more before the anchor to length - far or more after it.
+            yield side, piece[left - near : left - far + length], a, b, part
+
+
+def _halve(low: int, high: int, length: int):
+    """(bucket, piece, piece2, left, right, bytes) in; the same names, side, sub, sub1, sub2, left, right, bytes out."""
+
+    def word(digest: bytes, lo: int, hi: int) -> int:
+        return int.from_bytes(digest[lo:hi], "little", signed=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (batch.slice(lo, 2000) for batch in batches for lo in range(0, batch.num_rows, 2000)):
+            rows = []
+            for bucket, piece, piece2, left, right, data in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                for side, common, a, b, cut in halves(data, left, right, low, high, length):
+                    sub = hashlib.blake2b(common, digest_size=8, key=bucket.to_bytes(8, "little", signed=True) + bytes([side])).digest()
+                    own = hashlib.blake2b(cut, digest_size=12, key=bytes([a, b])).digest()
+                    rows.append((bucket, piece, piece2, side, word(sub, 0, 8), word(own, 0, 8), word(own, 8, 12), a, b, cut))
+            if rows:
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*PIECE, "side", "sub", "sub1", "sub2", "left", "right", "bytes"])
+
+    return run
+
+
+def small_buckets(pieces: DataFrame, length: int, pick: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """pieces: the distinct pieces with their bytes. Returns them in buckets of at most `most` pieces, and, if any bucket was
+    halved, whose pieces they are: (bucket, piece, piece2) and (of_bucket, of_piece, of_piece2)."""
+    done, owners = None, None
+    # Ranges of offsets still together, as (low, high); each round halves all of them.
+    open_, spans, names = pieces.withColumn("span", F.lit(0)), [(0, pick - 1)], None
+    while True:
+        sizes = open_.groupBy("bucket").agg(F.count("*").alias("m")).filter(F.col("m") > most)
+        crowded = materialise(sizes.select("bucket"))
+        none = crowded.isEmpty()
+        ready = open_ if none else open_.join(crowded, "bucket", "left_anti")
+        ready = ready.drop("span")
+        done = ready if done is None else done.unionByName(ready)
+        if names is not None:
+            mine = names if none else names.join(crowded, "bucket", "left_anti")
+            owners = mine if owners is None else owners.unionByName(mine)
+        if none:
+            return done, owners
+        rest = open_.join(crowded, "bucket", "left_semi")
+        parts, after = None, []
+        for low, high in spans:
+            some = rest.filter(F.col("span") == len(after) // 2).select(*PIECE, "left", "right", "bytes")
+            middle = (low + high + 1) // 2
+            cut = some.mapInArrow(_halve(low, high, length), "bucket long, piece long, piece2 int, side int, sub long, sub1 long, sub2 int, left int, right int, bytes binary")
+            cut = cut.withColumn("span", F.col("side") + len(after))
+            after += [(low, middle - 1), (middle, high)]
+            parts = cut if parts is None else parts.unionByName(cut)
+        parts = materialise(parts)
+        copies = rest.select(*PIECE, "copies")
+        open_ = parts.join(copies, PIECE).groupBy(F.col("sub").alias("bucket"), F.col("sub1").alias("piece"), F.col("sub2").alias("piece2")).agg(
+            F.first("left").alias("left"), F.first("right").alias("right"), F.sum("copies").alias("copies"), F.first("bytes").alias("bytes"), F.first("span").alias("span")
+        )
+        open_, spans = materialise(open_), after
+        mine = parts.select(F.col("sub").alias("bucket"), F.col("sub1").alias("piece"), F.col("sub2").alias("piece2"), *[F.col(c).alias(f"was_{c}") for c in PIECE])
+        if names is None:
+            names = materialise(mine.withColumnsRenamed({f"was_{c}": f"of_{c}" for c in PIECE}))
+        else:
+            before = names.withColumnsRenamed({c: f"was_{c}" for c in PIECE})
+            names = materialise(mine.join(before, [f"was_{c}" for c in PIECE]).select(*PIECE, *[f"of_{c}" for c in PIECE]))
+
+
 def repeated_columns(pieces: list[bytes], left: np.ndarray, right: np.ndarray, copies: np.ndarray, length: int, pick: int) -> np.ndarray:
     """For aligned pieces: a row for each, and for each of the `pick` columns whether the string of `length` that starts
     there also starts in another piece (or copy). Column pick - 1 is the anchor; piece i covers the starts from column
@@ -184,10 +258,10 @@ def _least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.
 
 
 def _build(length: int, pick: int, most: int):
-    """Rows sorted by bucket in; (bucket, piece, first, last) out: runs of repeated starts, as offsets from the anchor."""
+    """Rows sorted by bucket in; (bucket, piece, piece2, first, last) out: runs of repeated starts, as offsets from the anchor."""
 
     def work(rows: list[tuple]) -> pa.RecordBatch | None:
-        bucket, piece, left, right, copies, data = zip(*rows, strict=True)
+        bucket, piece, piece2, left, right, copies, data = zip(*rows, strict=True)
         hit = repeated_columns(list(data), np.array(left), np.array(right), np.array(copies), length, pick)
         edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         i, first = np.nonzero(edge == 1)
@@ -195,7 +269,8 @@ def _build(length: int, pick: int, most: int):
         if not len(i):
             return None
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.array(bucket)[i]), pa.array(np.array(piece)[i]), pa.array((first - pick + 1).astype(np.int32)), pa.array((after - pick).astype(np.int32))], names=["bucket", "piece", "first", "last"]
+            [*[pa.array(np.array(x, t)[i]) for x, t in ((bucket, np.int64), (piece, np.int64), (piece2, np.int32))], pa.array((first - pick + 1).astype(np.int32)), pa.array((after - pick).astype(np.int32))],
+            names=[*PIECE, "first", "last"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,44 +310,47 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, pick: int = PICK, most_pieces: int = MOST_PIECES) -> DataFrame:
-    """docs: rid, doc_id, text. Returns rid, spans (array of first, after: bytes that strings of `length` cover which also
-    start elsewhere)."""
+    """docs: rid, tid, doc_id, text. Returns rid, tid, spans (array of first, after: bytes that strings of `length` cover which
+    also start elsewhere)."""
     if not GRAM <= length - pick + 1 or not 0 < pick < 256:
         raise ValueError("a string must hold a gram after its last possible anchor")
-    anchors = docs.select("rid", "text").mapInArrow(_anchors(length, pick), "rid long, bucket long, piece long, packed long")
+    anchors = docs.select(*ROW, "text").mapInArrow(_anchors(length, pick), "rid long, tid int, bucket long, piece long, piece2 int, packed long")
     # One shuffle of light rows; the window spills, so a bucket of any size passes through it.
     same = Window.partitionBy("bucket")
-    counted = anchors.withColumn("places", F.count("*").over(same)).withColumn("low", F.min("piece").over(same)).withColumn("high", F.max("piece").over(same))
-    shared = materialise(counted.filter("places > 1").select("rid", "bucket", "piece", "packed", (F.col("low") == F.col("high")).alias("alike")))
-
-    distinct = shared.filter("not alike").groupBy("bucket", "piece").agg(F.min(F.struct("rid", "packed")).alias("one"), F.count("*").alias("copies"))
-    crowded = distinct.groupBy("bucket").agg((F.count("*") > most_pieces).alias("crowded"))
-    wanted = distinct.join(crowded, "bucket").select(F.col("one.rid").alias("rid"), F.struct("bucket", "piece", "one.packed", "copies", "crowded").alias("w"))
-    wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted"))
-    cut = docs.join(wanted, "rid").select("doc_id", "text", "wanted")
-    cut = materialise(cut.mapInArrow(_cut(length), "bucket long, piece long, left int, right int, copies long, bytes binary, h1 long, h2 long"))
-    pieces = cut.filter("bytes is not null").select("bucket", "piece", "left", "right", "copies", "bytes")
-    pieces = pieces.repartition("bucket").sortWithinPartitions("bucket")
-    built = pieces.mapInArrow(_build(length, pick, BATCH_PIECES), "bucket long, piece long, first int, last int")
-    single = cut.filter("bytes is null").select("bucket", "piece", "left", "copies", "h1", "h2")
-    often = single.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).filter("n > 1")
-    hashed = single.join(often, ["h1", "h2"], "left_semi").select("bucket", "piece", (-F.col("left")).alias("first"), (-F.col("left")).alias("last"))
-    runs = built.unionByName(hashed)
+    own = F.struct("piece", "piece2")
+    counted = anchors.withColumn("places", F.count("*").over(same)).withColumn("low", F.min(own).over(same)).withColumn("high", F.max(own).over(same))
+    shared = materialise(counted.filter("places > 1").select(*ROW, *PIECE, "packed", (F.col("low") == F.col("high")).alias("alike")))
+
+    distinct = shared.filter("not alike").groupBy(*PIECE).agg(F.min(F.struct(*ROW, "packed")).alias("one"), F.count("*").alias("copies"))
+    wanted = distinct.select("one.rid", "one.tid", F.struct(*PIECE, "one.packed", "copies").alias("w")).groupBy(*ROW).agg(F.collect_list("w").alias("wanted"))
+    cut = docs.join(wanted, ROW).select("text", "wanted")
+    cut = materialise(cut.mapInArrow(_cut(length), "bucket long, piece long, piece2 int, left int, right int, copies long, bytes binary"))
+    pieces, owners = small_buckets(cut, length, pick, most_pieces)
+    pieces = pieces.select(*PIECE, "left", "right", "copies", "bytes").repartition("bucket").sortWithinPartitions("bucket")
+    runs = pieces.mapInArrow(_build(length, pick, BATCH_PIECES), "bucket long, piece long, piece2 int, first int, last int")
+    if owners is not None:
+        runs = materialise(runs)
+        theirs = runs.join(owners, PIECE).select(*[F.col(f"of_{c}").alias(c) for c in PIECE], "first", "last")
+        runs = runs.join(owners.select(*PIECE), PIECE, "left_anti").unionByName(theirs)
 
     at = F.shiftright("packed", 16)
     left, right = F.shiftright("packed", 8).bitwiseAND(255), F.col("packed").bitwiseAND(255)
-    whole = shared.filter("alike").select("rid", (at - left).alias("first"), (at - right + length).alias("after"))
-    parts = shared.filter("not alike").select("rid", "bucket", "piece", at.alias("at")).join(runs, ["bucket", "piece"])
-    parts = parts.select("rid", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last") + length).alias("after"))
-    return whole.unionByName(parts).groupBy("rid").agg(F.collect_set(F.struct("first", "after")).alias("spans"))
+    whole = shared.filter("alike").select(*ROW, (at - left).alias("first"), (at - right + length).alias("after"))
+    parts = shared.filter("not alike").select(*ROW, *PIECE, at.alias("at")).join(runs, PIECE)
+    parts = parts.select(*ROW, (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last") + length).alias("after"))
+    return whole.unionByName(parts).groupBy(*ROW).agg(F.collect_set(F.struct("first", "after")).alias("spans"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, pick: int = PICK, most_pieces: int = MOST_PIECES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", no_text_as_empty(F.col("text")).alias("text"))
-    spans = repeated_spans(rows, length, pick, most_pieces)
-    joined = rows.join(spans, "rid", "left").select("doc_id", "text", "spans")
     kind = dict(docs.dtypes)["doc_id"]
+    text = no_text_as_empty(F.col("text"))
+    # Rows of one id are told apart by their text; those without id by 96 bits of their text.
+    number = F.col("doc_id").cast("long") if kind in ("bigint", "int", "smallint", "tinyint") else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    rid = F.coalesce(number, F.xxhash64(F.lit(7), text))
+    rows = docs.select(rid.alias("rid"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("tid"), "doc_id", text.alias("text"))
+    spans = repeated_spans(rows, length, pick, most_pieces)
+    joined = rows.join(spans, ROW, "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

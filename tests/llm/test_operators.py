@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from histra.llm import common, fingerprint, jaccard_join, license_scan, line_dedup, mixing, packing, suffix_dedup, toxicity, url_filter, vp_search
+from histra.llm import common, fingerprint, jaccard_join, license_scan, line_dedup, mixing, packing, suffix_dedup, textnum, toxicity, url_filter, vp_search
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -124,6 +124,52 @@ def test_suffix_dedup(corpus, docs, length, pick, most):
         assert tuple(got.loc[i, ["n_bytes", "n_removed", "n_spans", "kept_sha256"]]) == (len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_dedup_of_very_many_surroundings(spark):
+    # One passage in 120 surroundings of different lengths, in buckets of at most 5 pieces: several rounds of halving.
+    rng = random.Random(20)
+    passage = prose(rng, 40, 9000)
+    texts = [prose(rng, rng.randint(0, 6), 3) + passage + prose(rng, rng.randint(0, 6), 3) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for length, pick in ((120, 80), (400, 192)):
+        got = suffix_dedup.dedup(df, length, pick, 5).toPandas().set_index("doc_id")
+        data = [t.encode() for t in texts]
+        seen = Counter(b[s : s + length] for b in data for s in range(len(b) - length + 1))
+        for i, b in enumerate(data):
+            gone = np.zeros(len(b), bool)
+            for s in range(len(b) - length + 1):
+                if seen[b[s : s + length]] > 1:
+                    gone[s : s + length] = True
+            assert got.n_removed[i] == gone.sum()
+
+
+def test_suffix_dedup_tells_rows_apart(spark):
+    a, b = prose(random.Random(1), 100, 9000), prose(random.Random(2), 100, 9000)
+    df = spark.createDataFrame([(None, a), (None, b), (5, a), (5, b[:300]), ((1 << 63) - 1, b), (-(1 << 63), "")], "doc_id long, text string")
+    got = sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(df).collect())
+    assert got == sorted([(len(a), len(a)), (len(a), len(a)), (len(b), len(b)), (len(b), len(b)), (300, 0), (0, 0)])
+    named = suffix_dedup.dedup(df.withColumn("doc_id", F.concat(F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("x")))))
+    assert sorted((r.n_bytes, r.n_removed) for r in named.collect()) == got
+
+
+def thue_morse(n, a, b):
+    out = a
+    for _ in range(n):
+        out += out.translate(str.maketrans(a + b, b + a))
+    return out
+
+
+def test_hashes_withstand_regular_texts(spark):
+    one, other = thue_morse(12, "a", "b"), thue_morse(12, "b", "a")
+    rows = [(1, one), (2, other), (3, f"x {one} y z u v w"), (4, f"x {other} y z u v w"), (5, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.components(df).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    data = np.frombuffer((one[:1024] + other[:1024]).encode(), np.uint8)
+    stretches = textnum.Stretches(data)
+    a, b = (x(np.array([0, 1024]), np.array([1024, 2048])) for x in (stretches.plain, stretches.prime))
+    assert a[0] == a[1] and b[0] != b[1]  # the plain lane's known weakness, which the others do not share
+
+
 def units(text):
     out = []
     for line in text.split("\n"):
