@@ -9,13 +9,16 @@ distance of the k-th best so far: factor 1, the default, is exact search. R is t
 vector loosens the bounds of its own shard only. Larger factors skip more and lose neighbours wherever norms differ: with R
 far above most norms every query is about R away from every point, and a multiple of that bound skips nearly all.
 
-The rows are dealt to shards by a hash of their id, so equal vectors spread evenly, and a shard's size is bounded. A task
-holds one shard's tree and one batch of queries; each query passes over all shards, and its best k of every shard are
-merged by one window. Scores are computed in double precision on the original vectors; ties go to the smaller id.
+The rows are dealt to shards by a hash of their id, so equal vectors spread evenly, and a shard's size is bounded. Inside a
+shard equal vectors are one point with all their ids. A task holds one shard's tree and one batch of queries; each query
+passes over all shards, and its best k of every shard are merged by one window. A leaf's products are first taken by matrix
+multiplication; those that its rounding leaves in doubt are computed again one by one, always in one order of summation, and
+only these decide, so equal vectors tie exactly, at any scale of the components; ties go to the smaller id.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part, neither do rows
 without id. A query meets vectors of its own length only, and no row of its own id. Of rows that repeat a query's id the
-largest vector asks. An empty table gives no rows.
+largest vector asks; rows equal in id and vector are one candidate, rows that repeat an id with other vectors are candidates
+of their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ from .common import table
 
 K = 20
 FACTOR = 1.0
-#: Room for rounding in the comparison of distances.
-SLACK = 1e-9
+#: Room for rounding in the comparison of distances, in parts of the largest distance.
+SLACK = 1e-7
 LEAF = 128
 QUERY_EVERY = 20
 #: A shard's rows at most, about; small tables get more and smaller shards, for the sake of parallel work.
@@ -51,12 +54,26 @@ class Node:
     far: Node | None = None
 
 
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The measure: inner products of paired rows, each summed in the same order wherever it is computed."""
+    return (q * x).sum(axis=1)
+
+
 class Tree:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, radius: float, leaf: int = LEAF):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x, self.radius, self.leaf = ids[order], vectors[order], radius, leaf
-        self.lift = np.sqrt(np.maximum(radius * radius - np.einsum("ij,ij->i", self.x, self.x), 0.0))
-        self.root = self._build(np.arange(len(ids)), np.random.Generator(np.random.PCG64(len(ids))))
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF):
+        # Equal vectors are one point; points in order of their smallest id, ids ascending inside a point.
+        raw = np.ascontiguousarray(vectors).view(f"V{vectors.shape[1] * 8}").ravel()
+        _, first, point = np.unique(raw, return_index=True, return_inverse=True)
+        order = np.lexsort((ids, point))
+        same = (point[order][1:] == point[order][:-1]) & (ids[order][1:] == ids[order][:-1])
+        order = order[np.concatenate(([True], ~same))] if len(order) else order
+        cut = np.searchsorted(point[order], np.arange(len(first) + 1))
+        by_id = np.argsort(ids[order][cut[:-1]], kind="stable")
+        self.x, self.leaf = vectors[first][by_id], leaf
+        self.ids = [ids[order[cut[p] : cut[p + 1]]] for p in by_id.tolist()]
+        self.radius = float(np.sqrt(np.einsum("ij,ij->i", self.x, self.x).max())) * (1 + 1e-12)
+        self.lift = np.sqrt(np.maximum(self.radius**2 - np.einsum("ij,ij->i", self.x, self.x), 0.0))
+        self.root = self._build(np.arange(len(self.x)), np.random.Generator(np.random.PCG64(len(ids))))
 
     def _build(self, rows: np.ndarray, rng: np.random.Generator) -> Node:
         if len(rows) <= self.leaf:
@@ -79,15 +96,33 @@ class Tree:
         d = self.x[rows] - self.x[v]
         return np.sqrt(np.einsum("ij,ij->i", d, d) + (self.lift[rows] - self.lift[v]) ** 2)
 
-    def search(self, own: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the k nearest for each query (-1: none) and how many rows were looked at; own: the queries' ids."""
-        self.best = np.full((len(q), k), -1, np.int64)
-        self.score = np.full((len(q), k), -np.inf)
+    def search(self, own: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of the k nearest of each query, and how many points each was compared with; own: the queries' ids."""
+        # One point more than k, as one may hold nothing but the query's own id.
+        self.k = k + 1
+        self.best = np.full((len(q), self.k), -1, np.int64)
+        self.score = np.full((len(q), self.k), -np.inf)
         self.seen = np.zeros(len(q), np.int64)
-        self.own, self.q, self.k, self.factor = own, q, k, factor
-        self.square = np.einsum("ij,ij->i", q, q) + self.radius**2
+        self.q, self.factor = q, factor
+        norm = np.sqrt(np.einsum("ij,ij->i", q, q))
+        self.square = norm**2 + self.radius**2
+        self.doubt = 4 * (q.shape[1] + 4) * np.finfo(float).eps * norm * self.radius
         self._visit(self.root, np.arange(len(q)))
-        return self.best, self.seen
+        who, ids, scores = [], [], []
+        for i in range(len(q)):
+            at = [p for p in self.best[i].tolist() if p >= 0]
+            mine = [self.ids[p][: k + 1] for p in at]
+            if not mine:
+                continue
+            found, score = np.concatenate(mine), np.repeat(self.score[i, : len(at)], [len(m) for m in mine])
+            other = found != own[i]
+            found, score = found[other], score[other]
+            order = np.lexsort((found, -score))[:k]
+            who.append(np.full(len(order), i))
+            ids.append(found[order])
+            scores.append(score[order])
+        joined = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((who, np.int64), (ids, np.int64), (scores, np.float64))]
+        return *joined, self.seen
 
     def _visit(self, node: Node, who: np.ndarray) -> None:
         if not len(who):
@@ -103,29 +138,31 @@ class Tree:
         self._visit(node.far, who[~inner])
         kth = self.score[who, self.k - 1]
         tau = np.where(np.isfinite(kth), np.sqrt(np.maximum(self.square[who] - 2 * np.where(np.isfinite(kth), kth, 0.0), 0.0)), np.inf)
-        again = bound <= tau * (1 + SLACK)
+        again = bound <= tau + SLACK * np.sqrt(self.square[who])
         self._visit(node.far, who[inner & again])
         self._visit(node.near, who[~inner & again])
 
     def _scan(self, rows: np.ndarray, who: np.ndarray) -> None:
         self.seen[who] += len(rows)
-        for lo in range(0, len(rows), 4096):
-            part = rows[lo : lo + 4096]
-            # Rounded, so that equal vectors tie whatever the order of the sums was.
-            s = np.round(self.q[who] @ self.x[part].T, 12)
-            s[self.own[who][:, None] == self.ids[part][None, :]] = -np.inf
-            score = np.concatenate((self.score[who], s), axis=1)
-            row = np.concatenate((self.best[who], np.broadcast_to(part, s.shape)), axis=1)
-            if score.shape[1] > 4 * self.k:
-                # All that tie with the k-th stay, the smaller row (and so the smaller id) first.
-                kth = np.partition(score, -self.k, axis=1)[:, -self.k]
-                hopeful = np.flatnonzero((score >= kth[:, None]).any(axis=0))
-                score, row = score[:, hopeful], row[:, hopeful]
-            at = np.lexsort((row, -score), axis=1)[:, : self.k]
-            self.score[who] = np.take_along_axis(score, at, axis=1)
-            kept = np.take_along_axis(row, at, axis=1)
-            kept[~np.isfinite(self.score[who])] = -1
-            self.best[who] = kept
+        for lo in range(0, len(rows), 2048):
+            part, k = rows[lo : lo + 2048], self.k
+            rough = self.q[who] @ self.x[part].T
+            both = np.concatenate((self.score[who], rough), axis=1)
+            kth = np.partition(both, -k, axis=1)[:, -k]
+            # Twice the doubt: the k-th itself is rough, too.
+            i, j = np.nonzero(rough >= (kth - 2 * self.doubt[who])[:, None])
+            exact = np.concatenate([products(self.q[who[i[at : at + 65_536]]], self.x[part[j[at : at + 65_536]]]) for at in range(0, len(i), 65_536)]) if len(i) else np.zeros(0)
+            held_i, held_j = np.nonzero(self.best[who] >= 0)
+            query = np.concatenate((held_i, i))
+            point = np.concatenate((self.best[who][held_i, held_j], part[j]))
+            score = np.concatenate((self.score[who][held_i, held_j], exact))
+            order = np.lexsort((point, -score, query))
+            query, point, score = query[order], point[order], score[order]
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            keep = place < k
+            best, kept = np.full((len(who), k), -1, np.int64), np.full((len(who), k), -np.inf)
+            best[query[keep], place[keep]], kept[query[keep], place[keep]] = point[keep], score[keep]
+            self.best[who], self.score[who] = best, kept
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -140,11 +177,8 @@ def _search(k: int, factor: float):
     """Rows (group, kind, id, vector), sorted by group and kind: a shard's vectors (kind 0), then its queries (kind 1)."""
 
     def answer(tree: Tree, ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-        best, seen = tree.search(ids, q, k, factor)
-        who, place = np.nonzero(best >= 0)
-        rows = best[who, place]
-        score = (q[who] * tree.x[rows]).sum(axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(tree.ids[rows]), pa.array(score), pa.array(seen[who])], names=["query_id", "vec_id", "score", "looked_at"])
+        who, found, score, seen = tree.search(ids, q, k, factor)
+        return pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(found), pa.array(score), pa.array(seen[who])], names=["query_id", "vec_id", "score", "looked_at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, parts, tree = None, [], None
@@ -161,9 +195,7 @@ def _search(k: int, factor: float):
                     parts.append((ids[lo:hi], x))
                     continue
                 if tree is None and parts:
-                    vectors = np.concatenate([p[1] for p in parts])
-                    radius = float(np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max())) * (1 + 1e-12)
-                    tree = Tree(np.concatenate([p[0] for p in parts]), vectors, radius)
+                    tree = Tree(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
                     parts = []
                 if tree is not None:
                     for at in range(0, hi - lo, QUERY_BATCH):
@@ -189,7 +221,7 @@ def search(vectors: DataFrame, query_every: int = QUERY_EVERY, k: int = K, facto
     asks = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(group(F.col("shard")).alias("g"), F.lit(1).alias("kind"), "id", "v")
     both = data.unionByName(asks).select((F.col("g.dim").cast("long") * 2**32 + F.col("g.shard")).alias("g"), "kind", "id", "v")
     dealt = both.repartition("g").sortWithinPartitions("g", "kind", "id")
-    found = dealt.mapInArrow(_search(k, factor), SCHEMA).dropDuplicates(["query_id", "vec_id", "score"])
+    found = dealt.mapInArrow(_search(k, factor), SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "looked_at")
 

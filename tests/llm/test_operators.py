@@ -401,6 +401,47 @@ def test_packing_asks_with_all_terms_and_keeps_all_neighbours():
     assert len(index.nearest(0, np.arange(len(docs)) == 0)) == len(docs) - 1
 
 
+@pytest.mark.parametrize("scale", [1e-120, 1e-7, 1.0, 1e7])
+def test_vp_search_at_any_scale(spark, scale):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(2000, 16)) * scale
+    x[300:340] = x[5]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vp_search.search(df, shard_rows=500).toPandas()
+    for q, rows in got.groupby("query_id"):
+        score = (x[q] * x).sum(axis=1)
+        order = [j for j in np.lexsort((np.arange(2000), -score)) if j != q][:20]
+        rows = rows.sort_values("rank")
+        assert rows.vec_id.tolist() == order and rows["rank"].tolist() == list(range(1, 21))
+        assert rows.score.tolist() == score[order].tolist()
+
+
+def test_vp_search_with_repeated_rows(spark):
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(300, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    once = vp_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    twice = vp_search.search(spark.createDataFrame(rows + rows, "vec_id long, embedding array<double>"))
+    key = ["query_id", "rank", "vec_id", "score"]
+    assert sorted(map(tuple, once.select(key).collect())) == sorted(map(tuple, twice.select(key).collect()))
+    # An id with two vectors: both are candidates.
+    both = vp_search.search(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (0, [3.0, 0.0])], "vec_id long, embedding array<double>"))
+    assert [(r.query_id, r.vec_id, r.score) for r in both.orderBy("rank").collect()] == [(0, 1, 6.0), (0, 1, 3.0)]
+
+
+def test_vp_search_query_on_the_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toPandas()
+    ok = [(int(i), np.array(v, float)) for i, v in zip(rows.vec_id, rows.embedding, strict=True) if v is not None and np.isfinite(np.array(v, float)).all() and np.any(v)]
+    ids, x = np.array([i for i, _ in ok]), np.stack([v for _, v in ok])
+    got = vp_search.op1_vp_search(spark, "/root/testdata/sf0.01").toPandas()
+    asked = [(i, v) for i, v in ok if i % 20 == 0]
+    assert set(got.query_id) == {i for i, _ in asked}
+    for q, v in asked:
+        score = (v * x).sum(axis=1)
+        order = [j for j in np.lexsort((ids, -score)) if ids[j] != q][:20]
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == ids[order].tolist()
+
+
 @pytest.mark.parametrize("norms", ["one long", "lognormal"])
 def test_vp_search_with_unequal_norms(spark, norms):
     rng = np.random.default_rng(8)
