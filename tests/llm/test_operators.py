@@ -180,20 +180,23 @@ def units(text):
     return out
 
 
-@pytest.mark.parametrize("window", [1, 3, 4])
-def test_line_dedup(corpus, docs, window):
-    got = line_dedup.dedup(docs, window).toPandas().set_index("doc_id")
+@pytest.mark.parametrize(("window", "long_words"), [(1, None), (3, None), (4, None), (3, 50), (4, 7), (2, 1)])
+def test_line_dedup(corpus, docs, window, long_words):
+    got = line_dedup.dedup(docs, window, long_words).toPandas().set_index("doc_id")
     seen = set()
     for i, text in zip(corpus.doc_id, corpus.text, strict=True):
         if text is None:
             assert got.text[i] is None and got.n_lines[i] == 0
             continue
         lines, gone = units(text), set()
-        for s in range(len(lines) - window + 1):
-            key = tuple(x.strip(" ") for x in lines[s : s + window])
-            if key in seen:
-                gone.update(range(s, s + window))
-            seen.add(key)
+        for width in range(1 if long_words else window, window + 1):
+            for s in range(len(lines) - width + 1):
+                if width < window and sum(len(words(x)) for x in lines[s : s + width]) <= long_words:
+                    continue
+                key = tuple(x.strip(" ") for x in lines[s : s + width])
+                if key in seen:
+                    gone.update(range(s, s + width))
+                seen.add(key)
         assert got.text[i] == "\n".join(x for k, x in enumerate(lines) if k not in gone)
         assert (got.n_lines[i], got.n_removed[i]) == (len(lines), len(gone))
         assert got.n_runs[i] == sum(k - 1 not in gone for k in gone)
@@ -210,6 +213,27 @@ def test_line_dedup_of_long_passages(spark):
     assert kept.sort_index().to_dict() == {0: texts[0], 1: texts[1], 2: "e\nf", 3: "g\nh", 4: texts[4], 7: texts[7]}
 
 
+def test_line_dedup_shuffles_fewer_rows_than_windows(spark):
+    rng = random.Random(21)
+    texts = ["\n".join(prose(rng, 5, 9000) for _ in range(60)) for _ in range(50)]
+    shared = "\n".join(prose(rng, 5, 9000) for _ in range(9))
+    texts = [f"{t}\n{shared}" if i % 10 == 0 else t for i, t in enumerate(texts)]
+    lines = line_dedup.line_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), False)
+    windows = lines.agg(F.sum(F.size("hashes") - 2)).first()[0]
+    places = line_dedup.fingerprints(lines, 3, None)
+    # Winnowing's density is 2 / (w + 1); a place stands for one to three windows, and all windows have theirs.
+    assert 0.4 * windows < places.count() < 0.6 * windows
+    assert places.agg(F.sum(F.size("windows")), F.max(F.size("windows"))).first() == (windows, 3)
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    # 60,000 lines, a third of them in repeated runs: time in proportion to the lines.
+    lines = F.transform(F.sequence(F.lit(0), F.lit(59_999)), lambda i: F.concat(F.lit("line "), F.when(i % 9 < 3, i % 9).otherwise(i).cast("string")))
+    df = spark.range(1).select(F.col("id").alias("doc_id"), F.array_join(lines, "\n").alias("text"))
+    row = line_dedup.dedup(df).first()
+    assert (row.n_lines, row.n_removed, row.n_runs) == (60_000, 3 * (-(-60_000 // 9) - 1), -(-60_000 // 9) - 1)
+
+
 def shingles(text):
     w = words((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
