@@ -11,8 +11,8 @@ next window, as its seed. So every window but a shard's last is full.
 Documents of different shards do not meet: the index is not one, and how many nearest neighbours that costs depends on how
 well leading terms tell them.
 
-Tokens of a text are looked up word by word (pieces between spaces and line feeds): the tokenizer splits there before
-anything else, so ids of a text are the ids of its words in a row. Each Python worker keeps a bounded table of words.
+Tokens of a text are looked up part by part: the tokenizer splits there before anything else, so the ids of a text are the ids
+of its parts in a row. Each Python worker keeps a bounded table of parts.
 
 Defined results: a null text counts as empty and is a piece of one id, the end; an empty table gives no pieces; rows that
 repeat a doc_id are documents of their own, told apart by their text's hash in the order, and equal rows are packed twice.
@@ -22,7 +22,6 @@ Only doc_id and text are read. The same table gives the same pieces again, howev
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,10 +29,10 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textnum
 from .common import materialise, no_text_as_empty, table
 
 WINDOW = 2048
@@ -46,8 +45,10 @@ NEIGHBOURS = 24
 #: Leading terms that order the documents, bits of each in the order's key, and documents a shard whose keys make the cuts.
 LEADING, TERM_BITS = 3, 21
 SAMPLE_DOCS = 32
-#: Words in a worker's table; how many stay when it is full, and after a task.
-MOST_WORDS, KEPT_WORDS, LASTING_WORDS = 600_000, 300_000, 150_000
+#: Parts in a worker's table; how many stay when it is full, and after a task.
+MOST_WORDS, KEPT_WORDS, LASTING_WORDS = 600_000, 300_000, 300_000
+#: Bytes of text that are cut into parts at a time.
+SLICE_BYTES = 1 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -56,8 +57,30 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Kinds of bytes: between words, space inside a word, letter, digit, other sign, and what makes a word be left to the tokenizer.
+GAP, SPACE, LETTER, DIGIT, SIGN, ASIDE = range(6)
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kinds of single bytes and of the second bytes after C2 and C3, by the pattern of the tokenizer's file."""
+    one = np.full(256, SIGN, np.uint8)
+    for c in range(128):
+        one[c] = GAP if chr(c) in " \n" else SPACE if 9 <= c <= 13 else LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else SIGN
+    one[0xC4:] = ASIDE
+    after = np.full((2, 256), SIGN, np.uint8)
+    for c in range(0x80, 0x100):
+        kind = SPACE if c in (0x85, 0xA0) else LETTER if chr(c).isalpha() else DIGIT if chr(c).isnumeric() else SIGN
+        after[c >> 6 & 1, 0x80 | c & 0x3F] = kind
+    return one, after[0], after[1]
+
+
 class WordTokenizer:
-    """ids of a text as bytes (little-endian unsigned 32-bit)."""
+    """Ids of texts. Texts are cut into parts (runs of letters, single digits, runs of other signs) as the tokenizer's own first step
+    cuts them, by their bytes and many texts at a time; the tokenizer sees each different part once. Words with anything else in
+    them (contractions, special tokens, characters from U+0100) are kept whole and left to the tokenizer.
+
+    A part is known by a hash of 64 bits and confirmed by a second one.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the unit of work
@@ -65,69 +88,127 @@ class WordTokenizer:
 
         tokenizer = Tokenizer.from_file(path)
         self.encode_batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        self.known: dict[str, bytes] = {"": b""}
         #: Which ids end a word, by the vocabulary's mark.
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        #: The pattern of the tokenizer's file, for small letters up to U+00FF.
-        letters, digits = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
-        self.parts = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\\t-\\r \\x85\\xa0{letters}{digits}]+").findall
-
-    def learn(self, words: list[str]) -> None:
-        """Words of characters up to U+00FF are put together from their parts (as the tokenizer's own first step cuts them), of
-        which there are far fewer; other words are left to the tokenizer."""
-        known, single, built, other = self.known, [], [], []
-        for w in words:
-            if "<|" in w or not (w.isascii() or max(w) < "\u0100"):
-                other.append(w)
-            elif w.isalpha() and w.islower():
-                single.append(w)
-            else:
-                built.append((w, self.parts(w.lower())))
-        fresh = {x for _, parts in built for x in parts if x not in known}
-        fresh.update(single)
-        self.learn_parts(list(fresh))
-        self.learn_whole(other)
-        for w, parts in built:
-            known[w] = b"".join([known[x] for x in parts])
-
-    def learn_whole(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 5000):
-            part = words[lo : lo + 5000]
-            for w, e in zip(part, self.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def learn_parts(self, words: list[str]) -> None:
-        """Words that are one part each: encoded many at a time and told apart by the ids that end a word."""
-        parts = [words[lo : lo + 500] for lo in range(0, len(words), 500)]
-        for part, e in zip(parts, self.encode_batch([" ".join(part) for part in parts], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            if len(cuts) != len(part):
-                self.learn_whole(part)
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, cut in zip(part, cuts.tolist(), strict=True):
-                self.known[w] = raw[at:cut]
-                at = cut
+        self.kind, self.after_c2, self.after_c3 = _kinds()
+        #: Known parts by their hash; for each its second hash and where its ids stand.
+        self.slots: dict[int, int] = {}
+        self.check, self.first, self.n_ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     def trim(self, keep: int) -> None:
-        """Only the first words, which came first because they come often."""
-        if len(self.known) > keep:
-            self.known = dict(islice(self.known.items(), keep))
+        """Only the first parts, which came first because they come often."""
+        if len(self.slots) > keep:
+            self.slots = dict(islice(self.slots.items(), keep))
+            self.check, self.first, self.n_ids = self.check[:keep].copy(), self.first[:keep].copy(), self.n_ids[:keep].copy()
+            self.ids = self.ids[: int(self.first[-1] + self.n_ids[-1])].copy() if keep else self.ids[:0]
+
+    def parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes in small letters, starts, ends, whether the part is a whole word left to the tokenizer) of a slice's texts."""
+        n, kind, small = len(data), self.kind[data], textnum.LOWER_TABLE[data]
+        for lead, table in ((0xC2, self.after_c2), (0xC3, self.after_c3)):
+            at = np.flatnonzero(data == lead)
+            kind[at] = kind[at + 1] = table[data[at + 1]]
+            if lead == 0xC3:
+                upper = at[(data[at + 1] < 0x9F) & (data[at + 1] != 0x97)] + 1
+                small[upper] += 0x20
+        # Bytes of wide characters are aside, and so is what may begin a contraction or a special token.
+        wide = np.flatnonzero(kind == ASIDE)
+        aside = [wide]
+        for sign, then in ((0x27, b"stmrvld"), (0x3C, b"|")):
+            at = np.flatnonzero(data[:-1] == sign)
+            aside.append(at[np.isin(small[at + 1], np.frombuffer(then, np.uint8))])
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        marks = np.concatenate(aside)
+        if len(marks):
+            ink = kind != GAP
+            begins = ink.copy()
+            begins[1:] &= ~ink[:-1] | edge[1:-1]
+            word = np.cumsum(begins)
+            whole = np.zeros(int(word[-1]) + 1, bool)
+            whole[word[marks]] = True
+            whole = whole[word] & ink
+            kind[whole] = ASIDE
+            small[whole] = data[whole]
+        # A new part begins where the kind changes, at each digit, and at each text.
+        new = np.empty(n, bool)
+        new[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=new[1:])
+        new |= edge[:-1] | ((kind == DIGIT) & ((data < 0x80) | (data >= 0xC0)))
+        starts = np.flatnonzero(new)
+        ends = np.concatenate((starts[1:], [n]))
+        kinds = kind[starts]
+        kept = kinds >= LETTER
+        return small, starts[kept], ends[kept], kinds[kept] == ASIDE
+
+    def _learn(self, hashes: np.ndarray, check: np.ndarray, words: list[str], whole: np.ndarray) -> None:
+        order = np.argsort(whole, kind="stable")
+        n, m = len(self.slots), int((~whole).sum())
+        words = [words[i] for i in order.tolist()]
+        ids, sizes = self._parts_ids(words[:m])
+        more, more_sizes = self._whole_ids(words[m:])
+        sizes = np.concatenate((sizes, more_sizes))
+        self.slots.update(zip(hashes[order].tolist(), range(n, n + len(hashes)), strict=True))
+        self.check = np.concatenate((self.check, check[order]))
+        self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.n_ids = np.concatenate((self.n_ids, sizes))
+        self.ids = np.concatenate((self.ids, ids, more))
+
+    def _whole_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all in a row, how many each has)."""
+        found = [np.array(e.ids, np.uint32) for lo in range(0, len(words), 5000) for e in self.encode_batch(words[lo : lo + 5000], add_special_tokens=False)]
+        return np.concatenate((np.zeros(0, np.uint32), *found)), np.array([len(x) for x in found], np.int64)
+
+    def _parts_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that are one part each: encoded many at a time and told apart by the ids that end a word."""
+        parts = [words[lo : lo + 500] for lo in range(0, len(words), 500)]
+        found, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for part, e in zip(parts, self.encode_batch([" ".join(part) for part in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            own = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(own) != len(part):
+                ids, own = self._whole_ids(part)
+            found.append(ids)
+            sizes.append(own)
+        return np.concatenate(found), np.concatenate(sizes)
+
+    def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, n + 1 offsets into them)."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        small, starts, ends, whole = self.parts(data, offsets)
+        hashes = textnum.word_hashes(small, starts, ends) ^ whole.astype(np.uint64)
+        different, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        check = textnum.word_hashes(small, starts[one], ends[one], 1)
+        if len(self.slots) + len(different) > MOST_WORDS:
+            self.trim(KEPT_WORDS)
+        get = self.slots.get
+        slot = np.array([get(h, -1) for h in different.tolist()], np.int64)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            at, raw = one[new], small.tobytes()
+            words = [raw[i:j].decode() for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            self._learn(different[new], check[new], words, whole[at])
+            slot[new] = [get(h) for h in different[new].tolist()]
+        if not np.array_equal(self.check[slot], check):
+            raise RuntimeError("two parts have one hash")  # 1 in 2^64 for a pair; the task fails rather than give wrong ids
+        slot = slot[which]
+        sizes = self.n_ids[slot]
+        after = np.cumsum(sizes)
+        total = int(after[-1]) if len(after) else 0
+        ids = self.ids[np.repeat(self.first[slot] - after + sizes, sizes) + np.arange(total)]
+        return ids, np.concatenate(([0], after))[np.searchsorted(starts, offsets)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [(t.lower() if small_letters_are_safe(t) else t).replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split) - self.known.keys()
-        if len(self.known) + len(new) > MOST_WORDS:
-            # What came first came often.
-            self.trim(KEPT_WORDS)
-            new = set().union(*split) - self.known.keys()
-        if new:
-            self.learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        """ids of texts as bytes (little-endian unsigned 32-bit)."""
+        out = []
+        for _, _, data, offsets in textnum.text_slices(pa.array(texts, pa.string())):
+            ids, at = self.encode_slice(data, offsets)
+            out += [ids[i:j].astype("<u4").tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return out
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -140,20 +221,6 @@ def worker_tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-def small_letters_are_safe(text: str) -> bool:
-    """Whether lower-casing before the tokenizer's own steps can't change the ids: no special token, and only characters (up to
-    U+00FF) that its normal form leaves alone. It makes for fewer different words."""
-    if "<|" in text:
-        return False
-    if text.isascii():
-        return True
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
 @dataclass
 class Statistics:
     """Of the whole table: documents, their mean length, and how many documents have each id."""
@@ -290,11 +357,13 @@ def _tokenise(path: str):
         tokenizer = packing.worker_tokenizer(path)
         kind = "<u2" if len(tokenizer.ends) <= 1 << 16 else "<u4"
         end = np.array([END_ID], kind).tobytes()
-        for part in (batch.slice(lo, 256) for batch in batches for lo in range(0, batch.num_rows, 256)):
-            raw = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in tokenizer.encode(part.column(2).to_pylist())]
-            sizes = np.array([len(x) for x in raw], np.int64) // np.dtype(kind).itemsize
-            octets = pa.compute.binary_length(part.column(2)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), octets, pa.array(sizes), pa.array(raw, pa.binary())], names=[x.split()[0] for x in TOKENS.split(", ")])
+        for batch in batches:
+            for lo, hi, data, offsets in textnum.text_slices(batch.column(2), SLICE_BYTES):
+                ids, at = tokenizer.encode_slice(data, offsets)
+                ids = ids.astype(kind)
+                raw = [ids[i:j].tobytes() + end for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                head = [batch.column(k).slice(lo, hi - lo) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([*head, pa.array(np.diff(offsets)), pa.array(np.diff(at) + 1), pa.array(raw, pa.binary())], names=[x.split()[0] for x in TOKENS.split(", ")])
         tokenizer.trim(LASTING_WORDS)
 
     return run
