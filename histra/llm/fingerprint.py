@@ -20,7 +20,12 @@ and one addition serve two lanes: a text has less than 2^31 word pairs, so no la
 reduced. Differences of lanes are known modulo 2^21; the one nearest to what independent bits would give is taken.
 
 Defined results: a null text counts as empty; the empty text has the zero vector; two zero vectors have likeness 1. Rows
-that repeat a doc_id are ordered by their text. Only doc_id and text are read.
+that repeat a doc_id, and those without one, which come last, are ordered by a hash of their text. Only doc_id and text are
+read.
+
+Scale: which row comes next is found in blocks of neighbouring rows. The cuts between blocks are taken from a sample of the
+rows' places in the order (SAMPLE for each block, at most MOST_BLOCKS blocks), not from the ids' range, so one far id, or a
+third of all rows under one id or none, leaves blocks of like size. Cuts move work, not results.
 """
 
 from __future__ import annotations
@@ -39,10 +44,8 @@ LANE = (1 << 21) - 1
 #: The lowest bit of each of the two lanes in a long of the sums.
 HALVES, HALF_BITS = 1 | 1 << 32, 32
 IDENTITY_MOD = 1 << 32
-#: Documents that one window may hold, about.
-BLOCK_ROWS = 512
-#: Rows of three longs that may be broadcast: a few MB.
-BROADCAST_ROWS = 200_000
+#: Documents of a block, about; blocks at most, and rows that are looked at for each to cut them (a string of 33 letters each).
+BLOCK_ROWS, MOST_BLOCKS, SAMPLE = 512, 1 << 14, 16
 
 
 def units(text: Column) -> Column:
@@ -157,31 +160,54 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a["identity"] == b["identity"], 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
 
 
+def _place(doc_id: Column, row_hash: Column) -> Column:
+    """A string that sorts like the order: doc_id descending, null last, then the hash."""
+    sortable = lambda x: F.lpad(F.hex(x.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    number = doc_id.cast("long")
+    return F.concat(F.when(number.isNull(), "1").otherwise("0"), F.coalesce(sortable(F.bitwise_not(number)), F.lit("")), sortable(row_hash))
+
+
+def _block(place: Column, cuts: list[str]) -> Column:
+    """How many cuts lie at or before the place, by bisection in one array."""
+    if not cuts:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    marks = F.split(F.lit(",".join(cuts)), ",")
+
+    def step(at: Column, by: Column) -> Column:
+        return F.when((at + by <= len(cuts)) & (F.get(marks, at + by - 1) <= place), at + by).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), step)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, row_hash, text, next_id, next_hash, next_text: beside each row the next one in descending order of doc_id;
     after the last comes the first.
 
-    The rows are dealt to blocks of neighbouring ids and ordered inside their block. The first row of each block is also
-    put into the nearest block before it that has rows, as that block's last neighbour. The texts are shuffled once.
+    The rows are dealt to blocks of neighbours and ordered inside their block. The first row of each block is also put into the
+    nearest block before it that has rows, as that block's last neighbour. The texts are shuffled once.
     """
     rows = docs.select("doc_id", no_text_as_empty(F.col("text")).alias("text"))
-    n, low, high = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    if not n:
-        return rows.select("doc_id", F.xxhash64("text").alias("row_hash"), "text", F.col("doc_id").alias("next_id"), F.lit(0).cast("long").alias("next_hash"), F.col("text").alias("next_text"))
-    low, high = (low, high) if low is not None else (0, 0)
-    width = max(1, (high - low + 1) * BLOCK_ROWS // n)
-    # Null ids come last, in a block of their own.
-    rows = rows.withColumn("block", F.coalesce(F.lit(0) - F.floor((F.col("doc_id") - low) / F.lit(width)), F.lit(1)).cast("long"))
-    # Blocks ascend as ids descend. One row for each block: about n / BLOCK_ROWS, ids only.
-    tops = rows.groupBy("block").agg(F.max("doc_id").alias("top"))
+    n = rows.count()
+    rows = rows.withColumn("row_hash", F.xxhash64("text")).withColumn("place", _place(F.col("doc_id"), F.col("row_hash")))
+    blocks = min(MOST_BLOCKS, -(-n // BLOCK_ROWS))
+    cuts: list[str] = []
+    if blocks > 1:
+        every = max(1, n // (blocks * SAMPLE))
+        some = rows.filter(F.pmod(F.xxhash64(F.lit(31), "doc_id", "row_hash"), F.lit(every)) == 0).select("place").orderBy(F.xxhash64(F.lit(37), "place"))
+        seen = sorted({r.place for r in some.limit(2 * MOST_BLOCKS * SAMPLE).collect()})
+        cuts = [seen[k * len(seen) // blocks] for k in range(1, blocks)] if len(seen) > blocks else seen[1:]
+        cuts = sorted(set(cuts))
+    rows = rows.withColumn("block", _block(F.col("place"), cuts))
+    # One row for each block, MOST_BLOCKS at most.
+    tops = rows.groupBy("block").agg(F.min("place").alias("top"))
     order = Window.orderBy("block")
     before = F.coalesce(F.lag("block").over(order), F.max("block").over(Window.partitionBy()))
-    tops = materialise(tops.select("block", "top", before.alias("halo")))
-    # Sent to all tasks only if it is small; else the texts are shuffled once more for it.
-    flagged = rows.join(F.broadcast(tops) if tops.count() <= BROADCAST_ROWS else tops, ["block"], "left")
-    halo = F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array("block", "halo")).otherwise(F.array("block"))
-    dealt = flagged.select("doc_id", "text", F.xxhash64("text").alias("row_hash"), F.col("block").alias("own"), F.posexplode(halo).alias("is_halo", "block"))
-    inside = Window.partitionBy("block").orderBy("is_halo", F.col("doc_id").desc_nulls_last(), "text")
+    tops = materialise(tops.select(F.col("block").alias("b"), "top", before.alias("halo")))
+    flagged = rows.join(F.broadcast(tops), F.col("block") == F.col("b"), "left")
+    halo = F.when(F.col("place") == F.col("top"), F.array("block", "halo")).otherwise(F.array("block"))
+    dealt = flagged.select("doc_id", "text", "row_hash", "place", F.posexplode(halo).alias("is_halo", "block"))
+    inside = Window.partitionBy("block").orderBy("is_halo", "place", "text")
     return (
         dealt.select("doc_id", "row_hash", "text", "is_halo", F.lead("doc_id").over(inside).alias("next_id"), F.lead("row_hash").over(inside).alias("next_hash"), F.lead("text").over(inside).alias("next_text"))
         .filter("is_halo = 0")

@@ -67,6 +67,45 @@ def test_fingerprints(spark, corpus, docs):
     assert [pairs.next_id[i] for i in ids] == [*ids[1:], ids[0]]
 
 
+@pytest.mark.parametrize("ids", ["far", "one", "none", "whole range", "repeated"])
+def test_next_document_whatever_the_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(fingerprint, "BLOCK_ROWS", 8)
+    number = {"far": lambda i: i if i else (1 << 63) - 1, "one": lambda i: 7, "none": lambda i: None if i % 3 else i, "whole range": lambda i: (i - 100) * ((1 << 63) // 100), "repeated": lambda i: i // 40}[ids]
+    rows = [(max(min(x, (1 << 63) - 1), -(1 << 63)) if (x := number(i)) is not None else None, f"text {i}") for i in range(201)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = fingerprint.with_next(df).withColumn("block_rows", F.lit(1)).collect()
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    assert {r.text: (r.next_id, r.next_text) for r in found} == {a[1]: b for a, b in zip(order, [*order[1:], order[0]], strict=True)}
+    cuts = spark.createDataFrame([(x,) for x in "bdfhj"], "p string").select("p", fingerprint._block(F.col("p"), ["b", "d", "f", "g"]).alias("n"))
+    assert [r.n for r in cuts.orderBy("p").collect()] == [1, 2, 3, 4, 4]
+
+
+def pairs_of(text):
+    out = Counter()
+    for paragraph in (text or "").split("\n"):
+        w = [x for x in paragraph.split(" ") if x]
+        out.update(zip(w, [*w[1:], None], strict=True))
+    return out
+
+
+def test_likeness_is_that_of_the_word_pairs(spark):
+    rng = random.Random(31)
+    base = prose(rng, 400, 5000).split(" ")
+    rows = []
+    for k, share in enumerate((0.0, 0.05, 0.2, 0.5, 0.8, 1.0)):
+        rows.append((k, " ".join(base), " ".join(w if rng.random() >= share else f"new{rng.randint(0, 10**6)}" for w in base)))
+    df = spark.createDataFrame(rows, "k long, text string, changed string")
+    fp = fingerprint.fingerprints(df, ["k"], ("text", "changed")).select("k", fingerprint.likeness(F.col("fp_text"), F.col("fp_changed")).alias("near"))
+    got = {r.k: r.near for r in fp.collect()}
+    for k, a, b in rows:
+        x, y = pairs_of(a), pairs_of(b)
+        apart = sum((x[p] - y[p]) ** 2 for p in x | y)
+        exact = max(0.0, 1 - apart / (sum(n * n for n in x.values()) + sum(n * n for n in y.values())))
+        # 63 lanes: the estimate of |A - B|^2 has a deviation of about sqrt(2 / 63) of itself.
+        assert abs(got[k] - exact) <= 4 * (2 / 63) ** 0.5 * (1 - exact) + 1e-9, (k, got[k], exact)
+
+
 def test_fingerprint_is_homomorphic(spark):
     rows = [("a", "one two\nthree four"), ("b", "five six seven"), ("c", "five six seven\none two\nthree four")]
     fp = {r.k: r.fp_text for r in fingerprint.fingerprints(spark.createDataFrame(rows, "k string, text string"), ["k"]).collect()}
@@ -78,15 +117,15 @@ def test_fingerprint_is_homomorphic(spark):
 def test_fingerprints_of_very_long_texts(spark):
     rng = random.Random(1)
     # As expressions, so that no text of this size is sent along.
-    long_one = F.repeat(F.lit("In. "), 2_200_000)
+    long_one = F.repeat(F.lit("In. "), 5_000_000)
     prose_of = F.lit(prose(rng, 300) + "\n")
     texts = spark.range(4).select(F.col("id").alias("k"), F.when(F.col("id") == 0, long_one).when(F.col("id") == 1, prose_of).when(F.col("id") == 2, F.concat(long_one, F.lit("\n"), prose_of)).otherwise("In. In.").alias("text"))
     fp = common.materialise(fingerprint.fingerprints(texts, ["k"]).orderBy("k"))
     rows = [r.fp_text for r in fp.collect()]
-    assert [r.n_pairs for r in rows] == [2_200_000, 300, 2_200_300, 2] and all(x is not None for r in rows for x in r.sketch)
+    assert [r.n_pairs for r in rows] == [5_000_000, 300, 5_000_300, 2] and all(x is not None for r in rows for x in r.sketch)
     lanes = lambda r: [x >> low & fingerprint.LANE for x in r.sketch for low in (0, 21, 42)]
     # All pairs of the text but the last are equal: a lane counts all of them or none.
-    assert {min((x - y) % (1 << 21) for y in (0, 2_199_999)) for x in lanes(rows[0])} <= {0, 1}
+    assert {min((x - y) % (1 << 21) for y in (0, 4_999_999)) for x in lanes(rows[0])} <= {0, 1}
     assert [(x + y) % (1 << 21) for x, y in zip(lanes(rows[0]), lanes(rows[1]), strict=True)] == lanes(rows[2])
     pair = fp.select(F.col("k").alias("a"), F.col("fp_text").alias("x")).crossJoin(fp.select(F.col("k").alias("b"), F.col("fp_text").alias("y")))
     near = {(r.a, r.b): r.near for r in pair.select("a", "b", fingerprint.likeness(F.col("x"), F.col("y")).alias("near")).collect()}
