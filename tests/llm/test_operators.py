@@ -349,6 +349,29 @@ def test_mixing_small_sources_beside_a_huge_one(spark):
     assert (got.taken <= 3 * got["size"]).all()
 
 
+def test_mixing_of_very_many_sources(spark):
+    rows = [(i, f"host{i % 3000:04}", 1 + i % 7) for i in range(9000)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    targets = mixing.source_targets(sizes).toPandas().sort_values("sid")
+    assert targets.source.tolist() == sorted({r[1] for r in rows}) and targets.sid.tolist() == list(range(3000))
+    assert targets.low.tolist() == [0, *targets.high.tolist()[:-1]] and targets.high.iloc[-1] >= mixing.FULL - 10
+    assert targets.target.sum() == pytest.approx(sum(r[2] for r in rows)) and (targets.target <= 3 * targets.source_size + 1e-6).all()
+
+
+def test_mixed_documents_of_repeated_rows(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (1, "d e f", "x"), (None, "g h", None), (None, "g h", None), (2, "i", "y"), (2, "i", "x"), (3, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit(0)).withColumn("k", F.lit("k")).repartition(3)
+    shares = mixing.mix(mixing.materialise(mixing.sized(docs)))
+    given = shares.groupBy("doc_id", "row_hash").agg(F.sum("taken").alias("n")).filter("n > 0").collect()
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    by_key = mixed.groupBy("doc_id", "source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).toPandas()
+    assert by_key.n.sum() == sum(r.n for r in given)
+    taken = shares.groupBy("doc_id", "source").agg(F.sum("taken").alias("n")).filter("n > 0").toPandas()
+    key = lambda d: sorted((str(a), str(b), int(n)) for a, b, n in d.itertuples(index=False))
+    assert key(by_key) == key(taken)
+
+
 def test_license_scan(corpus, docs):
     got = license_scan.summarise(docs, license_scan.scan(docs)).toPandas().set_index("doc_id")
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
