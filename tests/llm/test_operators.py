@@ -605,6 +605,22 @@ def test_url_filter(spark):
     assert {r.page_id for r in url_filter.filter_captures(captures, entries, ["spam"]).collect()} == {2, 4, 5, 6, 7}
 
 
+@pytest.mark.parametrize("listed_rows", [500_000, 0])
+def test_url_filter_with_odd_hosts_and_columns(spark, listed_rows):
+    day = lambda s: pd.Timestamp(s).date()
+    urls = ["http://[2001:db8::1]/", "http://[::1]:80/x", "https://10.0.0.1:8/", "http://10.0.0.2", "http://x.com", "http://u:p@[::1]", "http://[::1", "http://x.com", "", None]
+    rows = [(i, u, day("2020-01-05"), "a", "b", "c", 1, "d") for i, u in enumerate(urls)]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched_on date, day string, h string, pattern string, n_active int, host string")
+    entries = spark.createDataFrame([("l", "spam", p, day("2020-01-01"), "add") for p in ("[::1]", "10.0.0.1", "0.2", "com", "2")], "list string, category string, pattern string, listed_on date, action string")
+    got = {r.page_id: (r.host, r.n_active) for r in url_filter.evaluate(captures, entries, listed_rows).collect()}
+    assert got == {0: ("[2001:db8::1]", 0), 1: ("[::1]", 1), 2: ("10.0.0.1", 1), 3: ("10.0.0.2", 0), 4: ("x.com", 1), 5: ("[::1]", 1), 6: (None, 0), 7: ("x.com", 1), 8: (None, 0), 9: (None, 0)}
+    kept = url_filter.filter_captures(captures, entries)
+    assert kept.columns == captures.columns and {r.page_id for r in kept.collect()} == {0, 3, 6, 8, 9}
+    assert {(r.day, r.h, r.pattern, r.n_active, r.host) for r in kept.collect()} == {("a", "b", "c", 1, "d")}
+    assert url_filter.evaluate(captures.limit(0), entries).count() == 0
+    assert {r.n_active for r in url_filter.evaluate(captures.unionByName(captures), entries.limit(0)).collect()} == {0}
+
+
 def test_empty_tables(spark, nothing):
     assert suffix_dedup.dedup(nothing).count() == 0
     assert line_dedup.dedup(nothing).count() == 0
