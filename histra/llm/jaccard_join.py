@@ -178,8 +178,8 @@ def blocked_pairs(lists: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (0, doc_id, size, two hashes, cells) for each text, and rows (1, cell, count) for the task's frequent cells."""
-    names = ["kind", "a", "b", "c", "d", "cells"]
+    """(doc_id, text, row_hash) in. A row (0, doc_id, size, two hashes, row_hash, cells) for each text, and rows (1, cell, count) for the task's frequent cells."""
+    names = ["kind", "a", "b", "c", "d", "row_hash", "cells"]
     counts, held, size, seen = np.zeros(1 << CELL_BITS, np.int64), [], 0, set()
     for batch in batches:
         for lo, hi, data, offsets in textnum.text_slices(batch.column(1)):
@@ -201,6 +201,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(np.array([len(x) for x in sets], np.int64)),
                     pa.array(hashes, pa.int64()),
                     pa.array(second, pa.int64()),
+                    batch.column(2).slice(lo, hi - lo),
                     pa.array([counted_cells(x) for x in sets], pa.binary()),
                 ],
                 names=names,
@@ -209,7 +210,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     often = np.flatnonzero(counts)
     if len(often):
         m = len(often)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(often), pa.array(counts[often]), *[pa.array(np.zeros(m, np.int64))] * 2, pa.nulls(m, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(often), pa.array(counts[often]), *[pa.array(np.zeros(m, np.int64))] * 3, pa.nulls(m, pa.binary())], names=names)
 
 
 def light_boundary(sizes: dict[int, int]) -> int:
@@ -341,10 +342,29 @@ def sizes_can_link(n: Column, m: Column) -> Column:
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id."""
+    return judged(docs).drop("row_hash")
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, row_hash (of the text), n_shingles, component_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = materialise(docs.mapInArrow(_profile, "kind int, a long, b long, c long, d long, cells binary"))
-    rows = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("h"), F.col("d").alias("h2"), "cells")
+    hashed = docs.withColumn("row_hash", F.xxhash64("text"))
+    seen = materialise(hashed.mapInArrow(_profile, "kind int, a long, b long, c long, d long, row_hash long, cells binary"))
+    rows = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("h"), F.col("d").alias("h2"), "row_hash", "cells")
+    # A row's number is its doc_id; of rows that repeat an id with other texts all but one get numbers of their own.
+    first = rows.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("row_hash").alias("first"), F.max("row_hash").alias("last"))
+    repeated = materialise(first.filter("first <> last").select(F.col("doc_id").alias("rep"), "first"))
+    unique = repeated.isEmpty()
+
+    def numbered(df: DataFrame) -> DataFrame:
+        if unique:
+            return df.withColumn("uid", F.col("doc_id"))
+        own = F.when(F.col("rep").isNull() | (F.col("row_hash") == F.col("first")), F.col("doc_id")).otherwise(F.xxhash64(F.lit(5), "doc_id", "row_hash"))
+        return df.join(repeated, F.col("doc_id") == F.col("rep"), "left").withColumn("uid", own).drop("rep", "first")
+
+    rows = numbered(rows)
+    docs = docs if unique else numbered(hashed).select(F.col("uid").alias("doc_id"), "text")
     # At most 2^CELL_BITS rows of two longs.
     frequent = seen.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).toArrow()
     levels = np.zeros(1 << CELL_BITS, np.uint8)
@@ -352,7 +372,7 @@ def components(docs: DataFrame) -> DataFrame:
     histogram = {r.n: r.sets for r in rows.filter(f"n between {PART} and {MOST_LIGHT}").groupBy("n").agg(F.count("*").alias("sets")).collect()}
     shared_levels = spark.sparkContext.broadcast(levels)
 
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy(*CLASS).agg(F.min("doc_id").alias("id"), F.max("cells").alias("cells"))
+    classes = rows.filter("n > 0 and doc_id is not null").groupBy(*CLASS).agg(F.min("uid").alias("id"), F.max("cells").alias("cells"))
     classes = materialise(classes)
     cells = classes.select("id", "cells")
     boundary = light_boundary(histogram)
@@ -364,7 +384,7 @@ def components(docs: DataFrame) -> DataFrame:
     by_key = Window.partitionBy("key")
     listed = listed.withColumn("low", F.min("doc").over(by_key)).withColumn("high", F.max("doc").over(by_key)).filter("low <> high").select("key", "doc", "n")
     # Members of lists by the id of their class.
-    names = rows.drop("cells").join(classes.drop("cells"), CLASS).select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "id").distinct()
+    names = rows.drop("cells", "row_hash").join(classes.drop("cells"), CLASS).select(F.col("uid").alias("doc"), F.col("n").cast("int").alias("n"), "id").distinct()
     lists = listed.join(names, ["doc", "n"]).select("key", "id", "n").distinct()
     several = Window.partitionBy("key")
     lists = lists.withColumn("low", F.min("id").over(several)).withColumn("high", F.max("id").over(several)).filter("low <> high").select("key", "id", "n")
@@ -402,13 +422,29 @@ def components(docs: DataFrame) -> DataFrame:
     labels = connected_components(links.union(more))
 
     found = classes.drop("cells").join(labels, classes.id == labels.node, "left").select(*CLASS, F.coalesce("component", "id").alias("component"))
-    return rows.drop("cells").join(found, CLASS, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.drop("cells", "uid").join(found, CLASS, "left")
+    if not unique:
+        smallest = out.filter("component is not null and doc_id is not null").groupBy(F.col("component").alias("c")).agg(F.min("doc_id").alias("smallest"))
+        out = out.join(smallest, F.col("component") == F.col("c"), "left").withColumn("component", F.col("smallest"))
+    return out.select("doc_id", "row_hash", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document of smallest id of each component; rows without id stay."""
-    copies = components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """The row of smallest doc_id (and, of equal ids, of the smaller hash of the text) of each component, and of equal rows one.
+    Rows without id and rows without words stay."""
+    found = materialise(judged(docs).filter("n_shingles > 0 and doc_id is not null"))
+    row = F.struct("doc_id", "row_hash")
+    kept = found.groupBy("component_id").agg(F.min(row).alias("kept"))
+    gone = found.join(kept, "component_id").filter(row != F.col("kept")).select(F.col("doc_id").alias("_jj_id"), F.col("row_hash").alias("_jj_gone")).distinct()
+    mine = docs.withColumn("_jj_hash", F.xxhash64("text"))
+    rest = mine.join(gone, (F.col("doc_id") == F.col("_jj_id")) & (F.col("_jj_hash") == F.col("_jj_gone")), "left_anti")
+    repeated = materialise(found.groupBy(F.col("doc_id").alias("_jj_id"), F.col("row_hash").alias("_jj_gone")).agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    if not repeated.isEmpty():
+        same = (F.col("doc_id") == F.col("_jj_id")) & (F.col("_jj_hash") == F.col("_jj_gone"))
+        several = rest.join(repeated, same, "left_semi")
+        one = several.withColumn("_jj_n", F.row_number().over(Window.partitionBy("doc_id", "_jj_hash").orderBy(F.lit(1)))).filter("_jj_n = 1").drop("_jj_n")
+        rest = rest.join(repeated, same, "left_anti").unionByName(one)
+    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ r"""Toxicity by a lexicon, found with its misspellings, and by the words around
 Learning (from labelled rows outside the held-out fold only, at most TRAIN_ROWS of them, taken in hash order):
 
 1. Words of toxic and other texts are counted by text, equal texts once. Words that stand mainly in toxic texts are the
-   lexicon, LEXICON_WORDS at most.
+   lexicon. It has no cap of its own: the sample bounds it, as each word has to stand in LEAST_SHARE of its toxic texts.
 2. The lexicon becomes a trie. Its intersection with Levenshtein automata (one edit; words of five letters or more) is
    made deterministic while it is used: a state is the set of (trie node, edits so far), and a word runs through it letter
    by letter until it is accepted or no term can follow any more.
@@ -37,7 +37,6 @@ from .common import materialise, no_text_as_empty, table
 
 FOLDS = 5
 TRAIN_ROWS = 20_000
-LEXICON_WORDS = 256
 #: A lexicon word stands in this many toxic texts at least, and in this share of them.
 LEAST_TEXTS, LEAST_SHARE = 6, 0.005
 #: And its odds in toxic texts are so many times those in others.
@@ -211,7 +210,7 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
     counts = sample.select("toxic", F.explode(words).alias("word")).filter(F.length("word").between(3, 40)).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     odds = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1))
     least = max(LEAST_TEXTS, math.ceil(LEAST_SHARE * bad))
-    chosen = counts.filter((F.col("bad") >= least) & (odds >= LEAST_ODDS)).orderBy((F.log(odds) * F.col("bad")).desc(), "word").limit(LEXICON_WORDS)
+    chosen = counts.filter((F.col("bad") >= least) & (odds >= LEAST_ODDS)).orderBy((F.log(odds) * F.col("bad")).desc(), "word")
     return [r.word for r in chosen.collect()]
 
 
@@ -286,7 +285,9 @@ def _clean(model: Model, at: int):
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows whose text scores 0.5 or more."""
+    """docs without the rows whose text scores 0.5 or more. A model that has learnt no term rejects nothing."""
+    if not model.terms:
+        return docs
     return docs.mapInArrow(_clean(model, docs.columns.index("text")), docs.schema)
 
 

@@ -294,6 +294,16 @@ def test_jaccard_join(corpus, docs, monkeypatch, long_list):
     assert got.component_id.sort_index().tolist() == label
 
 
+def test_one_of_each_keeps_rows_apart(spark):
+    rng = random.Random(23)
+    a, b, c = prose(rng, 60, 9000), prose(rng, 60, 9000), prose(rng, 60, 9000)
+    rows = [(5, a), (5, b), (2, a + " tail"), (5, a), (7, c), (7, c), (None, a), (None, a), (8, None), (8, ""), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_hash", F.lit("mine")).repartition(3)
+    got = jaccard_join.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted([("5", b), ("2", a + " tail"), ("7", c), ("None", a), ("None", a), ("8", ""), ("8", ""), ("9", "")])
+
+
 def test_jaccard_bound_never_below_truth():
     rng = np.random.default_rng(1)
     for _ in range(300):
@@ -584,6 +594,77 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(docs, blank, ["doc_id"]).collect()} == {0.5}
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def plain_features(text, terms):
+    """Features by their definition: every word against every term, without trie, automaton or table."""
+    strip = lambda w: re.sub(r"^[\W_]+|[\W_]+$", "", w)
+    w = text.lower().split()
+    counts, exact = {}, 0
+
+    def kind(word):
+        if word in terms:
+            return 2
+        return int(len(word) >= 4 and any(len(t) >= 5 and edits(word, t) <= 1 for t in terms))
+
+    for i, raw in enumerate(w):
+        found = kind(strip(raw))
+        if found < 2 and not strip(raw).isalpha():
+            found = max(found, min(1, kind(strip(raw.translate(str.maketrans("0134578@$!", "oieastbasi"))))))
+        if not found:
+            continue
+        before, after = w[max(0, i - 6) : i], w[i + 1 : i + 7]
+        around = {strip(x) for x in before + after}
+        marks = "\"“”«»„‘’"
+        quoted = any(c in marks for x in [*before, raw] for c in x) and any(c in marks for x in [raw, *after] for c in x)
+        where = "quoted" if quoted or around & toxicity.REPORT else "aimed" if around & toxicity.ADDRESS else "plain"
+        counts[where, found] = counts.get((where, found), 0) + 1
+        exact += found == 2
+    logs = [np.log1p(counts.get((c, f), 0)) for f in (2, 1) for c in ("plain", "quoted", "aimed")]
+    return [*logs, float(exact > 0), np.log1p(1000 * exact / len(w)) if exact else 0.0]
+
+
+def test_toxicity_against_a_plain_version(spark):
+    rng = random.Random(18)
+    terms = ["moron", "idiot", "scum", "trash", "vermin"]
+    bits = [*terms, "mor0n", "idi0t!", "idiots", "moronn", "scums", "tr4sh", "you", "said", '"moron"', "“idiot”", "the", "a", "house", "ver-min", "vermin.", "VERMIN", "$cum", "", "tras", "tra"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(400)] + ["", "   ", "moron", '"', "x" * 5000 + " moron"]
+    reader = toxicity.Reader(terms)
+    for t in texts:
+        assert reader.features(t) == pytest.approx(plain_features(t, terms)), t
+    model = toxicity.Model(tuple(terms), (0.5, -1.0, 2.0, 0.25, -0.5, 1.5, 0.75, 0.1, -2.0))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9000, None), (9000, None)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in toxicity.score(df, model, ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        z = float(np.dot(plain_features(t, terms), model.weights[:-1])) + model.weights[-1]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)))
+    assert toxicity.score(df, model, ["doc_id"]).filter("doc_id = 9000").count() == 2
+    # The regression itself, against a plain search: its weights leave no better place nearby.
+    x, y = np.array([plain_features(t, terms) for t in texts]), np.array([rng.random() < 0.3 for _ in texts], float)
+    w = toxicity.fit(x, y)
+
+    def loss(v):
+        p = 1 / (1 + np.exp(-(x @ v[:-1] + v[-1])))
+        return -np.sum(y * np.log(p) + (1 - y) * np.log(1 - p)) + 0.5 * np.sum(v[:-1] ** 2) + np.log1p(np.exp(-v[-1])) + np.log1p(np.exp(v[-1]))
+
+    assert all(loss(w) <= loss(w + 1e-3 * rng2) + 1e-9 for rng2 in np.random.default_rng(1).normal(size=(200, len(w))))
+
+
+def test_toxicity_without_documents_or_labels(spark, nothing):
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(nothing, labels)
+    assert toxicity.score(nothing, model, ["doc_id"]).count() == 0 and toxicity.reject(nothing, model).count() == 0
+    docs = spark.createDataFrame([(1, "a moron"), (1, "a moron"), (2, None), (None, "x")], "doc_id long, text string")
+    assert toxicity.reject(docs, toxicity.train(docs, labels.limit(0))).count() == 4
+
+
 def test_quotation_is_set_apart():
     reader = toxicity.Reader(["moron"])
     plain, quoted = reader.features("you are such a moron today"), reader.features('the witness said "moron" in court')
