@@ -2,6 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the docs of the
 next. All but the last return the columns of documents; n_chars follows the text.
+
+Defined results, for every stage: a null text counts as empty and passes until mixing, which takes no document without words;
+rows without doc_id pass toxicity (judged by their text), keep their lines or lose them like any other, link with nothing, and
+are mixed and packed; rows that repeat a doc_id are judged each by its own text, and of rows equal in id and text one is left
+by near_duplicates; columns beside those of documents pass through unchanged, whatever their names, up to packing, which
+reads doc_id and text alone; an empty table gives empty tables, and without labels nothing is rejected as toxic.
+
+The folders of the stages stand in the session's checkpoint folder; those of earlier stages are removed as soon as the next
+stage is written.
 """
 
 from __future__ import annotations
@@ -55,12 +64,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            _remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
