@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from histra.plans import decision_support, dialect, history_queries, predicate_queries, run_queries, transactional, wide_table
+from histra.plans import capture_queries, condition_queries, decision_support, dialect, history_queries, run_queries, transactional, wide_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,8 +31,9 @@ def queries() -> dict[str, Query]:
         found[f"w{n + 10}_max_{k}"] = _wide(wide_table.max_fields, k)
         found[f"w{n + 20}_sum_{k}"] = _wide(wide_table.sum_record, k)
     found.update(history_queries.QUERIES)
-    found.update(predicate_queries.QUERIES)
+    found.update(condition_queries.QUERIES)
     found.update(run_queries.QUERIES)
+    found.update(capture_queries.QUERIES)
     found.update({name: _sql(text) for name, text in transactional.QUERIES.items()})
     found.update({name: partial(_template, name) for name in transactional.TEMPLATES})
     return found
@@ -45,8 +46,9 @@ def oracle_sql() -> dict[str, str]:
         found[f"w{n + 10}_max_{k}"] = wide_table.oracle("max", k)
         found[f"w{n + 20}_sum_{k}"] = wide_table.oracle("sum", k)
     found.update(history_queries.ORACLES)
-    found.update(predicate_queries.ORACLES)
+    found.update(condition_queries.ORACLES)
     found.update(run_queries.ORACLES)
+    found.update(capture_queries.ORACLES)
     found.update(transactional.QUERIES)
     found.update(transactional.TEMPLATE_ORACLES)
     return found

@@ -6,9 +6,10 @@ its output object as canonical JSON, and the versions that it comes from. An err
 unlike kinds, a remainder by zero, a condition that is no boolean) makes the whole result of its snapshot invalid; these
 snapshots are returned apart.
 
-Every expression is a tagged value: its kind and a column for each kind. There is no coercion; NULL equals NULL. An equality
-between the two sides of a join, when it comes first, is planned as an equi-join on the tagged values, so Catalyst can hash
-or sort; anything else is a filter over the joined rows.
+Every expression is a tagged value: its kind and a column for each kind. There is no coercion; NULL equals NULL. Conditions of a
+join that concern one side only, as far as they come first, filter that side before the join; an equality between the two sides
+that follows them is planned as an equi-join on the tagged values, so Catalyst can hash or sort; the rest is a filter over the
+joined rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .predicate_language import Binary, Field, Literal, Query, fields_of
+from .condition_language import Binary, Field, Literal, Query, fields_of
 
 
 
@@ -146,15 +147,30 @@ def evaluate(query: Query, state: DataFrame, by: list[str] | None = None) -> Eva
     rows, aliases = scan(query.relation, query.alias), [query.alias]
     for join in query.joins:
         other, parts = scan(join.relation, join.alias), _conjuncts(join.on)
+
+        def meets(bad: DataFrame, some: DataFrame) -> DataFrame:
+            """Errors of one side's rows, which count if the other side has a row at all."""
+            if by:
+                return bad.select(*by).join(some.select(*by).distinct(), by, "left_semi")
+            return bad.select(F.lit(1).alias("_e")).limit(1).join(some.select(F.lit(1).alias("_e")).limit(1), "_e", "left_semi").select()
+
+        names = lambda t, aliases=aliases: {f.path[0] if f.path[0] in [*aliases, join.alias] else aliases[0] for f in fields_of(t)}  # noqa: E731, B023
+        while parts and names(parts[0]) and (names(parts[0]) <= set(aliases) or names(parts[0]) == {join.alias}):
+            mine = names(parts[0]) <= set(aliases)
+            x = compile_expression(parts[0], aliases if mine else [join.alias])
+            side, facing = (rows, other) if mine else (other, rows)
+            errors.append(meets(side.filter(x.kind != "bool"), facing))
+            side = side.filter((x.kind == "bool") & x.truth)
+            rows, other = (side, other) if mine else (rows, side)
+            parts = parts[1:]
         first = parts[0] if parts else None
-        sides = [{f.path[0] for f in fields_of(t)} for t in (first.left, first.right)] if isinstance(first, Binary) and first.op == "=" else []
+        sides = [names(t) for t in (first.left, first.right)] if isinstance(first, Binary) and first.op == "=" else []
         hashable = len(sides) == 2 and {join.alias} in sides and all(sides) and any(s <= set(aliases) for s in sides)
         if hashable:
             mine, theirs = (first.left, first.right) if sides[1] == {join.alias} else (first.right, first.left)
             a, b = compile_expression(mine, aliases), compile_expression(theirs, [join.alias])
-            # An operand's error is a matter of its row alone; it counts if the other side has a row at all.
             for bad, some in ((rows.filter(a.kind == "error"), other), (other.filter(b.kind == "error"), rows)):
-                errors.append(bad.select(*by).join(some.select(*by).distinct(), by, "left_semi") if by else bad.select(F.lit(1).alias("_e")).limit(1).join(some.select(F.lit(1).alias("_e")).limit(1), "_e", "left_semi").select())
+                errors.append(meets(bad, some))
             rows = rows.withColumn("_j", a.canonical()).join(other.withColumn("_j", b.canonical()), [*by, "_j"]).drop("_j")
             parts = parts[1:]
         else:
@@ -191,3 +207,43 @@ def difference(a: Evaluation, b: Evaluation, by: list[str] | None = None) -> Dat
     left, right = bag(a, by).withColumnRenamed("n", "n_a"), bag(b, by).withColumnRenamed("n", "n_b")
     both = left.join(right, key, "full").select(*key, F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
     return both.filter("n_a <> n_b")
+
+
+def lineage_difference(a: Evaluation, b: Evaluation, by: list[str] | None = None) -> DataFrame:
+    """Versions (key, value) that one of two results comes from and the other does not, with that side: a or b."""
+    left, right = inputs(a, by), inputs(b, by)
+    return left.exceptAll(right).withColumn("side", F.lit("a")).unionByName(right.exceptAll(left).withColumn("side", F.lit("b")))
+
+
+def mismatches(query: Query, state: DataFrame, values: DataFrame, read: DataFrame) -> DataFrame:
+    """What keeps a recorded result (values: out; read: key, value) from being that of the query over the state: what (value, input
+    or error), item, and on which side it stands alone. Empty if they match."""
+    now = evaluate(query, state)
+    out, mine = now.rows.select("out"), inputs(now)
+    item = lambda df, what, side: df.select(F.lit(what).alias("what"), (F.col("out") if what == "value" else F.concat_ws("=", "key", "value")).alias("item"), F.lit(side).alias("side"))
+    rows = item(out.exceptAll(values.select("out")), "value", "evaluated").unionByName(item(values.select("out").exceptAll(out), "value", "recorded"))
+    rows = rows.unionByName(item(mine.exceptAll(read.select("key", "value")), "input", "evaluated")).unionByName(item(read.select("key", "value").exceptAll(mine), "input", "recorded"))
+    return rows.unionByName(now.errors.select(F.lit("error").alias("what"), F.lit(None).cast("string").alias("item"), F.lit("evaluated").alias("side")))
+
+
+def rows_in_result(query: Query, versions: DataFrame, by: list[str]) -> DataFrame:
+    """versions: by..., key, value, each a state of its own. Whether the query's result over that one row comes from it: by...,
+    in_result. Errors give false, joins of different relations too; a self-join may find the row twice."""
+    found = evaluate(query, versions.select(*by, "key", "value"), by)
+    hit = found.rows.filter(F.size("lineage") > 0).select(*by).distinct().join(found.errors, by, "left_anti").withColumn("in_result", F.lit(True))
+    return versions.select(*by).distinct().join(hit, by, "left").withColumn("in_result", F.coalesce("in_result", F.lit(False)))
+
+
+def transition_delta(query: Query, before: DataFrame, after: DataFrame) -> DataFrame:
+    """before, after: key, value, one version of each key. Keys whose change can change the result: the row comes in or goes out,
+    or is in both times with another value."""
+    in_before = rows_in_result(query, before, ["key"]).withColumnRenamed("in_result", "was_in")
+    in_after = rows_in_result(query, after, ["key"]).withColumnRenamed("in_result", "is_in")
+    rows = before.select("key", F.col("value").alias("old")).join(after.select("key", F.col("value").alias("new")), "key").join(in_before, "key").join(in_after, "key")
+    same = F.to_json(F.parse_json("old")) == F.to_json(F.parse_json("new"))
+    return rows.filter((F.col("was_in") != F.col("is_in")) | (F.col("was_in") & ~same)).select("key", "was_in", "is_in")
+
+
+def uncovered(query: Query, state: DataFrame, keys: DataFrame) -> DataFrame:
+    """Keys (column key) that the query can't read: their relation is not among its own."""
+    return keys.filter(~relation_of(F.col("key")).isin(*sorted(query.relations()))).select("key")

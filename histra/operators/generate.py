@@ -68,3 +68,38 @@ def key_value_workload(spark: SparkSession, txns: int, keys: int = 10, sessions:
         "session", "txn", "op_index", "type", F.when(F.col("type") != "pr", F.col("key")).alias("key"), F.when(F.col("type") == "w", n).alias("value"),
         F.when(F.col("type") == "pr", F.replace(kind, F.lit("{}"), uniform(n, 0, 3, seed + 4).cast("string"))).alias("predicate"),
     )
+
+
+#: Words of generated decision-support rows.
+FLAGS, SEGMENTS, PRIORITIES = ("A", "N", "R"), ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"), ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def _one_of(i: Column, values: tuple[str, ...], seed: int) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), uniform(i, 0, len(values) - 1, seed).cast("int"))
+
+
+def customers(spark: SparkSession, n: int) -> DataFrame:
+    i = F.col("id") + 1
+    return spark.range(n).select(
+        i.alias("c_custkey"), F.format_string("Customer#%09d", i).alias("c_name"), uniform(i, 0, 24, 101).cast("int").alias("c_nationkey"), F.round(uniform(i, -99_999, 999_999, 102) / 100, 2).alias("c_acctbal"), _one_of(i, SEGMENTS, 103).alias("c_mktsegment")
+    )
+
+
+def orders(spark: SparkSession, n: int, n_customers: int) -> DataFrame:
+    """Two of three customers have orders, as in the published benchmark's rule."""
+    i = F.col("id") + 1
+    third = uniform(i, 0, max(0, n_customers * 2 // 3 - 1), 111)
+    day = uniform(i, 0, 2405, 112)
+    return spark.range(n).select(i.alias("o_orderkey"), (third + F.floor(third / 2) + 1).alias("o_custkey"), F.date_add(F.lit("1992-01-01").cast("date"), day.cast("int")).alias("o_orderdate"), _one_of(i, PRIORITIES, 113).alias("o_orderpriority"))
+
+
+def lineitems(spark: SparkSession, n_orders: int, n_parts: int, n_suppliers: int) -> DataFrame:
+    """One to seven lines for each order; ship dates 1 to 121 days after the order's."""
+    rows = orders(spark, n_orders, n_orders).select("o_orderkey", "o_orderdate", F.explode(F.sequence(F.lit(1), uniform(F.col("o_orderkey"), 1, 7, 121).cast("int"))).alias("l_linenumber"))
+    i = F.col("o_orderkey") * 8 + F.col("l_linenumber")
+    quantity, part = uniform(i, 1, 50, 122), uniform(i, 1, n_parts, 123)
+    price = (90_000 + F.floor(part / 10) % 20_001 + 100 * (part % 1000)) / 100
+    return rows.select(
+        F.col("o_orderkey").alias("l_orderkey"), part.alias("l_partkey"), uniform(i, 1, n_suppliers, 124).alias("l_suppkey"), "l_linenumber", quantity.cast("double").alias("l_quantity"), F.round(quantity * price, 2).alias("l_extendedprice"),
+        (uniform(i, 0, 10, 125) / 100).alias("l_discount"), (uniform(i, 0, 8, 126) / 100).alias("l_tax"), _one_of(i, FLAGS, 127).alias("l_returnflag"), F.date_add("o_orderdate", uniform(i, 1, 121, 128).cast("int")).alias("l_shipdate"),
+    )

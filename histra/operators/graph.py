@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .history import BOTTOM, History
+from .history import BOTTOM, History, floor_mod
 from .validate import with_source
 
 
+def kept(h: History) -> History:
+    """h with its derived tables written once, for work that reads them many times."""
+    return History(checkpointed(h.txns), checkpointed(h.ops), checkpointed(h.pred_reads), checkpointed(h.pred_inputs), h.initial)
+
+
 def _edge(src: str, dst: str, kind: str, key: str | None = "key") -> list[Column]:
     return ["history_id", F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("type"), (F.col(key) if key else F.lit(None).cast("string")).alias("key")]
 
@@ -102,36 +109,71 @@ def unite(*graphs: DataFrame) -> DataFrame:
     return rows.distinct()
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop by a checkpoint in the session's shared folder; a session on one machine gets its own."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared folder; a session on one machine gets its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set; a cluster needs a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="histra-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a loop by a checkpoint."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def reachability(edges: DataFrame) -> DataFrame:
     """Transitive closure (history_id, src, dst) by squaring: path lengths double each round, so the rounds are few."""
-    paths = _kept(unite(edges))
+    paths = checkpointed(unite(edges))
+    n = paths.count()
     while True:
-        n = paths.count()
-        paths = _kept(unite(paths, compose(paths, paths)))
-        if paths.count() == n:
+        longer = paths.withColumnRenamed("dst", "mid").join(paths.withColumnRenamed("src", "mid"), ["history_id", "mid"]).select("history_id", "src", "dst")
+        paths = checkpointed(paths.unionByName(longer).distinct())
+        before, n = n, paths.count()
+        if n == before:
             return paths
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """The same closure, history by history with bit sets in one task each: for histories that are decided so anyway, as it does
+    not join all paths with all paths."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names, flat = np.unique(rows[["src", "dst"]].to_numpy(), return_inverse=True)
+        ends = flat.reshape(-1, 2)
+        reach = [0] * len(names)
+        for a, b in ends.tolist():
+            reach[a] |= 1 << b
+        for k in range(len(names)):
+            through = reach[k]
+            if through:
+                for i in range(len(names)):
+                    if reach[i] >> k & 1:
+                        reach[i] |= through
+                        if i == k:
+                            through = reach[k]
+        width = -(-len(names) // 8)
+        bits = np.unpackbits(np.frombuffer(b"".join(r.to_bytes(width, "little") for r in reach), np.uint8).reshape(len(names), -1), axis=1, bitorder="little")
+        src, dst = np.nonzero(bits[:, : len(names)])
+        return pd.DataFrame({"history_id": rows["history_id"].iloc[0], "src": names[src], "dst": names[dst]})
+
+    return unite(edges).groupBy("history_id").applyInPandas(run, "history_id long, src long, dst long")
+
+
 def cyclic_histories(edges: DataFrame) -> DataFrame:
     """Histories with a cycle, and how many transactions remain when sources and sinks are peeled off again and again."""
-    rest = _kept(unite(edges))
+    rest = checkpointed(unite(edges))
+    n = rest.count()
     while True:
-        n = rest.count()
         fed = rest.select("history_id", F.col("dst").alias("src")).distinct()
         feeds = rest.select("history_id", F.col("src").alias("dst")).distinct()
-        rest = _kept(rest.join(fed, ["history_id", "src"], "left_semi").join(feeds, ["history_id", "dst"], "left_semi").select("history_id", "src", "dst"))
-        if rest.count() == n:
+        rest = checkpointed(rest.join(fed, ["history_id", "src"], "left_semi").join(feeds, ["history_id", "dst"], "left_semi").select("history_id", "src", "dst"))
+        before, n = n, rest.count()
+        if n == before:
             return rest.groupBy("history_id").agg(F.countDistinct("src").alias("on_cycles"))
 
 
@@ -140,3 +182,111 @@ def reduced(edges: DataFrame, txns: DataFrame) -> DataFrame:
     place = txns.select("history_id", F.col("txn").alias("dst"), "session", "so_pos")
     order = Window.partitionBy("history_id", "src", "session").orderBy("so_pos")
     return unite(edges).join(place, ["history_id", "dst"]).withColumn("r", F.row_number().over(order)).filter("r = 1").select("history_id", "src", "dst")
+
+
+def precedence(h: History) -> DataFrame:
+    """Closure of what is known without anti-dependencies: session order, the bottom first, and what reads came from."""
+    return closure(unite(session_order(h), bottom_order(h), write_read(h), predicate_write_read(h)))
+
+
+def confirmed_write_orders(h: History, before: DataFrame) -> DataFrame:
+    """history_id, key, txn, position: the writers of keys whose order is total in `before` (history_id, src, dst), the bottom
+    first. Keys with any two unordered writers, or two that precede one another, are left out."""
+    w = h.versions().select("history_id", "key", "txn").distinct()
+    pairs = before.join(w.withColumnRenamed("txn", "src"), ["history_id", "src"]).join(w.withColumnRenamed("txn", "dst"), ["history_id", "key", "dst"]).filter("src <> dst")
+    ahead = pairs.groupBy("history_id", "key", F.col("dst").alias("txn")).agg(F.count("*").alias("n"))
+    placed = w.join(ahead, ["history_id", "key", "txn"], "left").withColumn("position", F.coalesce("n", F.lit(0)))
+    # A total order without cycles has one writer at each position 0 to m - 1.
+    keys = placed.groupBy("history_id", "key").agg(F.count("*").alias("m"), F.countDistinct("position").alias("d"), F.max("position").alias("top")).filter("d = m and top = m - 1")
+    return placed.join(keys.select("history_id", "key"), ["history_id", "key"], "left_semi").select("history_id", "key", "txn", "position")
+
+
+def _external(h: History) -> DataFrame:
+    return predicate_classes(h).filter("kind = 'EXTERNAL'").join(h.pred_reads, ["history_id", "txn", "op_index"]).drop("kind")
+
+
+def derived_condition_edges(h: History, before: DataFrame | None = None) -> DataFrame:
+    """Edges of condition reads over keys with a confirmed write order: PR_WR from the writer whose version the reader sees (the
+    recorded source, or else the last writer that precedes the reader, if every writer of the key stands on one side of it), and
+    PR_RW from the reader to each later writer whose version would change the result."""
+    before = before if before is not None else checkpointed(precedence(h))
+    orders = checkpointed(confirmed_write_orders(h, before).join(final_writes(h), ["history_id", "key", "txn"]).withColumnRenamed("txn", "w"))
+    reads = _external(h)
+    source = with_source(h, h.pred_inputs).filter("n_sources = 1").select("history_id", "txn", "op_index", "key", F.col("src_txn").alias("source"))
+    lines = reads.join(source, ["history_id", "txn", "op_index", "key"], "left").join(orders, ["history_id", "key"])
+    first, last = before.select("history_id", F.col("src").alias("w"), F.col("dst").alias("txn"), F.lit(True).alias("earlier")), before.select("history_id", F.col("dst").alias("w"), F.col("src").alias("txn"), F.lit(True).alias("later"))
+    lines = lines.filter("w <> txn").join(first, ["history_id", "w", "txn"], "left").join(last, ["history_id", "w", "txn"], "left")
+    op = ["history_id", "txn", "op_index", "key"]
+    seen = lines.groupBy(*op).agg(
+        F.max(F.when(F.col("w") == F.col("source"), F.col("position"))).alias("recorded"),
+        F.max(F.when(F.col("earlier"), F.col("position"))).alias("latest"),
+        F.bool_and(F.col("earlier").isNotNull() | F.col("later").isNotNull()).alias("settled"),
+    )
+    frontier = seen.withColumn("at", F.coalesce("recorded", F.when(F.col("settled"), F.col("latest")))).filter("at is not null").select(*op, "at")
+    placed = lines.join(frontier, op)
+    inside = floor_mod(F.col("value"), F.col("modulus")) == F.col("residue")
+    now = placed.filter("position = at").select(*op, F.col("w").alias("f"), F.col("value").alias("v"), inside.alias("in_f"))
+    wr = now.select("history_id", F.col("f").alias("src"), F.col("txn").alias("dst"), F.lit("PR_WR").alias("type"), "key")
+    after = placed.filter("position > at").withColumn("in_u", inside).join(now, op)
+    delta = (F.col("in_u") != F.col("in_f")) | (F.col("in_u") & (F.col("value") != F.col("v")))
+    rw = after.filter(delta).select("history_id", F.col("txn").alias("src"), F.col("w").alias("dst"), F.lit("PR_RW").alias("type"), "key")
+    return wr.unionByName(rw).distinct()
+
+
+def condition_candidates(h: History, before: DataFrame | None = None) -> DataFrame:
+    """For keys without a confirmed order that can bear on a condition read's result (an input, or some version satisfies the
+    condition): edges both ways between the reader and each other writer."""
+    before = before if before is not None else checkpointed(precedence(h))
+    versions = h.versions()
+    keys = versions.select("history_id", "key").distinct().join(confirmed_write_orders(h, before).select("history_id", "key").distinct(), ["history_id", "key"], "left_anti")
+    reads = _external(h).join(keys, ["history_id", "key"])
+    lines = reads.join(versions.select("history_id", "key", F.col("txn").alias("w"), "value"), ["history_id", "key"])
+    op = ["history_id", "txn", "op_index", "key"]
+    satisfying = lines.filter(floor_mod(F.col("value"), F.col("modulus")) == F.col("residue")).select(*op).distinct()
+    bears = satisfying.unionByName(h.pred_inputs.select(*op)).distinct()
+    pairs = lines.join(bears, op, "left_semi").filter("w <> txn").select("history_id", "txn", "w", "key").distinct()
+    wr = pairs.select("history_id", F.col("w").alias("src"), F.col("txn").alias("dst"), F.lit("PR_WR").alias("type"), "key")
+    return wr.unionByName(pairs.select("history_id", F.col("txn").alias("src"), F.col("w").alias("dst"), F.lit("PR_RW").alias("type"), "key"))
+
+
+def closed_choices(h: History, before: DataFrame) -> DataFrame:
+    """One round of pruning: pairs of writers of a common key, and which sides would close a cycle with `before`. A pair with
+    both sides closed has no order at all; with one, the other is forced."""
+    pairs = write_choices(h).select("history_id", "a", "c").distinct()
+    against = before.select("history_id", F.col("src").alias("c"), F.col("dst").alias("a"), F.lit(True).alias("no_ac"))
+    along = before.select("history_id", F.col("src").alias("a"), F.col("dst").alias("c"), F.lit(True).alias("no_ca"))
+    found = pairs.join(against, ["history_id", "a", "c"], "left").join(along, ["history_id", "a", "c"], "left")
+    closed = F.coalesce("no_ac", F.lit(False)), F.coalesce("no_ca", F.lit(False))
+    state = F.when(closed[0] & closed[1], "impossible").when(closed[1], "a first").when(closed[0], "c first").otherwise("open")
+    return found.groupBy("history_id", state.alias("state")).agg(F.count("*").alias("pairs"))
+
+
+def induced_edges(h: History) -> DataFrame:
+    """What snapshot isolation asks to be without cycles: the known edges that are no anti-dependencies, and these followed by one."""
+    known = checkpointed(known_edges(h).select("history_id", "src", "dst", "type"))
+    d, a = known.filter("type <> 'RW'"), known.filter("type = 'RW'")
+    return unite(d, compose(d, a))
+
+
+def serial_form(h: History) -> tuple[DataFrame, DataFrame]:
+    """A history that is serializable if and only if h is snapshot isolated: each transaction becomes a reading one (2 t) and a
+    writing one (2 t + 1) after it, and two writers of a key get keys of their own that keep one's reading and writing together
+    as seen by the other. Returns txns (history_id, session, so_pos, txn) and ops (history_id, txn, type, key, value)."""
+    halves = F.explode(F.array(F.lit(0), F.lit(1))).alias("half")
+    txns = h.txns.select("history_id", "session", "so_pos", "txn", halves).select("history_id", "session", (F.col("so_pos") * 2 + F.col("half")).alias("so_pos"), (F.col("txn") * 2 + F.col("half")).alias("txn"))
+    own = h.writes().select("history_id", "txn", "key", "value", F.col("op_index").alias("written"))
+    reads = h.reads().join(own, ["history_id", "txn", "key", "value"], "left").filter("written is null or written > op_index")
+    reads = reads.select("history_id", (F.col("txn") * 2).alias("txn"), F.lit("r").alias("type"), "key", F.col("value").cast("string").alias("value"))
+    writes = h.writes().select("history_id", (F.col("txn") * 2 + 1).alias("txn"), F.lit("w").alias("type"), "key", F.col("value").cast("string").alias("value"))
+    w = h.writes().select("history_id", "key", "txn").distinct()
+    pairs = w.withColumnRenamed("txn", "a").join(w.withColumnRenamed("txn", "b"), ["history_id", "key"]).filter("a <> b").select("history_id", "a", "b").distinct()
+    mine, theirs = F.format_string("conflict:%d:%d", "a", "b"), F.format_string("conflict:%d:%d", "b", "a")
+    op = lambda txn, kind, key, value: F.struct(txn.alias("txn"), F.lit(kind).alias("type"), key.alias("key"), F.lit(value).alias("value"))
+    three = F.array(op(F.col("a") * 2, "w", mine, "1"), op(F.col("a") * 2 + 1, "r", mine, "1"), op(F.col("a") * 2 + 1, "w", theirs, "2"))
+    extra = pairs.select("history_id", F.explode(three).alias("o")).select("history_id", "o.txn", "o.type", "o.key", "o.value")
+    return txns, reads.unionByName(writes).unionByName(extra)
+
+
+def unchanged(h: History) -> History:
+    """The transform that changes nothing."""
+    return h

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BOTTOM = -1
-N_HISTORIES, N_KEYS, MODULUS = 30, 20, 4
+#: Users of a history, so that histories grow in number with the table and not in size.
+N_USERS, N_KEYS, MODULUS = 5, 20, 4
 
 
 @dataclass(frozen=True)
@@ -47,20 +48,22 @@ def floor_mod(a: Column, n: Column) -> Column:
     return ((a % n) + n) % n
 
 
-def from_events(events: DataFrame, histories: int = N_HISTORIES, keys: int = N_KEYS, modulus: int = MODULUS) -> History:
-    """One session for each user, one transaction for each user and day, one operation for each event: purchase and signup
-    write, view and click read the version that was latest then, error reads all latest versions that satisfy a predicate."""
+def from_events(events: DataFrame, users: int = N_USERS, keys: int = N_KEYS, modulus: int = MODULUS) -> History:
+    """One session for each user, one operation for each event: purchase and signup write, view and click read the version that
+    was latest then, error reads all latest versions that satisfy a predicate. A transaction is an event, a day or an hour of a
+    user, in turn by history: the first are serial by construction, the second mostly are not, the third may be either."""
+    history, stamp = F.floor(F.col("user_id") / users), F.col("ts").cast("string")
     e = events.select(
-        (F.col("user_id") % histories).alias("history_id"),
+        history.alias("history_id"),
         F.col("user_id").alias("session"),
-        F.to_date("ts").alias("day"),
+        F.when(history % 3 == 0, stamp).when(history % 3 == 1, F.substring(stamp, 1, 10)).otherwise(F.substring(stamp, 1, 13)).alias("slot"),
         "ts",
         "event_id",
         F.concat(F.lit("kv:"), (F.col("event_id") % keys).cast("string")).alias("key"),
         F.when(F.col("event_type").isin("purchase", "signup"), "w").when(F.col("event_type").isin("view", "click"), "r").otherwise("pr").alias("type"),
     )
-    by_txn = Window.partitionBy("history_id").orderBy("session", "day")
-    inside = Window.partitionBy("history_id", "session", "day").orderBy("ts", "event_id")
+    by_txn = Window.partitionBy("history_id").orderBy("session", "slot")
+    inside = Window.partitionBy("history_id", "session", "slot").orderBy("ts", "event_id")
     e = e.withColumn("txn", F.dense_rank().over(by_txn).cast("long")).withColumn("op_index", (F.row_number().over(inside) - 1).cast("long"))
     session = Window.partitionBy("history_id", "session").orderBy("txn")
     txns = e.select("history_id", "session", "txn").distinct()
@@ -86,10 +89,11 @@ def from_events(events: DataFrame, histories: int = N_HISTORIES, keys: int = N_K
 
 #: The same derivation for an independent engine.
 EVENTS_SQL = f"""
-e AS (SELECT user_id % {N_HISTORIES} AS history_id, user_id AS session, ts::DATE AS day, ts, event_id, 'kv:' || (event_id % {N_KEYS}) AS key,
+e AS (SELECT user_id // {N_USERS} AS history_id, user_id AS session, ts, event_id,
+             CASE (user_id // {N_USERS}) % 3 WHEN 0 THEN ts::VARCHAR WHEN 1 THEN substr(ts::VARCHAR, 1, 10) ELSE substr(ts::VARCHAR, 1, 13) END AS slot, 'kv:' || (event_id % {N_KEYS}) AS key,
              CASE WHEN event_type IN ('purchase', 'signup') THEN 'w' WHEN event_type IN ('view', 'click') THEN 'r' ELSE 'pr' END AS type FROM events),
-x AS (SELECT *, dense_rank() OVER (PARTITION BY history_id ORDER BY session, day)::BIGINT AS txn,
-             (row_number() OVER (PARTITION BY history_id, session, day ORDER BY ts, event_id) - 1)::BIGINT AS op_index FROM e),
+x AS (SELECT *, dense_rank() OVER (PARTITION BY history_id ORDER BY session, slot)::BIGINT AS txn,
+             (row_number() OVER (PARTITION BY history_id, session, slot ORDER BY ts, event_id) - 1)::BIGINT AS op_index FROM e),
 txns AS (SELECT history_id, session, (row_number() OVER (PARTITION BY history_id, session ORDER BY txn) - 1)::BIGINT AS so_pos, txn, 'commit' AS status
          FROM (SELECT DISTINCT history_id, session, txn FROM x)),
 ops AS (SELECT history_id, txn, op_index, type, key,

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import resource
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,14 +41,57 @@ def distribution(samples: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def time_buckets(samples: DataFrame, seconds: int, txn_type: str | None = None) -> DataFrame:
-    """Tumbling windows from the first sample on; empty windows are there too. The type filters samples, not windows."""
+    """Tumbling windows from the first sample on, with the distribution of their latencies; empty windows are there too (count 0,
+    figures -1). The type filters samples, not windows."""
     width = seconds * 1_000_000_000
-    ends = samples.agg(F.min("start_ns").alias("first"), F.max("start_ns").alias("last"))
-    grid = ends.select("first", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - F.col("first")) / width))).alias("bucket"))
+    first, last = samples.agg(F.min("start_ns"), F.max("start_ns")).first()
     chosen = samples if txn_type is None else samples.filter(F.col("txn_type") == txn_type)
-    placed = chosen.join(F.broadcast(ends)).withColumn("bucket", F.floor((F.col("start_ns") - F.col("first")) / width))
-    stats = placed.groupBy("bucket").agg(F.count("*").alias("count"), F.round(F.avg("latency_us"), 4).alias("mean"), F.max("latency_us").alias("max"))
-    return grid.join(stats, "bucket", "left").select("bucket", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("mean", F.lit(-1.0)).alias("mean"), F.coalesce("max", F.lit(-1)).alias("max"))
+    placed = chosen.withColumn("bucket", F.floor((F.col("start_ns") - F.lit(first).cast("long")) / width))
+    stats = distribution(placed, ["bucket"])
+    grid = samples.sparkSession.range(0 if first is None else (last - first) // width + 1).select(F.col("id").alias("bucket"))
+    figures = [c for c in stats.columns if c not in ("bucket", "count")]
+    return grid.join(stats, "bucket", "left").select("bucket", F.coalesce("count", F.lit(0)).alias("count"), *[F.coalesce(c, F.lit(-1)).alias(c) for c in figures])
+
+
+#: Headings of result files.
+RESULT_HEADINGS = ("Time (seconds)", "Throughput (requests/second)", "Average Latency (millisecond)", "Minimum Latency (millisecond)", "25th Percentile Latency (millisecond)", "Median Latency (millisecond)", "75th Percentile Latency (millisecond)", "90th Percentile Latency (millisecond)", "95th Percentile Latency (millisecond)", "99th Percentile Latency (millisecond)", "Maximum Latency (millisecond)", "tp (req/s) scaled")
+SAMPLE_HEADINGS = ("Time (seconds)", "Requests", "Throughput (requests/second)", "Minimum Latency (microseconds)", "25th Percentile Latency (microseconds)", "Median Latency (microseconds)", "Average Latency (microseconds)", "75th Percentile Latency (microseconds)", "90th Percentile Latency (microseconds)", "95th Percentile Latency (microseconds)", "99th Percentile Latency (microseconds)", "Maximum Latency (microseconds)")
+RAW_HEADINGS = ("Transaction Type Index", "Transaction Name", "Start Time (microseconds)", "Latency (microseconds)", "Worker Id (start number)", "Phase Id (index in config file)")
+
+
+def result_lines(samples: DataFrame, seconds: int, txn_type: str | None = None) -> DataFrame:
+    """time, throughput, and latencies of each window in milliseconds, to three places; scaled: 1000 by the mean in microseconds."""
+    ms = lambda c: F.round(F.col(c) / 1000.0, 3).alias(f"{c}_ms")
+    b = time_buckets(samples, seconds, txn_type)
+    return b.select((F.col("bucket") * seconds).alias("time"), F.round(F.col("count") / seconds, 3).alias("throughput"), *[ms(c) for c in ("mean", "min", "p25", "p50", "p75", "p90", "p95", "p99", "max")], F.round(1000.0 / F.col("mean"), 3).alias("scaled"))
+
+
+def sample_lines(samples: DataFrame, seconds: int = 1, txn_type: str | None = None) -> DataFrame:
+    """time, requests, throughput and latencies of each window in whole microseconds."""
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    b = time_buckets(samples, seconds, txn_type)
+    return b.select((F.col("bucket") * seconds).alias("time"), F.col("count").alias("requests"), F.round(F.col("count") / seconds, 3).alias("throughput"), *[whole(c) for c in ("min", "p25", "p50", "mean", "p75", "p90", "p95", "p99", "max")])
+
+
+def raw_lines(samples: DataFrame) -> DataFrame:
+    """One line for each sample; types are numbered from 1 in order of their names."""
+    names = samples.select("txn_type").distinct()
+    numbered = names.withColumn("type_index", F.row_number().over(Window.orderBy("txn_type")))  # the types of a workload are few
+    return samples.join(F.broadcast(numbered), "txn_type").select("type_index", "txn_type", F.round(F.col("start_ns") / 1e9, 6).alias("start_s"), "latency_us", "worker_id", F.lit(0).alias("phase_id"))
+
+
+def write_csv(lines: DataFrame, headings: tuple[str, ...], path: str, order: list[str]) -> None:
+    """A folder of CSV files with these headings; the files' names follow the order."""
+    lines.orderBy(*order).toDF(*headings).write.mode("overwrite").option("header", True).csv(path)
+
+
+def run_summary(samples: DataFrame) -> DataFrame:
+    """One row, line: a JSON object of the run's figures."""
+    d, t = distribution(samples), throughput(samples)
+    n = samples.agg((F.max("start_ns") - F.min("start_ns")).alias("ns"), F.count("*").alias("n"))
+    one = d.crossJoin(t).crossJoin(n)  # one row each
+    figures = F.struct(*[F.col(c).alias(c) for c in SHARES], F.col("mean"))
+    return one.select(F.to_json(F.struct(F.col("ns").alias("elapsed_ns"), F.col("n").alias("requests"), figures.alias("latency"), "throughput", "goodput")).alias("line"))
 
 
 def throughput(samples: DataFrame) -> DataFrame:
@@ -74,6 +120,56 @@ def statuses(samples: DataFrame) -> DataFrame:
     return samples.groupBy("txn_type").pivot("status", kinds).count().na.fill(0)
 
 
+def top(h: DataFrame, n: int) -> DataFrame:
+    """The n most frequent values of a histogram; ties to the smaller value."""
+    return h.orderBy(F.col("count").desc(), "value").limit(n)
+
+
+def histogram_json(h: DataFrame) -> DataFrame:
+    """One row, line: the histogram as a JSON object, values in order. A histogram that is written whole is small by its nature."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("value").cast("string").alias("value"), "count")))
+    return h.agg(F.to_json(F.map_from_arrays(F.transform(pairs, lambda p: p["value"]), F.transform(pairs, lambda p: p["count"]))).alias("line"))
+
+
+#: Lines of a checker's log.
+COUNTERS = {"sessions_count": "Sessions count", "transactions_count": "Transactions count", "events_count": "Events count"}
+
+
 def log_metrics(lines: DataFrame) -> DataFrame:
-    """name and milliseconds of lines such as "STAGE: 12 ms"."""
-    return lines.select(F.regexp_extract("line", r"^(\w+): (\d+)\s*ms", 1).alias("name"), F.regexp_extract("line", r"^(\w+): (\d+)\s*ms", 2).alias("ms")).filter("name <> ''").select("name", F.col("ms").cast("long").alias("ms"))
+    """line: text. name and number of timers ("STAGE: 12ms") and counters, and the verdict as a text; other lines give no row."""
+    timer = r"^([A-Z0-9_]+):\s+([0-9]+)\s*ms$"
+    rows = [lines.filter(F.regexp_like("line", F.lit(timer))).select(F.concat(F.lit("time_"), F.lower(F.regexp_extract("line", timer, 1)), F.lit("_ms")).alias("name"), F.regexp_extract("line", timer, 2).alias("value"))]
+    for name, text in COUNTERS.items():
+        form = rf"{text}:\s*([0-9]+)"
+        rows.append(lines.filter(F.regexp_like("line", F.lit(form))).select(F.lit(name).alias("name"), F.regexp_extract("line", form, 1).alias("value")))
+    verdict = r"\[\[\[\[\s*(ACCEPT|REJECT)\s*\]\]\]\]"
+    rows.append(lines.filter(F.regexp_like("line", F.lit(verdict))).select(F.lit("actual_verdict").alias("name"), F.regexp_extract("line", verdict, 1).alias("value")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+class Stages:
+    """Times of named stages on the driver, and the most memory that was seen at their ends."""
+
+    def __init__(self) -> None:
+        self.spent: dict[str, float] = {}
+        self.since: dict[str, float] = {}
+        self.most_mb = 0.0
+
+    def start(self, name: str) -> None:
+        self.since[name] = time.perf_counter()
+
+    def end(self, name: str) -> None:
+        self.spent[name] = self.spent.get(name, 0.0) + time.perf_counter() - self.since.pop(name)
+        self.most_mb = max(self.most_mb, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
+
+    def lines(self) -> list[str]:
+        return [f"{name}: {round(1000 * s)}ms" for name, s in self.spent.items()] + [f"Max memory: {self.most_mb:.0f} MB"]
+
+
+def settings(spark: SparkSession, prefix: str = "spark.sql.") -> DataFrame:
+    """name, value: what a collector of an engine's parameters would store."""
+    rows = spark.sql("SET -v").select(F.col("key").alias("name"), "value")
+    return rows.filter(F.startswith("name", F.lit(prefix)))

@@ -41,18 +41,26 @@ def _checked(trace: DataFrame) -> DataFrame:
 def convert(trace: DataFrame) -> DataFrame:
     """line_no order columns, session, txn and ops as JSON text, as write_history takes them."""
     ordered = F.array_sort("ops", lambda a, b: a["op_index"] - b["op_index"])
-    pairs = lambda xs: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(xs), lambda x: F.concat(F.lit('{"key":"'), x["key"], F.lit('","value":'), x["value"].cast("string"), F.lit("}"))), ","), F.lit("]"))
-    values = lambda xs: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(xs), lambda x: F.concat(F.lit('{"k":"'), x["key"], F.lit('","value":'), x["value"].cast("string"), F.lit("}"))), ","), F.lit("]"))
+    columns = F.struct(F.array(F.lit("k"), F.lit("value")).alias("columns"))
 
     def one(o: Column) -> Column:
-        point = F.concat(F.lit('{"type":"'), o["type"], F.lit('","key":"'), o["key"], F.lit('","value":'), o["value"].cast("string"), F.lit("}"))
-        query = F.concat(F.lit('{"from":{"relation":"kv"},"where":["'), predicate_text(o["predicate"]), F.lit('"],"select":{"columns":["k","value"]}}'))
-        read = F.concat(F.lit('{"type":"pr","query":'), query, F.lit(',"result":{"values":'), values(o["results"]), F.lit(',"inputs":'), pairs(o["read_versions"]), F.lit("}}"))
+        point = F.to_json(F.struct(o["type"].alias("type"), o["key"].alias("key"), o["value"].alias("value")))
+        query = F.struct(F.struct(F.lit("kv").alias("relation")).alias("from"), F.array(predicate_text(o["predicate"])).alias("where"), columns.alias("select"))
+        values = F.transform(F.array_sort(o["results"]), lambda x: F.struct(x["key"].alias("k"), x["value"].alias("value")))
+        read = F.to_json(F.struct(F.lit("pr").alias("type"), query.alias("query"), F.struct(values.alias("values"), F.array_sort(o["read_versions"]).alias("inputs")).alias("result")))
         return F.when(o["type"] == "pr", read).otherwise(point)
 
     return _checked(trace).select(F.struct("session", "session_seq", "txn").alias("line_no"), "session", "txn", F.concat(F.lit("["), F.array_join(F.transform(ordered, one), ","), F.lit("]")).alias("ops"))
 
 
+def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line_no, line: lines of a trace that are no record, with their place in the file."""
+    lines = spark.read.text(path).select(F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n")).alias("line_no"), F.col("value").alias("line"))
+    kind = F.from_json("line", "record_type string, txn bigint, key string")
+    bad = kind["record_type"].isNull() | ~kind["record_type"].isin("initial", "txn", "abort") | ((kind["record_type"] == "initial") & kind["key"].isNull()) | ((kind["record_type"] == "txn") & kind["txn"].isNull())
+    return lines.filter((F.trim("line") != "") & F.coalesce(bad, F.lit(True)))
+
+
 def initial_state(trace: DataFrame) -> DataFrame:
     """key, value: the recorded first versions, and one for each key that was first read while absent."""
     known = trace.filter("record_type = 'initial'").select("key", "value")

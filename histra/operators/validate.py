@@ -137,3 +137,59 @@ def replay(h: History) -> DataFrame:
     before = Window.partitionBy("history_id", "key").orderBy(F.col("at").asc_nulls_first(), "op_index").rowsBetween(Window.unboundedPreceding, -1)
     state = F.last(F.when(F.col("type") == "w", F.col("value")), ignorenulls=True).over(before)
     return lines.withColumn("replayed", state).filter("type = 'r' and replayed <> value").select("history_id", "txn", "op_index", "key", "value", "replayed")
+
+
+def input_mismatches(h: History) -> DataFrame:
+    """Recorded inputs of condition reads that are not what their sources wrote, as multisets: key, value, copies too many."""
+    resolved = with_source(h, h.pred_inputs.distinct()).filter("n_sources = 1").select(*OP, "key", "value")
+    return h.pred_inputs.select(*OP, "key", "value").exceptAll(resolved).groupBy(*OP, "key", "value").agg(F.count("*").alias("surplus"))
+
+
+def _known_versions(h: History) -> DataFrame:
+    """For each condition read and key that its transaction knows of by then: mine (own latest write and its index), current and
+    previous (inputs of this read, and of the one before with the same condition), previous_index."""
+    again = Window.partitionBy("history_id", "txn", "modulus", "residue").orderBy("op_index")
+    reads = h.pred_reads.withColumn("previous_index", F.lag("op_index").over(again))
+    current = h.pred_inputs.select(*OP, "key", F.col("value").alias("current"))
+    previous = h.pred_inputs.select("history_id", "txn", F.col("op_index").alias("previous_index"), "key", F.col("value").alias("previous"))
+    writes = h.writes().select("history_id", "txn", "key", F.col("op_index").alias("w"), F.col("value").alias("v"))
+    mine = reads.join(writes, ["history_id", "txn"]).filter(F.col("w") < F.col("op_index")).groupBy(*OP, "key").agg(F.max_by("v", "w").alias("mine"), F.max("w").alias("mine_index"))
+    before = reads.select(*OP, "previous_index").join(previous, ["history_id", "txn", "previous_index"]).drop("previous_index")
+    keys = current.select(*OP, "key").unionByName(before.select(*OP, "key")).unionByName(mine.select(*OP, "key")).distinct()
+    rows = keys.join(reads, OP)
+    for side in (current, before, mine):
+        rows = rows.join(side, [*OP, "key"], "left")
+    return rows
+
+
+def local_reevaluation(h: History) -> DataFrame:
+    """Condition reads whose result differs from what the transaction itself knows: the inputs of its previous read with the same
+    condition, this read's inputs, and its own writes since then, evaluated again. One row for each key that differs: expected
+    and recorded value, null where the key is not in the result."""
+    rows = _known_versions(h)
+    since = F.col("mine_index") > F.coalesce("previous_index", F.lit(-1))
+    known = F.when(since, F.col("mine")).otherwise(F.coalesce("current", "previous"))
+    expected = F.when(floor_mod(known, F.col("modulus")) == F.col("residue"), known)
+    return rows.withColumn("expected", expected).filter(~F.col("expected").eqNullSafe(F.col("current"))).select(*OP, "key", "expected", F.col("current").alias("recorded"))
+
+
+def snapshot_reevaluation(h: History) -> DataFrame:
+    """The same for one snapshot in a transaction, key by key, with the rule that is broken: unsatisfied, missing_own (an own write
+    satisfies the condition and is not in the result), hidden_own (an own write stands before it and another version is in the
+    result), not_repeated (without an own write, the previous read with the same condition saw otherwise)."""
+    rows = _known_versions(h)
+    satisfied = lambda c: floor_mod(F.col(c), F.col("modulus")) == F.col("residue")
+    own = F.col("mine").isNotNull()
+    rule = (
+        F.when(F.col("current").isNotNull() & ~satisfied("current"), "unsatisfied")
+        .when(own & satisfied("mine") & ~F.col("current").eqNullSafe(F.col("mine")), "missing_own")
+        .when(own & ~satisfied("mine") & F.col("current").isNotNull(), "hidden_own")
+        .when(~own & F.col("previous_index").isNotNull() & ~F.col("current").eqNullSafe(F.col("previous")), "not_repeated")
+    )
+    return rows.withColumn("rule", rule).filter("rule is not null").select(*OP, "key", "rule")
+
+
+def session_sequence_violations(lines: DataFrame) -> DataFrame:
+    """Transactions whose session_seq does not rise along their session's lines: case, session, txn."""
+    order = Window.partitionBy("case", "session").orderBy("line_no")
+    return lines.withColumn("last", F.lag("session_seq").over(order)).filter("session_seq <= last").select("case", "session", "txn")

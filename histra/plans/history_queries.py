@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from histra.operators import graph, solve, validate
-from histra.operators.history import EVENTS_SQL, N_KEYS, from_events
+from histra.operators.history import EVENTS_SQL, N_KEYS, History, from_events
 
 from .dialect import read
 
@@ -14,7 +14,47 @@ def _of(make):
     return lambda spark, sf_dir: make(from_events(read(spark, sf_dir, "events")))
 
 
+def _kept(make):
+    """For queries that read the derived tables many times."""
+    return lambda spark, sf_dir: make(graph.kept(from_events(read(spark, sf_dir, "events"))))
+
+
+def _damaged(h):
+    """h with inputs that nobody wrote, inputs given twice, and writes of one version by two transactions."""
+    first, again = F.col("txn") % 10 == 3, h.pred_inputs.filter("txn % 10 = 7")
+    inputs = h.pred_inputs.withColumn("value", F.when(first, F.col("value") + 1_000_000_000).otherwise(F.col("value"))).unionByName(again)
+    copies = h.ops.filter("type = 'w' and value % 97 = 0").withColumn("op_index", F.col("op_index") + 1000)
+    return History(h.txns, h.ops.unionByName(copies), h.pred_reads, inputs, h.initial)
+
+
+def _with_closure(make):
+    return lambda h: make(h, graph.checkpointed(graph.precedence(h)))
+
+
+def _verdict_checks(h):
+    """Verdicts where the history itself says what they must be: single events in order of time, or a cycle of known edges."""
+    known = graph.cyclic_histories(graph.known_edges(h)).select("history_id", F.lit(True).alias("cyclic"))
+    found = solve.verdicts(h, "SER", 2000).join(known, "history_id", "left")
+    serial, cyclic = F.col("history_id") % 3 == 0, F.coalesce("cyclic", F.lit(False))
+    return found.select("history_id", serial.alias("serial"), cyclic.alias("cyclic"), F.when(serial | cyclic, F.col("verdict")).alias("verdict"))
+
+
 QUERIES = {
+    "s8_damaged_versions": _of(lambda h: validate.duplicate_versions(_damaged(h))),
+    "v9_input_mismatches": _of(lambda h: validate.input_mismatches(_damaged(h))),
+    "v10_local_reevaluation": _of(validate.local_reevaluation),
+    "v11_snapshot_reevaluation": _of(validate.snapshot_reevaluation),
+    "g8_confirmed_orders": _kept(_with_closure(graph.confirmed_write_orders)),
+    "g9_derived_edges": _kept(_with_closure(graph.derived_condition_edges)),
+    "g10_candidates": _kept(_with_closure(graph.condition_candidates)),
+    "g13_closed_choices": _kept(lambda h: graph.closed_choices(h, graph.checkpointed(graph.closure(graph.known_edges(h))))),
+    "g14_induced_choices": _kept(lambda h: graph.closed_choices(h, graph.checkpointed(graph.closure(graph.induced_edges(h))))),
+    "g13_pruning": _of(solve.pruning),
+    "g21_verdict_checks": _kept(_verdict_checks),
+    "g24_conflict_core": _of(solve.conflict_cores),
+    "g27_serial_transactions": _of(lambda h: graph.serial_form(h)[0]),
+    "g27_serial_operations": _of(lambda h: graph.serial_form(h)[1].groupBy("history_id", "type", F.startswith("key", F.lit("conflict:")).alias("added")).agg(F.count("*").alias("ops"), F.countDistinct("key").alias("keys"))),
+    "g28_unchanged": _of(lambda h: graph.unchanged(h).txns),
     "s3_transactions": _of(lambda h: h.txns),
     "s4_operations": _of(lambda h: h.ops),
     "s5_predicate_inputs": _of(lambda h: h.pred_inputs),
@@ -35,16 +75,16 @@ QUERIES = {
     "g6_choices": _of(lambda h: graph.write_choices(h).groupBy("history_id", "key").agg(F.count("*").alias("choices"))),
     "g7_conditional_edges": _of(lambda h: graph.conditional_anti_dependencies(h).groupBy("history_id", "key").agg(F.count("*").alias("edges"))),
     "g9_predicate_write_read": _of(graph.predicate_write_read),
-    "g11_edge_counts": _of(lambda h: graph.edge_counts(graph.known_edges(h))),
+    "g11_edge_counts": _kept(lambda h: graph.edge_counts(graph.known_edges(h))),
     "g12_client_edges": _of(lambda h: graph.edge_counts(graph.known_edges(h).filter(~F.col("type").isin("PR_WR", "PR_RW")))),
     "g15_reachability": _of(lambda h: graph.reachability(graph.unite(graph.session_order(h), graph.write_read(h))).groupBy("history_id").agg(F.count("*").alias("pairs"))),
     "g16_composition": _of(lambda h: graph.compose(graph.write_read(h), graph.session_order(h))),
     "g17_union": _of(lambda h: graph.unite(graph.session_order(h), graph.write_read(h))),
-    "g18_cycles": _of(lambda h: graph.cyclic_histories(graph.known_edges(h))),
+    "g18_cycles": _kept(lambda h: graph.cyclic_histories(graph.known_edges(h))),
     "g19_reduced": _of(lambda h: graph.reduced(graph.write_read(h), h.txns)),
     "g20_order_in_session": _of(lambda h: h.txns.select("history_id", "txn", "so_pos")),
     "g21_serializable": _of(lambda h: solve.verdicts(h, "SER")),
-    "g23_snapshot_isolated": _of(lambda h: solve.verdicts(h, "SI", 200)),
+    "g23_snapshot_isolated": _of(lambda h: solve.verdicts(h, "SI")),
     "g25_witness_edges": _of(lambda h: solve.witness_edges(solve.verdicts(h, "SER"))),
     "g26_summary": _of(lambda h: solve.summary(solve.verdicts(h, "SER"))),
     "s19_dot": _of(lambda h: solve.dot(solve.verdicts(h, "SER"))),
@@ -87,10 +127,106 @@ known AS (SELECT * FROM so_edges UNION ALL SELECT history_id, -1, txn, 'SO', NUL
 
 
 def _with(tail: str, *more: str) -> str:
+    """The tail is the final SELECT; one that begins with a comma brings tables of its own first."""
     return "WITH RECURSIVE " + ",".join([EVENTS_SQL, *more]) + "\n" + tail
 
 
+_LOCAL = """
+asked AS (SELECT *, lag(op_index) OVER (PARTITION BY history_id, txn, modulus, residue ORDER BY op_index) AS previous_index FROM pred_reads),
+mine AS (SELECT r.history_id, r.txn, r.op_index, w.key, arg_max(w.value, w.op_index) AS mine, max(w.op_index) AS mine_index FROM asked r JOIN writes w ON w.history_id = r.history_id AND w.txn = r.txn AND w.op_index < r.op_index GROUP BY ALL),
+prev AS (SELECT r.history_id, r.txn, r.op_index, i.key, i.value AS previous FROM asked r JOIN pred_inputs i ON i.history_id = r.history_id AND i.txn = r.txn AND i.op_index = r.previous_index),
+ks AS (SELECT history_id, txn, op_index, key FROM pred_inputs UNION SELECT history_id, txn, op_index, key FROM prev UNION SELECT history_id, txn, op_index, key FROM mine),
+lr AS (SELECT k.*, a.modulus, a.residue, a.previous_index, i.value AS current, previous, mine, mine_index FROM ks k JOIN asked a USING (history_id, txn, op_index)
+  LEFT JOIN pred_inputs i USING (history_id, txn, op_index, key) LEFT JOIN prev USING (history_id, txn, op_index, key) LEFT JOIN mine USING (history_id, txn, op_index, key)),
+kn AS (SELECT *, CASE WHEN mine_index > coalesce(previous_index, -1) THEN mine ELSE coalesce(current, previous) END AS known FROM lr),
+ex AS (SELECT *, CASE WHEN ((known % modulus) + modulus) % modulus = residue THEN known END AS expected FROM kn)"""
+
+_PRECEDES = """
+pe AS (SELECT DISTINCT history_id, src, dst FROM known WHERE type <> 'RW'),
+pc(history_id, src, dst) AS (SELECT * FROM pe UNION SELECT p.history_id, p.src, e.dst FROM pc p JOIN pe e ON e.history_id = p.history_id AND e.src = p.dst),
+vw AS (SELECT DISTINCT history_id, key, txn FROM versions),
+ahead AS (SELECT d.history_id, d.key, d.txn, count(*) AS n FROM pc JOIN vw s ON s.history_id = pc.history_id AND s.txn = pc.src JOIN vw d ON d.history_id = pc.history_id AND d.txn = pc.dst AND d.key = s.key WHERE pc.src <> pc.dst GROUP BY ALL),
+placed AS (SELECT vw.*, coalesce(n, 0) AS position FROM vw LEFT JOIN ahead USING (history_id, key, txn)),
+confirmed AS (SELECT history_id, key FROM placed GROUP BY ALL HAVING count(*) = count(DISTINCT position) AND max(position) = count(*) - 1),
+ext AS (SELECT p.*, k.key FROM pred_reads p JOIN (SELECT DISTINCT history_id, key FROM initial) k USING (history_id)
+  WHERE NOT EXISTS (SELECT 1 FROM writes w WHERE w.history_id = p.history_id AND w.txn = p.txn AND w.key = k.key AND w.op_index < p.op_index)
+  AND NOT EXISTS (SELECT 1 FROM pred_reads o WHERE o.history_id = p.history_id AND o.txn = p.txn AND o.op_index < p.op_index)),
+fin AS (SELECT history_id, txn, key, arg_max(value, op_index) AS value FROM versions GROUP BY ALL)"""
+
+_KNOWN_CLOSURE = """
+kc(history_id, src, dst) AS (SELECT DISTINCT history_id, src, dst FROM known UNION SELECT p.history_id, p.src, e.dst FROM kc p JOIN known e ON e.history_id = p.history_id AND e.src = p.dst)"""
+_STATES = """SELECT history_id, CASE WHEN no_ac AND no_ca THEN 'impossible' WHEN no_ca THEN 'a first' WHEN no_ac THEN 'c first' ELSE 'open' END AS state, count(*) AS pairs FROM (SELECT p.history_id,
+  EXISTS (SELECT 1 FROM {closure} x WHERE x.history_id = p.history_id AND x.src = p.c AND x.dst = p.a) AS no_ac, EXISTS (SELECT 1 FROM {closure} x WHERE x.history_id = p.history_id AND x.src = p.a AND x.dst = p.c) AS no_ca
+  FROM (SELECT DISTINCT history_id, a, c FROM choices) p) GROUP BY ALL"""
+_ON_CYCLES = """cyc AS (SELECT history_id, src AS t FROM kc WHERE src = dst),
+down AS (SELECT DISTINCT k.history_id, k.dst AS t FROM kc k JOIN cyc c ON c.history_id = k.history_id AND c.t = k.src),
+up AS (SELECT DISTINCT k.history_id, k.src AS t FROM kc k JOIN cyc c ON c.history_id = k.history_id AND c.t = k.dst),
+oncyc AS (SELECT history_id, count(*) AS on_cycles FROM down JOIN up USING (history_id, t) GROUP BY history_id)"""
+
 ORACLES = {
+    "s8_damaged_versions": _with("SELECT history_id, key, value, count(*) AS writers FROM (SELECT history_id, key, value FROM versions UNION ALL SELECT history_id, key, value FROM writes WHERE value % 97 = 0) GROUP BY ALL HAVING count(*) > 1"),
+    "v9_input_mismatches": _with(
+        """SELECT history_id, txn, op_index, key, value, surplus FROM (SELECT b.history_id, txn, op_index, key, value, count(*) - CASE WHEN max(n) = 1 THEN 1 ELSE 0 END AS surplus
+  FROM (SELECT history_id, txn, op_index, key, CASE WHEN txn % 10 = 3 THEN value + 1000000000 ELSE value END AS value FROM pred_inputs UNION ALL SELECT history_id, txn, op_index, key, value FROM pred_inputs WHERE txn % 10 = 7) b
+  LEFT JOIN (SELECT history_id, key, value, count(*) AS n FROM (SELECT history_id, key, value FROM versions UNION ALL SELECT history_id, key, value FROM writes WHERE value % 97 = 0) GROUP BY ALL) v USING (history_id, key, value) GROUP BY ALL) WHERE surplus > 0"""
+    ),
+    "v10_local_reevaluation": _with("SELECT history_id, txn, op_index, key, expected, current AS recorded FROM ex WHERE expected IS DISTINCT FROM current", _LOCAL),
+    "v11_snapshot_reevaluation": _with(
+        """SELECT * FROM (SELECT history_id, txn, op_index, key, CASE WHEN current IS NOT NULL AND ((current % modulus) + modulus) % modulus <> residue THEN 'unsatisfied'
+  WHEN mine IS NOT NULL AND ((mine % modulus) + modulus) % modulus = residue AND current IS DISTINCT FROM mine THEN 'missing_own'
+  WHEN mine IS NOT NULL AND ((mine % modulus) + modulus) % modulus <> residue AND current IS NOT NULL THEN 'hidden_own'
+  WHEN mine IS NULL AND previous_index IS NOT NULL AND current IS DISTINCT FROM previous THEN 'not_repeated' END AS rule FROM kn) WHERE rule IS NOT NULL""",
+        _LOCAL,
+    ),
+    "g8_confirmed_orders": _with("SELECT p.* FROM placed p JOIN confirmed USING (history_id, key)", _GRAPH, _PRECEDES),
+    "g9_derived_edges": _with(
+        """, src1 AS (SELECT i.history_id, i.txn, i.op_index, i.key, o.src AS source FROM pred_inputs i JOIN one o USING (history_id, key, value)),
+ln AS (SELECT e.*, s.source, p.txn AS w, p.position, f.value, EXISTS (SELECT 1 FROM pc WHERE pc.history_id = e.history_id AND pc.src = p.txn AND pc.dst = e.txn) AS earlier,
+  EXISTS (SELECT 1 FROM pc WHERE pc.history_id = e.history_id AND pc.src = e.txn AND pc.dst = p.txn) AS later
+  FROM ext e LEFT JOIN src1 s USING (history_id, txn, op_index, key) JOIN placed p ON p.history_id = e.history_id AND p.key = e.key AND p.txn <> e.txn JOIN confirmed c ON c.history_id = e.history_id AND c.key = e.key
+  JOIN fin f ON f.history_id = p.history_id AND f.key = p.key AND f.txn = p.txn),
+fr AS (SELECT history_id, txn, op_index, key, coalesce(max(position) FILTER (w = source), CASE WHEN bool_and(earlier OR later) THEN max(position) FILTER (earlier) END) AS spot FROM ln GROUP BY ALL),
+pl AS (SELECT ln.*, spot, ((value % modulus) + modulus) % modulus = residue AS inside FROM ln JOIN fr USING (history_id, txn, op_index, key) WHERE spot IS NOT NULL),
+nw AS (SELECT history_id, txn, op_index, key, w AS f, value AS v, inside AS in_f FROM pl WHERE position = spot)
+SELECT history_id, f AS src, txn AS dst, 'PR_WR' AS type, key FROM nw UNION
+SELECT p.history_id, p.txn, p.w, 'PR_RW', p.key FROM pl p JOIN nw n USING (history_id, txn, op_index, key) WHERE p.position > p.spot AND (p.inside <> n.in_f OR (p.inside AND p.value <> n.v))""",
+        _GRAPH,
+        _PRECEDES,
+    ),
+    "g10_candidates": _with(
+        """, ur AS (SELECT e.* FROM ext e WHERE NOT EXISTS (SELECT 1 FROM confirmed c WHERE c.history_id = e.history_id AND c.key = e.key)),
+br AS (SELECT u.* FROM ur u WHERE EXISTS (SELECT 1 FROM pred_inputs i WHERE i.history_id = u.history_id AND i.txn = u.txn AND i.op_index = u.op_index AND i.key = u.key)
+  OR EXISTS (SELECT 1 FROM versions v WHERE v.history_id = u.history_id AND v.key = u.key AND ((v.value % u.modulus) + u.modulus) % u.modulus = u.residue)),
+pr AS (SELECT DISTINCT b.history_id, b.txn, v.txn AS w, b.key FROM br b JOIN vw v ON v.history_id = b.history_id AND v.key = b.key AND v.txn <> b.txn)
+SELECT history_id, w AS src, txn AS dst, 'PR_WR' AS type, key FROM pr UNION ALL SELECT history_id, txn, w, 'PR_RW', key FROM pr""",
+        _GRAPH,
+        _PRECEDES,
+    ),
+    "g13_closed_choices": _with(_STATES.format(closure="kc"), _GRAPH, _KNOWN_CLOSURE),
+    "g14_induced_choices": _with(
+        _STATES.format(closure="ic"),
+        _GRAPH,
+        """
+dd AS (SELECT DISTINCT history_id, src, dst FROM known WHERE type <> 'RW'), ie AS (SELECT * FROM dd UNION SELECT d.history_id, d.src, k.dst FROM dd d JOIN known k ON k.history_id = d.history_id AND k.type = 'RW' AND k.src = d.dst),
+ic(history_id, src, dst) AS (SELECT * FROM ie UNION SELECT p.history_id, p.src, e.dst FROM ic p JOIN ie e ON e.history_id = p.history_id AND e.src = p.dst)""",
+    ),
+    "g18_cycles": _with("SELECT * FROM oncyc", _GRAPH, _KNOWN_CLOSURE, _ON_CYCLES),
+    "g21_verdict_checks": _with(
+        """SELECT h.history_id, h.history_id % 3 = 0 AS serial, on_cycles IS NOT NULL AS cyclic, CASE WHEN h.history_id % 3 = 0 THEN 'ACCEPT' WHEN on_cycles IS NOT NULL THEN 'REJECT' END AS verdict
+FROM (SELECT DISTINCT history_id FROM txns) h LEFT JOIN oncyc USING (history_id)""",
+        _GRAPH,
+        _KNOWN_CLOSURE,
+        _ON_CYCLES,
+    ),
+    "g27_serial_transactions": _with("SELECT history_id, session, so_pos * 2 + h AS so_pos, txn * 2 + h AS txn FROM txns, range(2) q(h)"),
+    "g27_serial_operations": _with(
+        """, kept AS (SELECT r.* FROM reads r WHERE NOT EXISTS (SELECT 1 FROM writes w WHERE w.history_id = r.history_id AND w.txn = r.txn AND w.key = r.key AND w.value = r.value AND w.op_index < r.op_index)),
+both_ AS (SELECT DISTINCT x.history_id, x.txn AS a, y.txn AS b FROM w x JOIN w y ON x.history_id = y.history_id AND x.key = y.key AND x.txn <> y.txn)
+SELECT history_id, 'r' AS type, false AS added, count(*) AS ops, count(DISTINCT key) AS keys FROM kept GROUP BY history_id UNION ALL SELECT history_id, 'w', false, count(*), count(DISTINCT key) FROM writes GROUP BY history_id
+UNION ALL SELECT history_id, 'r', true, count(*), count(*) FROM both_ GROUP BY history_id UNION ALL SELECT history_id, 'w', true, 2 * count(*), count(*) FROM both_ GROUP BY history_id""",
+        _GRAPH,
+    ),
+    "g28_unchanged": _with("SELECT * FROM txns"),
     "s3_transactions": _with("SELECT * FROM txns"),
     "s4_operations": _with("SELECT * FROM ops"),
     "s5_predicate_inputs": _with("SELECT * FROM pred_inputs"),

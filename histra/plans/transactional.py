@@ -64,12 +64,20 @@ QUERIES = {
 #: Templates with parameters, as a driver with prepared statements would run them.
 TEMPLATES = {
     "t4_point_read": ("SELECT c_custkey, c_name FROM customer WHERE c_custkey = :k", {"k": 42}),
+    "t4_whole_scan": ("SELECT c_custkey, c_nationkey FROM customer WHERE TRUE ORDER BY c_custkey", {}),
+    "t4_equal_scan": ("SELECT c_custkey FROM customer WHERE c_nationkey = :v ORDER BY c_custkey", {"v": 7}),
+    "t4_greater_scan": ("SELECT c_custkey FROM customer WHERE c_acctbal > :v ORDER BY c_custkey", {"v": 9000}),
+    "t4_less_scan": ("SELECT c_custkey FROM customer WHERE c_acctbal < :v ORDER BY c_custkey", {"v": 0}),
     "t4_remainder_scan": ("SELECT c_custkey FROM customer WHERE c_custkey % :m = :r ORDER BY c_custkey", {"m": 97, "r": 5}),
     "t7_expanded_list": ("SELECT n_name FROM nation WHERE array_contains(:keys, n_nationkey)", {"keys": [1, 5, 9]}),
 }
 
 TEMPLATE_ORACLES = {
     "t4_point_read": "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42",
+    "t4_whole_scan": "SELECT c_custkey, c_nationkey FROM customer",
+    "t4_equal_scan": "SELECT c_custkey FROM customer WHERE c_nationkey = 7",
+    "t4_greater_scan": "SELECT c_custkey FROM customer WHERE c_acctbal > 9000",
+    "t4_less_scan": "SELECT c_custkey FROM customer WHERE c_acctbal < 0",
     "t4_remainder_scan": "SELECT c_custkey FROM customer WHERE c_custkey % 97 = 5",
     "t7_expanded_list": "SELECT n_name FROM nation WHERE n_nationkey IN (1, 5, 9)",
 }
@@ -80,3 +88,27 @@ def run_template(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     text, args = TEMPLATES[name]
     return dialect.run(spark, sf_dir, text, {k: F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else v for k, v in args.items()})
+
+
+#: Statements whose text differs by dialect; any other dialect takes the first text.
+STATEMENTS = {
+    "cheap_parts": {
+        "standard": "SELECT p_partkey, p_name FROM part WHERE p_retailprice < 1000 ORDER BY p_partkey",
+        "brackets": "SELECT p_partkey, p_name FROM part WHERE `p_retailprice` < CAST(1000 AS DOUBLE) ORDER BY p_partkey",
+    }
+}
+
+
+def statement(name: str, dialect_name: str = "standard") -> str:
+    texts = STATEMENTS[name]
+    return texts.get(dialect_name, texts["standard"])
+
+
+def upsert(rows: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
+    """rows with the changes of latest `order` put in place by key, or added: one pass, as an aggregate over both."""
+    from pyspark.sql import functions as F
+
+    columns = rows.columns
+    both = rows.withColumn("_at", F.lit(None).cast(dict(changes.dtypes)[order])).unionByName(changes.withColumnRenamed(order, "_at"))
+    last = F.max_by(F.struct(*columns), F.struct(F.col("_at").isNotNull(), "_at"))
+    return both.groupBy(F.col(key).alias("_key")).agg(last.alias("r")).select("r.*")
