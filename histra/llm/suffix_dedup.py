@@ -48,6 +48,9 @@ PICK = 192
 GRAM = 8
 #: Distinct pieces of a bucket that one task builds at once; larger buckets are halved first.
 MOST_PIECES = 20_000
+#: One document in so many is looked at for buckets that hold more than one row in HOT_SHARE, at least HOT_LEAST of the sample's;
+#: there are HOT_SHARE such buckets at most. Their rows are dealt to SALTS tasks to be counted.
+SAMPLE_EVERY, HOT_SHARE, HOT_LEAST, SALTS = 64, 1000, 16, 256
 BATCH_PIECES = 8192
 #: What tells a piece apart.
 PIECE = ["bucket", "piece", "piece2"]
@@ -309,17 +312,34 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(k, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def hot_buckets(docs: DataFrame, length: int, pick: int) -> DataFrame:
+    """hot: the very common buckets of a sample of the documents, HOT_SHARE of them at most."""
+    some = docs.filter(F.pmod(F.xxhash64(F.lit(41), "rid"), F.lit(SAMPLE_EVERY)) == 0).select(*ROW, "text")
+    rows = some.mapInArrow(_anchors(length, pick), "rid long, tid int, bucket long, piece long, piece2 int, packed long")
+    counts = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > 1))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return materialise(counts.filter(F.col("n") >= max(HOT_LEAST, total // HOT_SHARE)).orderBy(F.col("n").desc(), "bucket").limit(HOT_SHARE).select(F.col("bucket").alias("hot")))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, pick: int = PICK, most_pieces: int = MOST_PIECES) -> DataFrame:
     """docs: rid, tid, doc_id, text. Returns rid, tid, spans (array of first, after: bytes that strings of `length` cover which
     also start elsewhere)."""
     if not GRAM <= length - pick + 1 or not 0 < pick < 256:
         raise ValueError("a string must hold a gram after its last possible anchor")
     anchors = docs.select(*ROW, "text").mapInArrow(_anchors(length, pick), "rid long, tid int, bucket long, piece long, piece2 int, packed long")
-    # One shuffle of light rows; the window spills, so a bucket of any size passes through it.
-    same = Window.partitionBy("bucket")
+    # One shuffle of light rows. What a sample shows to be very common is counted in many parts, which are put together after;
+    # which buckets these are moves work, not results.
+    hot = hot_buckets(docs, length, pick)
+    dealt = anchors.join(F.broadcast(hot), F.col("bucket") == F.col("hot"), "left")
+    dealt = dealt.withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("rid", "packed"), F.lit(SALTS))).otherwise(0))
+    same = Window.partitionBy("bucket", "salt")
     own = F.struct("piece", "piece2")
-    counted = anchors.withColumn("places", F.count("*").over(same)).withColumn("low", F.min(own).over(same)).withColumn("high", F.max(own).over(same))
-    shared = materialise(counted.filter("places > 1").select(*ROW, *PIECE, "packed", (F.col("low") == F.col("high")).alias("alike")))
+    counted = dealt.withColumn("places", F.count("*").over(same)).withColumn("low", F.min(own).over(same)).withColumn("high", F.max(own).over(same))
+    kept = counted.filter(F.col("hot").isNotNull() | (F.col("places") > 1))
+    shared = materialise(kept.select(*ROW, *PIECE, "packed", (F.col("low") == F.col("high")).alias("alike"), (F.col("hot").isNotNull()).alias("is_hot")))
+    whole = shared.filter("is_hot").groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("n"), (F.min(own) == F.max(own)).alias("all_alike"))
+    shared = shared.join(F.broadcast(whole), F.col("bucket") == F.col("b"), "left").filter("not is_hot or n > 1")
+    shared = shared.withColumn("alike", F.coalesce("all_alike", "alike")).select(*ROW, *PIECE, "packed", "alike")
 
     distinct = shared.filter("not alike").groupBy(*PIECE).agg(F.min(F.struct(*ROW, "packed")).alias("one"), F.count("*").alias("copies"))
     wanted = distinct.select("one.rid", "one.tid", F.struct(*PIECE, "one.packed", "copies").alias("w")).groupBy(*ROW).agg(F.collect_list("w").alias("wanted"))

@@ -181,6 +181,18 @@ def test_suffix_dedup_of_very_many_surroundings(spark):
             assert got.n_removed[i] == gone.sum()
 
 
+@pytest.mark.parametrize("share", [1000, 3])
+def test_suffix_dedup_with_hot_buckets(corpus, docs, monkeypatch, share):
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_EVERY", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 2)
+    plain = {tuple(r) for r in suffix_dedup.dedup(docs, 60, 30).collect()}
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", share)
+    monkeypatch.setattr(suffix_dedup, "SALTS", 5)
+    assert {tuple(r) for r in suffix_dedup.dedup(docs, 60, 30).collect()} == plain
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 1 << 40)
+    assert {tuple(r) for r in suffix_dedup.dedup(docs, 60, 30).collect()} == plain
+
+
 def test_suffix_dedup_tells_rows_apart(spark):
     a, b = prose(random.Random(1), 100, 9000), prose(random.Random(2), 100, 9000)
     df = spark.createDataFrame([(None, a), (None, b), (5, a), (5, b[:300]), ((1 << 63) - 1, b), (-(1 << 63), "")], "doc_id long, text string")
