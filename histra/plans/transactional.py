@@ -61,6 +61,29 @@ QUERIES = {
     "t6_stock_level": _q("SELECT count(DISTINCT s_i_id) AS low_stock FROM order_line JOIN stock ON s_i_id = ol_i_id AND s_w_id = ol_supply_w_id WHERE ol_o_id BETWEEN 100 AND 400 AND s_quantity < 20"),
 }
 
+#: The orders in which the statements return their rows.
+ORDERS = {
+    "c1_lines_by_number": "ol_number",
+    "c2_least_stock": "n_name, s_name, i_id",
+    "c3_open_orders": "revenue DESC, entry",
+    "c4_late_orders": "o_carrier_id",
+    "c5_letter_key": "revenue DESC",
+    "c7_nation_pairs": "supp_nation, cust_nation, l_year",
+    "c8_share": "l_year",
+    "c9_profit": "n_name, l_year DESC",
+    "c10_customers": "revenue DESC",
+    "c11_weighty_stock": "ordercount DESC",
+    "c12_carriers": "ol_number",
+    "c13_orders_per_customer": "custdist DESC, c_count DESC",
+    "c15_best_supplier": "s_suppkey",
+    "c16_suppliers_of_items": "supplier_cnt DESC",
+    "c18_big_orders": "amount DESC, o_id",
+    "c20_spare_stock": "s_name",
+    "c21_last_deliveries": "numwait DESC, s_name",
+    "c22_idle_customers": "country",
+}
+QUERIES = {name: f"{text} ORDER BY {ORDERS[name]}" if name in ORDERS else text for name, text in QUERIES.items()}
+
 #: Templates with parameters, as a driver with prepared statements would run them.
 TEMPLATES = {
     "t4_point_read": ("SELECT c_custkey, c_name FROM customer WHERE c_custkey = :k", {"k": 42}),

@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from histra import catalog
+from histra.plans import transactional
 from histra.plans.dialect import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +48,14 @@ def test_other_queries_run(spark, name):
     assert catalog.queries()[name](spark, SF).collect()
 
 
+@pytest.mark.parametrize("name", sorted(transactional.ORDERS))
+def test_statements_return_their_order(spark, name):
+    rows = catalog.queries()[name](spark, SF).collect()
+    first, *down = transactional.ORDERS[name].split(",")[0].split(" ")
+    values = [r[first] for r in rows]
+    assert values == sorted(values, reverse=bool(down))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
