@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from histra import catalog
-from histra.plans import transactional
+from histra.plans import transactional, wide_table
 from histra.plans.dialect import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +59,11 @@ def test_statements_return_their_order(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("k", [wide_table.MOST_AT_ONCE, wide_table.MOST_AT_ONCE + 1, 2 * wide_table.MOST_AT_ONCE + 1])
+def test_wide_maxima_in_groups(spark, k):
+    lines = spark.createDataFrame([(1, 2, 3), (40, 50, 60)], "l_orderkey long, l_partkey long, l_linenumber long")
+    expected = {f"max{i}": max((a * i + b + c) % (1000 + i) for a, b, c in [(1, 2, 3), (40, 50, 60)]) for i in range(1, k + 1)}
+    assert [r.asDict() for r in wide_table.max_fields(lines, k).collect()] == [expected]
+    assert [set(r) for r in wide_table.max_fields(lines.limit(0), k).collect()] == [{None}]
