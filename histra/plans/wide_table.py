@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDTHS = tuple(range(25, 251, 25))
-#: Aggregates that one generated method takes; with over 100 fields Spark interprets the whole aggregate.
-MOST_AT_ONCE = 90
+#: Fields up to which Spark generates code for a stage (the default of spark.sql.codegen.maxFields); wider aggregates are interpreted.
+MOST_AT_ONCE = 100
 
 
 def field(i: int) -> Column:
