@@ -13,6 +13,9 @@ from pyspark.sql.window import Window
 from .history import BOTTOM, History, floor_mod
 from .validate import with_source
 
+#: Places whose bits a task holds at once for each place of a history.
+REACHED = 1 << 14
+
 
 def kept(h: History) -> History:
     """h with its derived tables written once, for work that reads them many times."""
@@ -126,36 +129,75 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def reachability(edges: DataFrame) -> DataFrame:
-    """Transitive closure (history_id, src, dst) by squaring: path lengths double each round, so the rounds are few."""
-    paths = checkpointed(unite(edges))
-    n = paths.count()
-    while True:
-        longer = paths.withColumnRenamed("dst", "mid").join(paths.withColumnRenamed("src", "mid"), ["history_id", "mid"]).select("history_id", "src", "dst")
-        paths = checkpointed(paths.unionByName(longer).distinct())
-        before, n = n, paths.count()
-        if n == before:
-            return paths
+def _components(nexts: list[list[int]]) -> list[list[int]]:
+    """The strongly connected components of a graph; those that a component leads to stand before it."""
+    n = len(nexts)
+    at, low, inside, line, found = [0] * n, [0] * n, [False] * n, [], []
+    count = 0
+    for root in range(n):
+        if at[root]:
+            continue
+        walk = [(root, iter(nexts[root]))]
+        count += 1
+        at[root] = low[root] = count
+        line.append(root)
+        inside[root] = True
+        while walk:
+            v, rest = walk[-1]
+            for u in rest:
+                if not at[u]:
+                    count += 1
+                    at[u] = low[u] = count
+                    line.append(u)
+                    inside[u] = True
+                    walk.append((u, iter(nexts[u])))
+                    break
+                if inside[u]:
+                    low[v] = min(low[v], at[u])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[v])
+                if low[v] == at[v]:
+                    part = []
+                    while not part or part[-1] != v:
+                        part.append(line.pop())
+                        inside[part[-1]] = False
+                    found.append(part)
+    return found
+
+
+def _reached(nexts: list[list[int]], parts: list[list[int]], lo: int, hi: int) -> list[int]:
+    """For each place the bit set of the places from lo to hi - 1 that it leads to."""
+    reach = [0] * len(nexts)
+    for part in parts:
+        bits = 0
+        for v in part:
+            for u in nexts[v]:
+                bits |= reach[u]
+                if lo <= u < hi:
+                    bits |= 1 << u - lo
+        for v in part:
+            reach[v] = bits
+    return reach
+
+
+def _numbered(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+    """The names of places, and where each leads to."""
+    names, flat = np.unique(np.concatenate((src, dst)), return_inverse=True)
+    nexts = [[] for _ in names]
+    for a, b in zip(flat[: len(src)].tolist(), flat[len(src) :].tolist(), strict=True):
+        nexts[a].append(b)
+    return names, nexts
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """The same closure, history by history with bit sets in one task each: for histories that are decided so anyway, as it does
-    not join all paths with all paths."""
+    """Transitive closure (history_id, src, dst), history by history with bit sets in one task each, as joins would pair all paths
+    with all paths."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        names, flat = np.unique(rows[["src", "dst"]].to_numpy(), return_inverse=True)
-        ends = flat.reshape(-1, 2)
-        reach = [0] * len(names)
-        for a, b in ends.tolist():
-            reach[a] |= 1 << b
-        for k in range(len(names)):
-            through = reach[k]
-            if through:
-                for i in range(len(names)):
-                    if reach[i] >> k & 1:
-                        reach[i] |= through
-                        if i == k:
-                            through = reach[k]
+        names, nexts = _numbered(rows["src"].to_numpy(), rows["dst"].to_numpy())
+        reach = _reached(nexts, _components(nexts), 0, len(names))
         width = -(-len(names) // 8)
         bits = np.unpackbits(np.frombuffer(b"".join(r.to_bytes(width, "little") for r in reach), np.uint8).reshape(len(names), -1), axis=1, bitorder="little")
         src, dst = np.nonzero(bits[:, : len(names)])
@@ -164,6 +206,18 @@ def closure(edges: DataFrame) -> DataFrame:
     return unite(edges).groupBy("history_id").applyInPandas(run, "history_id long, src long, dst long")
 
 
+def closure_sizes(edges: DataFrame) -> DataFrame:
+    """history_id, pairs: how many pairs the closure has. They are counted where they are found, for REACHED places at a time."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names, nexts = _numbered(rows["src"].to_numpy(), rows["dst"].to_numpy())
+        parts = _components(nexts)
+        pairs = sum(r.bit_count() for lo in range(0, len(names), REACHED) for r in _reached(nexts, parts, lo, lo + REACHED))
+        return pd.DataFrame({"history_id": rows["history_id"].iloc[:1], "pairs": [pairs]})
+
+    return edges.select("history_id", "src", "dst").groupBy("history_id").applyInPandas(run, "history_id long, pairs long")
+
+
 def cyclic_histories(edges: DataFrame) -> DataFrame:
     """Histories with a cycle, and how many transactions remain when sources and sinks are peeled off again and again."""
     rest = checkpointed(unite(edges))
