@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .history import BOTTOM, History, floor_mod
+from .history import BOTTOM, History, all_rows, floor_mod
 from .validate import with_source
 
 #: Places whose bits a task holds at once for each place of a history.
@@ -207,9 +209,12 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def closure_sizes(edges: DataFrame) -> DataFrame:
-    """history_id, pairs: how many pairs the closure has. They are counted where they are found, for REACHED places at a time."""
+    """history_id, pairs: how many pairs the closure has. They are counted where they are found, for REACHED places at a time. Edges
+    without a history are in none and lead nowhere, so they count as they are."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["history_id"].isna().any():
+            return pd.DataFrame({"history_id": pd.array([None], "Int64"), "pairs": [len(rows[["src", "dst"]].drop_duplicates())]})
         names, nexts = _numbered(rows["src"].to_numpy(), rows["dst"].to_numpy())
         parts = _components(nexts)
         pairs = sum(r.bit_count() for lo in range(0, len(names), REACHED) for r in _reached(nexts, parts, lo, lo + REACHED))
@@ -259,32 +264,97 @@ def _external(h: History) -> DataFrame:
     return predicate_classes(h).filter("kind = 'EXTERNAL'").join(h.pred_reads, ["history_id", "txn", "op_index"]).drop("kind")
 
 
-def derived_condition_edges(h: History, before: DataFrame | None = None) -> DataFrame:
+def _derived(txns: list, versions: list, reads: list, asked: list, inputs: list) -> set[tuple[int, int, str, str]]:
+    """derived_condition_edges of one history, whose closure stays in the task: txns (txn, session, so_pos), versions (txn, op_index,
+    key, value) with the bottom's, reads and inputs likewise, asked (txn, op_index, modulus, residue)."""
+    source, final, by_session = defaultdict(list), {}, defaultdict(list)
+    for txn, at, key, value in versions:
+        source[key, value].append(txn)
+        final[key, txn] = max(final.get((key, txn), (at, value)), (at, value), key=lambda x: x[0])
+    for txn, session, place in txns:
+        by_session[session].append((place, txn))
+    from_one = lambda key, value: who[0] if None not in (key, value) and len(who := source.get((key, value), ())) == 1 else None
+    edges = {(BOTTOM, txn) for txn, _, place in txns if place == 0}
+    for line in by_session.values():
+        line = [txn for _, txn in sorted(line)]
+        edges.update(zip(line, line[1:], strict=False))
+    edges |= {(src, txn) for txn, _, key, value in [*reads, *inputs] if (src := from_one(key, value)) not in (None, txn)}
+    names = sorted({t for t, _, _ in txns} | {t for t, *_ in versions} | {t for e in edges for t in e})
+    at = {t: i for i, t in enumerate(names)}
+    nexts = [[] for _ in names]
+    for a, b in edges:
+        nexts[at[a]].append(at[b])
+    reach = _reached(nexts, _components(nexts), 0, len(names))
+    precedes = lambda a, b: reach[at[a]] >> at[b] & 1
+
+    writers = defaultdict(list)
+    for key, txn in final:
+        writers[key].append(txn)
+    orders = {}
+    for key, who in writers.items():
+        if len(order := _total_order(who, precedes)) == len(who):
+            orders[key] = order
+    covered = {key for txn, _, key, _ in versions if txn == BOTTOM}
+    recorded = defaultdict(set)
+    for txn, index, key, value in inputs:
+        if (src := from_one(key, value)) is not None:
+            recorded[txn, index, key].add(src)
+    first_asked, first_written = {}, {}
+    for txn, index, *_ in asked:
+        first_asked[txn] = min(index, first_asked.get(txn, index))
+    for txn, index, key, _ in versions:
+        first_written[txn, key] = min(index, first_written.get((txn, key), index))
+    found = set()
+    for txn, index, modulus, residue in asked:
+        if first_asked[txn] < index:
+            continue
+        for key in covered & orders.keys():
+            if first_written.get((txn, key), index) < index:
+                continue
+            line = [w for w in orders[key] if w != txn]
+            seen = [i for i, w in enumerate(line) if w in recorded.get((txn, index, key), ())]
+            if not seen:
+                earlier = [precedes(w, txn) for w in line]
+                if not all(e or precedes(txn, w) for e, w in zip(earlier, line, strict=True)):
+                    continue
+                seen = [i for i, e in enumerate(earlier) if e]
+            if not seen:
+                continue
+            frontier = line[seen[-1]]
+            value = final[key, frontier][1]
+            inside = value % modulus == residue
+            found.add((frontier, txn, "PR_WR", key))
+            for w in line[seen[-1] + 1 :]:
+                other = final[key, w][1]
+                if (other % modulus == residue) != inside or (inside and other != value):
+                    found.add((txn, w, "PR_RW", key))
+    return found
+
+
+def _total_order(who: list[int], precedes) -> list[int]:
+    """The writers in order; empty if it is not total, or has two that precede one another."""
+    ahead = {w: sum(1 for v in who if v != w and precedes(v, w)) for w in who}
+    return sorted(who, key=ahead.get) if sorted(ahead.values()) == list(range(len(who))) else []
+
+
+def derived_condition_edges(h: History) -> DataFrame:
     """Edges of condition reads over keys with a confirmed write order: PR_WR from the writer whose version the reader sees (the
     recorded source, or else the last writer that precedes the reader, if every writer of the key stands on one side of it), and
-    PR_RW from the reader to each later writer whose version would change the result."""
-    before = before if before is not None else checkpointed(precedence(h))
-    orders = checkpointed(confirmed_write_orders(h, before).join(final_writes(h), ["history_id", "key", "txn"]).withColumnRenamed("txn", "w"))
-    reads = _external(h)
-    source = with_source(h, h.pred_inputs).filter("n_sources = 1").select("history_id", "txn", "op_index", "key", F.col("src_txn").alias("source"))
-    lines = reads.join(source, ["history_id", "txn", "op_index", "key"], "left").join(orders, ["history_id", "key"])
-    first, last = before.select("history_id", F.col("src").alias("w"), F.col("dst").alias("txn"), F.lit(True).alias("earlier")), before.select("history_id", F.col("dst").alias("w"), F.col("src").alias("txn"), F.lit(True).alias("later"))
-    lines = lines.filter("w <> txn").join(first, ["history_id", "w", "txn"], "left").join(last, ["history_id", "w", "txn"], "left")
-    op = ["history_id", "txn", "op_index", "key"]
-    seen = lines.groupBy(*op).agg(
-        F.max(F.when(F.col("w") == F.col("source"), F.col("position"))).alias("recorded"),
-        F.max(F.when(F.col("earlier"), F.col("position"))).alias("latest"),
-        F.bool_and(F.col("earlier").isNotNull() | F.col("later").isNotNull()).alias("settled"),
-    )
-    frontier = seen.withColumn("at", F.coalesce("recorded", F.when(F.col("settled"), F.col("latest")))).filter("at is not null").select(*op, "at")
-    placed = lines.join(frontier, op)
-    inside = floor_mod(F.col("value"), F.col("modulus")) == F.col("residue")
-    now = placed.filter("position = at").select(*op, F.col("w").alias("f"), F.col("value").alias("v"), inside.alias("in_f"))
-    wr = now.select("history_id", F.col("f").alias("src"), F.col("txn").alias("dst"), F.lit("PR_WR").alias("type"), "key")
-    after = placed.filter("position > at").withColumn("in_u", inside).join(now, op)
-    delta = (F.col("in_u") != F.col("in_f")) | (F.col("in_u") & (F.col("value") != F.col("v")))
-    rw = after.filter(delta).select("history_id", F.col("txn").alias("src"), F.col("w").alias("dst"), F.lit("PR_RW").alias("type"), "key")
-    return wr.unionByName(rw).distinct()
+    PR_RW from the reader to each later writer whose version would change the result. One history is one group: its closure is
+    never a table, which would have as many rows as its transactions squared."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        of = defaultdict(list)
+        for kind, *row in zip(*[rows.column(c).to_pylist() for c in ("kind", "a", "b", "c", "d", "key")], strict=True):
+            of[kind].append(row)
+        point = lambda kind: [(a, b, key, c) for a, b, c, _, key in of[kind]]
+        bottom = [(BOTTOM, 0, key, a) for a, _, _, _, key in of["0"]]
+        found = sorted(_derived([r[:3] for r in of["t"]], point("w") + bottom, point("r"), [r[:4] for r in of["p"]], point("i")))
+        src, dst, kinds, keys = zip(*found, strict=True) if found else ((),) * 4
+        history = [rows.column("history_id")[0].as_py()] * len(found)
+        return pa.table({"history_id": pa.array(history, pa.int64()), "src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "type": pa.array(kinds, pa.string()), "key": pa.array(keys, pa.string())})
+
+    return all_rows(h).filter("history_id is not null").groupBy("history_id").applyInArrow(run, "history_id long, src long, dst long, type string, key string")
 
 
 def condition_candidates(h: History, before: DataFrame | None = None) -> DataFrame:

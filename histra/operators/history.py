@@ -48,6 +48,25 @@ def floor_mod(a: Column, n: Column) -> Column:
     return ((a % n) + n) % n
 
 
+def all_rows(h: History) -> DataFrame:
+    """All rows of a history in one table: kind, four longs and two texts."""
+    none = lambda t: F.lit(None).cast(t)
+    shape = lambda df, kind, a, b, c, d, key: df.select(F.col("history_id").cast("long").alias("history_id"), F.lit(kind).alias("kind"), a.cast("long").alias("a"), b.cast("long").alias("b"), c.cast("long").alias("c"), d.cast("long").alias("d"), key.alias("key"))
+    col = F.col
+    parts = [
+        shape(h.txns, "t", col("txn"), col("session"), col("so_pos"), none("long"), none("string")),
+        shape(h.reads(), "r", col("txn"), col("op_index"), col("value"), none("long"), col("key")),
+        shape(h.writes(), "w", col("txn"), col("op_index"), col("value"), none("long"), col("key")),
+        shape(h.pred_reads, "p", col("txn"), col("op_index"), col("modulus"), col("residue"), none("string")),
+        shape(h.pred_inputs, "i", col("txn"), col("op_index"), col("value"), none("long"), col("key")),
+        shape(h.initial, "0", col("value"), none("long"), none("long"), none("long"), col("key")),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows
+
+
 def from_events(events: DataFrame, users: int = N_USERS, keys: int = N_KEYS, modulus: int = MODULUS) -> History:
     """One session for each user, one operation for each event: purchase and signup write, view and click read the version that
     was latest then, error reads all latest versions that satisfy a predicate. A transaction is an event, a day or an hour of a

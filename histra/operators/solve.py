@@ -15,30 +15,11 @@ from histra.functions.condition_language import parse_query
 from histra.functions.isolation import REJECT, Verdict, conflict_core, decide, pruned
 from histra.sources import histories
 
-from .history import History
+from .history import History, all_rows
 
 SCHEMA = "history_id long, level string, verdict string, reason string, witness string, nodes long"
 
 
-def _lines(h: History) -> DataFrame:
-    """All rows of a history in one table: kind, four longs and two texts."""
-    none = lambda t: F.lit(None).cast(t)
-    shape = lambda df, kind, a, b, c, d, key: df.select(F.col("history_id").cast("long").alias("history_id"), F.lit(kind).alias("kind"), a.cast("long").alias("a"), b.cast("long").alias("b"), c.cast("long").alias("c"), d.cast("long").alias("d"), key.alias("key"))
-    col = F.col
-    parts = [
-        shape(h.txns, "t", col("txn"), col("session"), col("so_pos"), none("long"), none("string")),
-        shape(h.reads(), "r", col("txn"), col("op_index"), col("value"), none("long"), col("key")),
-        shape(h.writes(), "w", col("txn"), col("op_index"), col("value"), none("long"), col("key")),
-        shape(h.pred_reads, "p", col("txn"), col("op_index"), col("modulus"), col("residue"), none("string")),
-        shape(h.pred_inputs, "i", col("txn"), col("op_index"), col("value"), none("long"), col("key")),
-        shape(h.initial, "0", col("value"), none("long"), none("long"), none("long"), col("key")),
-    ]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows
-
-
 def _plain(rows: pd.DataFrame) -> tuple[list, list, list, dict, dict]:
     """The history of a group, as isolation takes it."""
     of = {k: [tuple(None if pd.isna(x) else x for x in r) for r in g[["a", "b", "c", "d", "key"]].itertuples(index=False)] for k, g in rows.groupby("kind")}
@@ -64,7 +45,7 @@ def _decide(level: str, budget: int | None):
 
 def verdicts(h: History, level: str = "SER", budget: int | None = None) -> DataFrame:
     """history_id, level, verdict, reason, witness (JSON list of labelled edges), nodes (search nodes)."""
-    return _lines(h).groupBy("history_id").applyInPandas(_decide(level, budget), SCHEMA)
+    return all_rows(h).groupBy("history_id").applyInPandas(_decide(level, budget), SCHEMA)
 
 
 def conflict_cores(h: History, budget: int = 200) -> DataFrame:
@@ -75,7 +56,7 @@ def conflict_cores(h: History, budget: int = 200) -> DataFrame:
         core = conflict_core(*_plain(rows), budget=budget)
         return pd.DataFrame({"history_id": [rows["history_id"].iloc[0]] * len(core), "txn": core}).astype("int64")
 
-    return _lines(h).groupBy("history_id").applyInPandas(run, "history_id long, txn long")
+    return all_rows(h).groupBy("history_id").applyInPandas(run, "history_id long, txn long")
 
 
 def pruning(h: History) -> DataFrame:
@@ -90,7 +71,7 @@ def pruning(h: History) -> DataFrame:
             found = (-1, -1, -1)
         return pd.DataFrame([[rows["history_id"].iloc[0], *found]], columns=["history_id", "pairs", "known", "decided"]).astype("int64")
 
-    return _lines(h).groupBy("history_id").applyInPandas(run, "history_id long, pairs long, known long, decided long")
+    return all_rows(h).groupBy("history_id").applyInPandas(run, "history_id long, pairs long, known long, decided long")
 
 
 RECORDED = "case string, level string, verdict string, reason string, witness string, nodes long"

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import random
 
+import duckdb
+import pytest
+
+from histra import catalog
 from histra.operators import graph
 
 
@@ -43,3 +47,20 @@ def test_long_chains_are_counted(spark):
     """20,000 transactions in a row have 199,990,000 pairs, which a table of paths would hold one by one."""
     edges = spark.range(19_999).selectExpr("0L AS history_id", "id AS src", "id + 1 AS dst")
     assert [tuple(r) for r in graph.closure_sizes(edges).collect()] == [(0, 199_990_000)]
+
+
+@pytest.mark.parametrize("name", ["g9_derived_edges", "g15_reachability"])
+def test_no_closure_is_stored(spark, tmp_path, monkeypatch, name):
+    """Histories are worked on in their tasks, so nothing is written on the way; events without user, number or type as in the SQL."""
+
+    def written(df):
+        raise AssertionError("a table is written on the way")
+
+    monkeypatch.setattr(graph, "checkpointed", written)
+    odd = "CASE WHEN event_id % 37 = 5 THEN NULL ELSE event_id END AS event_id, CASE WHEN event_id % 11 = 3 THEN NULL ELSE user_id END AS user_id, CASE WHEN event_id % 41 = 1 THEN NULL ELSE event_type END AS event_type"
+    duckdb.sql(f"COPY (SELECT * REPLACE ({odd}) FROM '/root/testdata/sf0.01/events.parquet' WHERE user_id < 30) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    expected = con.sql(f"SELECT {', '.join(df.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+    assert expected and sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, expected))
