@@ -91,20 +91,27 @@ def _decide_recorded(level: str, budget: int | None, extended: bool):
             values.setdefault((number(a), number(b)), Counter())[same(text)] += 1
         initial = {key: same(text) for _, _, _, key, text in of.get("0", [])}
         queries, tests, broken = [], [], ""
+
+        @cache
+        def asked(text: str):
+            """The query, and whether a version alone bears on its result: the same for all reads that ask it."""
+            query = parse_query(json.loads(text), extended)
+
+            @cache
+            def bears(key: str, value: str) -> bool:
+                alone = condition_rows.evaluate(query, {key: json.loads(value)})
+                return alone is None or bool(alone[0])
+
+            return query, bears
+
         for a, b, _, _, text in of.get("q", []):
-            at, query = (number(a), number(b)), parse_query(json.loads(text), extended)
+            at, (query, bears) = (number(a), number(b)), asked(text)
             want = values.get(at, Counter()), inputs.get(at, {})
             if not query.joins and not query.distinct:
                 # Each version bears on the result by itself: its inputs give the values, and no other version gives any.
                 own = condition_rows.evaluate(query, {k: json.loads(v) for k, v in want[1].items()})
                 if own is None or own[0] != want[0] or set(own[1]) != set(want[1]):
                     broken = "a condition read's values are not those of its inputs"
-
-                @cache
-                def bears(key: str, value: str, query=query) -> bool:
-                    alone = condition_rows.evaluate(query, {key: json.loads(value)})
-                    return alone is None or bool(alone[0])
-
                 tests.append((*at, bears))
                 continue
 
